@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, mixing, secrets
+from corvane.llm import bpe, langid, minhash, mixing, secrets
 from corvane.llm._stage import staged
 from corvane.llm.queries import table, vocabulary
 
@@ -15,7 +15,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs).where(~F.col("rejected")).select(docs.columns)
 
 
-STAGES: list = []
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id (and row, of equal ids)."""
+    groups = minhash.near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(groups, "doc_id", "left_semi").select(docs.columns)
+    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is masked; documents stay."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
+    again = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix."""
+    out = bpe.encode(docs, vocabulary())
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: None: no stage but the last filter could be put in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -39,6 +39,10 @@ def fit(
         .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
         .withColumn("h", F.xxhash64("text"))
         .dropDuplicates(["lang", "h"])
+        # First within slices of a language, since one language may hold most rows.
+        .withColumn("slice", F.pmod(F.shiftright("h", 32), F.lit(256)))
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "text")))
+        .where(F.col("n") <= texts_each)
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
         .where(F.col("n") <= texts_each)
     )
