@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 #: Code points of a paragraph that one digest covers; longer paragraphs have several.
 PIECE = 64
 #: Cells in each of the three tables of the fingerprint, and of a bucket's first sketch.
-BASE_CELLS, BUCKET_CELLS = 6, 9
+BASE_CELLS, BUCKET_CELLS = 6, 5
 #: Digests of both versions that a bucket holds on average, and sizes tried per bucket.
-BUCKET_KEYS, TRIES = 14, tuple((BUCKET_CELLS + 1) * 2**i - 1 for i in range(5))
+BUCKET_KEYS, TRIES = 7, tuple((BUCKET_CELLS + 1) * 2**i - 1 for i in range(5))
 CHECK = (1 << 24) - 1
 ROUNDS = 24
 
@@ -43,22 +43,29 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: _checked(F.xxhash64(p))))
 
 
-def _place(key: Column, table: Column, cells: Column) -> Column:
-    """The cell of a key within one of the three tables."""
-    return F.pmod(F.call_function("shiftrightunsigned", key, table * 13 + 24), cells).cast("int")
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _cell(i: Column, cells: Column) -> Column:
+    """Cell ``i`` of a sketch: the shift that its table takes of a digest, and its place there."""
+    return F.struct((F.floor(i / cells) * 13 + 24).cast("int").alias("shift"), (i % cells).alias("place"))
+
+
+def _in(key: Column, cell: Column, cells: Column) -> Column:
+    """Whether a key belongs in a cell."""
+    return F.pmod(F.call_function("shiftrightunsigned", key, cell["shift"]), cells) == cell["place"]
+
+
+def _toggled(keys: Column, start: Column, i: Column, cells: Column) -> Column:
+    """Cell ``i`` after xoring into it those of the keys that belong there."""
+    return _let(_cell(i, cells), lambda c: F.aggregate(keys, start, lambda a, k: F.when(_in(k, c, cells), a.bitwiseXOR(k)).otherwise(a)))
 
 
 def sketch(keys: Column, cells: Column | int = BASE_CELLS) -> Column:
     """array<long> of 3 * cells: each key xored into one cell of each table."""
-    cells = F.lit(cells) if isinstance(cells, int) else cells
-    return F.transform(
-        F.sequence(F.lit(0), cells * 3 - 1),
-        lambda i: F.aggregate(
-            keys,
-            F.lit(0).cast("long"),
-            lambda a, k: F.when(_place(k, F.floor(i / cells).cast("int"), cells) == i % cells, a.bitwiseXOR(k)).otherwise(a),
-        ),
-    )
+    cells = _long(cells) if isinstance(cells, int) else cells
+    return F.transform(F.sequence(_long(0), cells * 3 - 1), lambda i: _toggled(keys, _long(0), i, cells))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -67,19 +74,15 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(difference: Column, cells: Column | int) -> Column:
     """struct(ok, found): whether peeling emptied the cells, and the digests it recovered."""
-    cells = F.lit(cells) if isinstance(cells, int) else cells
-    table = lambda i: F.floor(i / cells).cast("int")
+    cells = _long(cells) if isinstance(cells, int) else cells
 
     def shown(c: Column, i: Column) -> Column:
         single = (c != 0) & (F.xxhash64(c.bitwiseAND(F.lit(~CHECK))).bitwiseAND(F.lit(CHECK)) == c.bitwiseAND(F.lit(CHECK)))
-        return F.when(single & (_place(c, table(i), cells) == i % cells), c).otherwise(F.lit(0).cast("long"))
+        return F.when(single & _in(c, _cell(i, cells), cells), c).otherwise(_long(0))
 
     def step(state: Column, _: Column) -> Column:
         def take(found: Column) -> Column:
-            left = F.transform(
-                state["cells"],
-                lambda c, i: F.aggregate(found, c, lambda a, k: F.when(_place(k, table(i), cells) == i % cells, a.bitwiseXOR(k)).otherwise(a)),
-            )
+            left = F.transform(state["cells"], lambda c, i: _toggled(found, c, i, cells))
             return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) == 0).alias("done"))
 
         single = F.array_distinct(F.filter(F.transform(state["cells"], shown), lambda c: c != 0))
@@ -100,7 +103,7 @@ def _bucket(a: Column, b: Column) -> Column:
     Should the largest sketch fail too, by a freak of hashing, the sets are compared outright.
     """
     told = F.aggregate(
-        F.array(*[F.lit(c) for c in TRIES]),
+        F.array(*[_long(c) for c in TRIES]),
         F.struct(F.lit(False).alias("ok"), F.array().cast("array<long>").alias("found")),
         lambda r, cells: F.when(r["ok"], r).otherwise(peel(subtract(sketch(a, cells), sketch(b, cells)), cells)),
     )
@@ -149,8 +152,11 @@ def as_text(n: Column, cells: Column) -> Column:
     return F.concat_ws("-", F.hex(n), F.array_join(F.transform(cells, lambda c: F.lower(F.hex(c))), "."))
 
 
-def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text, next): each text beside that of the next id; the last beside the first.
+def with_next(docs: DataFrame, made: dict[str, Column], text: str = "text") -> DataFrame:
+    """(doc_id, text, *made, next): each row beside the row of the next id; the last beside the first.
+
+    ``made`` are columns computed from ``text`` once per row; ``next`` is a struct of the next
+    row's text and these.
 
     Rows are dealt by ranges of ids, each range with a copy of the first row of the next one, so
     the order is global though no task holds more than a range.  The driver gets range bounds.
@@ -174,16 +180,15 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     ranged = rows.withColumns({"key": key, "pid": pid})
     firsts = sorted((r["pid"], r["key"]) for r in ranged.groupBy("pid").agg(F.min("key").alias("key")).collect())
-    if not firsts:
-        return rows.withColumn("next", F.lit(""))
     borders = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "key long, pid int")
     copies = (
         rows.withColumn("key", key).join(F.broadcast(borders), "key").groupBy("key", "pid").agg(F.min("text").alias("text"))
         .select(F.lit(None).cast("long").alias("doc_id"), "text", "key", "pid", F.lit(True).alias("copy"))
     )
     order = Window.partitionBy("pid").orderBy("copy", "key", "text")
-    both = ranged.withColumn("copy", F.lit(False)).unionByName(copies)
-    return both.withColumn("next", F.lead("text").over(order)).where(~F.col("copy")).select("doc_id", "text", F.coalesce("next", F.lit("")).alias("next"))
+    both = ranged.withColumn("copy", F.lit(False)).unionByName(copies).withColumn("own", made["own"]).withColumns({k: v for k, v in made.items() if k != "own"})
+    own = ["text", *made]
+    return both.withColumn("next", F.lead(F.struct(*own)).over(order)).where(~F.col("copy")).select("doc_id", *own, "next")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -200,14 +205,16 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     without paragraphs have an empty sketch; two of them have likeness 1.  Other columns of
     ``docs`` play no part.  An empty table gives an empty result.
     """
-    rows = with_next(docs, text).withColumn("edited", edited(F.col("text"), F.col("next")))
-    sets = rows.select(
+    own = digests(F.col("text"))
+    rows = with_next(docs, {"own": own, "own_sketch": sketch(F.col("own"))}, text).withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    sketched = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[digests(F.col(c)).alias(k) for c, k in (("text", "own"), ("edited", "new"), ("next", "other"))],
-    )
-    sketched = sets.withColumns({f"{k}_sketch": sketch(F.col(k)) for k in ("own", "new", "other")})
+        "own", "own_sketch",
+        digests(F.col("edited")).alias("new"),
+        F.col("next.own").alias("other"), F.col("next.own_sketch").alias("other_sketch"),
+    ).withColumn("new_sketch", sketch(F.col("new")))
     told = with_differing(with_differing(sketched, "own", "new", "new_gap"), "own", "other", "other_gap")
     return told.select(
         "doc_id",
