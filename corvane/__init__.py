@@ -1,0 +1 @@
+"""Document-retrieval analytics as DataFrame operators: tables in, tables out."""
