@@ -142,7 +142,7 @@ def union_candidates(dense: DataFrame, keyword: DataFrame, k: int = 60) -> DataF
 
 def rerank_topk(hits: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
     """The best by weighted score (by rank score without reranker), ties by rank score, then id."""
-    weighted = F.round(fused(F.col("dense_score"), F.col("keyword_score"), strategy.dense_weight, strategy.keyword_weight), 6)
+    weighted = F.round(fused(F.col("dense_score"), F.col("keyword_score"), strategy.dense_weight, strategy.keyword_weight), 8)
     scored = hits.withColumn("score", weighted if strategy.use_reranker else F.col("rrf_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rrf_score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= strategy.final_top_k)
@@ -165,7 +165,7 @@ def hybrid_flat(dense: DataFrame, overlap: DataFrame, k: int = 8) -> DataFrame:
     d = dense.select("query_id", "chunk_id", F.greatest(F.col("score"), F.lit(0.0)).alias("d"))
     s = overlap.select("query_id", "chunk_id", F.col("score").alias("s"))
     both = d.join(s, ["query_id", "chunk_id"], "full_outer")
-    scored = both.select("query_id", "chunk_id", F.round(fused(F.col("d"), F.col("s"), 0.62, 0.38), 6).alias("score"))
+    scored = both.select("query_id", "chunk_id", F.round(fused(F.col("d"), F.col("s"), 0.62, 0.38), 8).alias("score"))
     return top(scored.where("score > 0"), k)
 
 

@@ -62,7 +62,7 @@ FUSED = f"""{HASHED}, {KEYWORD}, fused AS (
            coalesce(d.score, 0.0)::DOUBLE AS dense_score, coalesce(k.score, 0.0)::DOUBLE AS keyword_score,
            round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 6) AS rrf_score
     FROM (SELECT * FROM sparse WHERE rank <= 30) d FULL OUTER JOIN (SELECT * FROM keyword WHERE rank <= 30) k ON d.query_id = k.query_id AND d.chunk_id = k.chunk_id)"""
-HYBRID = f"""{FUSED}, scored AS (SELECT *, round(dense_score * 0.65::DOUBLE + keyword_score * 0.35::DOUBLE, 6) AS score FROM fused),
+HYBRID = f"""{FUSED}, scored AS (SELECT *, round(dense_score * 0.65::DOUBLE + keyword_score * 0.35::DOUBLE, 8) AS score FROM fused),
   hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf_score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 8)"""
 
 
@@ -95,7 +95,7 @@ def rerank(t):
     "t6_hybrid_flat",
     f"""WITH {HASHED}, {OVERLAP}, flat AS (
       SELECT coalesce(d.query_id, o.query_id) AS query_id, coalesce(d.chunk_id, o.chunk_id) AS chunk_id,
-             round(coalesce(greatest(d.score, 0), 0) * 0.62::DOUBLE + coalesce(o.score, 0) * 0.38::DOUBLE, 6) AS score
+             round(coalesce(greatest(d.score, 0), 0) * 0.62::DOUBLE + coalesce(o.score, 0) * 0.38::DOUBLE, 8) AS score
       FROM (SELECT * FROM sparse WHERE rank <= 30) d FULL OUTER JOIN overlap o ON d.query_id = o.query_id AND d.chunk_id = o.chunk_id)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM flat WHERE score > 0) WHERE rank <= 8""",
 )
