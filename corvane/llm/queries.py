@@ -91,4 +91,58 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op5_substrings": r"""
+        WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS rid FROM documents),
+          p AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w),
+          s AS (SELECT p.rid, p.i, array_to_string(w.ws[p.i:p.i + 34], ' ') AS g FROM p JOIN w USING (rid) WHERE p.i + 34 <= p.n),
+          twice AS (SELECT rid, i FROM s QUALIFY count(*) OVER (PARTITION BY g) > 1),
+          marked AS (SELECT p.rid, p.i, max(CASE WHEN t.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.rid ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN twice t USING (rid, i)),
+          kept AS (SELECT rid, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(CASE WHEN gone = 0 THEN w.ws[i] END, ' ' ORDER BY i), '') AS k FROM marked JOIN w USING (rid) GROUP BY rid)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)
+    """,
+    "op8_urls": r"""
+        WITH u AS MATERIALIZED (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+          lab AS (SELECT doc_id AS page_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+          h AS (SELECT host, string_split(host, '.') AS l, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM u LEFT JOIN lab USING (page_id) WHERE host <> '' GROUP BY host),
+          hosts0 AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+                       CASE WHEN array_to_string(l[-2:], '.') IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk') THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h),
+          domains0 AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts0 GROUP BY 1, 2),
+          suffixes0 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains0 GROUP BY 1),
+          suffixes1 AS (SELECT *, ((SELECT sum(bad) FROM suffixes0) + 1)::DOUBLE / ((SELECT sum(n) FROM suffixes0) + 2) AS prior FROM suffixes0),
+          suffixes2_fit AS (SELECT sum(round(n * (bad / n - prior) * (bad / n - prior), 9)::DECIMAL(30,9))::DOUBLE AS spread, sum(round(prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS noise,
+            sum(round(n * prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS mass, count(*)::DOUBLE AS groups, sum(n)::DOUBLE AS total FROM suffixes1 WHERE n > 0),
+          suffixes2_s AS (SELECT coalesce(CASE WHEN total > groups AND (spread - noise) / (total - groups) > 0 THEN greatest(1.0::DOUBLE, least(50.0::DOUBLE, (mass / total) / ((spread - noise) / (total - groups)) - 1)) END, 50.0::DOUBLE) AS strength FROM suffixes2_fit),
+          suffixes2 AS (SELECT r.*, strength, (bad + prior * strength) / (n + strength) AS mean FROM suffixes1 r, suffixes2_s),
+          domains1 AS (SELECT d.*, s.mean AS prior FROM domains0 d JOIN suffixes2 s USING (suffix)),
+          domains2_fit AS (SELECT sum(round(n * (bad / n - prior) * (bad / n - prior), 9)::DECIMAL(30,9))::DOUBLE AS spread, sum(round(prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS noise,
+            sum(round(n * prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS mass, count(*)::DOUBLE AS groups, sum(n)::DOUBLE AS total FROM domains1 WHERE n > 0),
+          domains2_s AS (SELECT coalesce(CASE WHEN total > groups AND (spread - noise) / (total - groups) > 0 THEN greatest(1.0::DOUBLE, least(50.0::DOUBLE, (mass / total) / ((spread - noise) / (total - groups)) - 1)) END, 50.0::DOUBLE) AS strength FROM domains2_fit),
+          domains2 AS (SELECT r.*, strength, (bad + prior * strength) / (n + strength) AS mean FROM domains1 r, domains2_s),
+          hosts1 AS (SELECT h.*, d.mean AS prior FROM hosts0 h JOIN domains2 d USING (domain)),
+          hosts2_fit AS (SELECT sum(round(n * (bad / n - prior) * (bad / n - prior), 9)::DECIMAL(30,9))::DOUBLE AS spread, sum(round(prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS noise,
+            sum(round(n * prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS mass, count(*)::DOUBLE AS groups, sum(n)::DOUBLE AS total FROM hosts1 WHERE n > 0),
+          hosts2_s AS (SELECT coalesce(CASE WHEN total > groups AND (spread - noise) / (total - groups) > 0 THEN greatest(1.0::DOUBLE, least(50.0::DOUBLE, (mass / total) / ((spread - noise) / (total - groups)) - 1)) END, 50.0::DOUBLE) AS strength FROM hosts2_fit),
+          hosts2 AS (SELECT r.*, strength, (bad + prior * strength) / (n + strength) AS mean FROM hosts1 r, hosts2_s),
+          r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) r(rh, rp, rv)),
+          judged AS (SELECT u.id, rh || rp AS rule, rv FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+                     QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY length(rh || rp) DESC) = 1)
+        SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN round(mean - sqrt(mean * (1 - mean) / (n + strength + 1)), 9) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN judged USING (id) LEFT JOIN hosts2 USING (host)
+    """,
+    "op10_suffixes": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST, encode(coalesce(text, ''))) AS rid FROM documents),
+          b AS (SELECT rid, h, unnest(range(0, length(h) // 2, 500)) AS base, length(h) // 2 AS n FROM d),
+          c AS MATERIALIZED (SELECT rid, base, n, substr(h, 2 * base + 1, 1200) AS piece FROM b),
+          p AS (SELECT rid, base, n, piece, unnest(range(0, least(500, n - base))) AS o FROM c),
+          s AS (SELECT rid, base + o AS i, md5_number(substr(piece, 2 * o + 1, 200)) AS m FROM p WHERE base + o + 100 <= n),
+          again AS (SELECT rid, i FROM s QUALIFY row_number() OVER (PARTITION BY m ORDER BY rid, i) > 1),
+          marked AS (SELECT p.rid, base + o AS i, substr(piece, 2 * o + 1, 2) AS byte,
+                       max(CASE WHEN a.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.rid ORDER BY base + o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
+                     FROM p LEFT JOIN again a ON a.rid = p.rid AND a.i = base + o),
+          runs AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS starts FROM marked),
+          kept AS (SELECT rid, sum(gone)::BIGINT AS n_removed, sum(starts)::BIGINT AS n_spans, coalesce(string_agg(CASE WHEN gone = 0 THEN byte END, '' ORDER BY i), '') AS k FROM runs GROUP BY rid)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid)
+    """,
 }
