@@ -16,10 +16,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (and row, of equal ids)."""
+    """One document of each group stays: the one with the smallest id (and row, of equal ids).
+
+    Documents without id have no class; of those with equal texts one stays.
+    """
     groups = minhash.near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]).select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +32,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
-    again = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select(docs.columns)
+    """Each document as often as the mix takes it, told by id and text."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("tie").agg(F.sum("copies").cast("int").alias("copies"))
+    again = docs.withColumn("tie", F.xxhash64("doc_id", "text")).join(taken, "tie")
+    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

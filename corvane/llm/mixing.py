@@ -143,7 +143,9 @@ def _walk(last: bool, seed: int):
 def mix(
     docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = 4096, seed: int = 11
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often each row is taken.
+    """(doc_id, source, size, source_size, target, copies, taken, tie): how often each row is taken.
+
+    ``tie`` is a hash of the row's id and text, by which copies can be joined to documents.
 
     ``docs`` has doc_id, source and text.  Rows count each, also where they or their ids repeat;
     a null source is a source of its own, a null text has no words.  Sources without words have
@@ -186,4 +188,4 @@ def mix(
     for part in settled[1:]:
         every = every.unionByName(part)
     copies = F.col("whole") + F.col("p").cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tie")
