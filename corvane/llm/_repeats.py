@@ -2,7 +2,8 @@
 
 Two equal windows of L symbols have the same least-hashed gram at the same place.  So each text
 is cut into runs of windows that share that gram, its anchor; about one symbol in fifty is an
-anchor.  Only runs whose anchor occurs twice can repeat.  Their symbols, and nothing else, are
+anchor.  Only runs whose anchor occurs twice can repeat.  Where all runs of an anchor are equal,
+by a hash of the run, each repeats as a whole.  The symbols of the others, and nothing else, are
 brought together by anchor, where the operator's own index (a suffix tree, a suffix array) says
 which windows are equal.  Equal runs of one task are combined before they travel.
 
@@ -24,7 +25,9 @@ NO_ID = -(1 << 63)
 #: Bytes of runs that an index takes at a time, whole anchors apart.
 INDEX_BYTES = 1 << 20
 
-RUN = "g long, off int, windows int, content binary, occ array<struct<kid: long, seq: int, start: long>>"
+RUN = "g long, off int, windows int, content binary, occ array<struct<kid: long, seq: int, start: long, end: long>>"
+#: Bits of anchor and run hashes that travel; equal runs are told apart within an anchor only.
+ANCHOR_BITS, RUN_BITS = 48, 56
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,7 +80,7 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def repeats(
     base: DataFrame,
-    find: Callable[[list[bytes]], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+    find: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]],
     cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]],
     index: Callable[[list[list[tuple[int, int, bytes, int]]]], list[list[np.ndarray]]],
     length: int,
@@ -85,7 +88,7 @@ def repeats(
 ) -> DataFrame:
     """(kid, spans): per document the spans (seq, lo, hi) of symbols that repeated windows cover.
 
-    ``find`` gives (text index, anchor hashes, packed runs) of texts; ``cut`` the symbols of
+    ``find`` gives (text index, anchor hashes, packed runs, hashes of runs) of texts; ``cut`` the symbols of
     runs (start, windows) of one text; ``index`` gets groups of different runs with the same
     anchor, as (off, windows, content, order), and says for each run which windows are equal to
     a window of another run (where ``first_stays``: of a run with a smaller order).
@@ -94,20 +97,33 @@ def repeats(
     def anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             kid, seq = pdf["kid"].to_numpy(np.int64), pdf["seq"].to_numpy(np.int32)
-            for at, g, meta in find(list(pdf["data"])):
-                yield pd.DataFrame({"g": g.view(np.int64), "kid": kid[at], "seq": seq[at], "meta": meta})
-
-    found = base.mapInPandas(anchors, "g long, kid long, seq int, meta long")
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1")
-    listed = twice.groupBy("kid").agg(F.collect_list(F.struct("seq", "meta", "g")).alias("runs"))
+            for at, g, meta, h in find(list(pdf["data"])):
+                g, h = g >> np.uint64(64 - ANCHOR_BITS), h >> np.uint64(64 - RUN_BITS)
+                yield pd.DataFrame({"g": g.view(np.int64), "kid": kid[at], "seq": seq[at], "meta": meta, "h": h.view(np.int64)})
+
+    found = base.mapInPandas(anchors, "g long, kid long, seq int, meta long, h long")
+    own = Window.partitionBy("g")
+    place = F.struct("kid", "seq", "meta")
+    twice = found.withColumns(
+        {"n": F.count("*").over(own), "even": F.min("h").over(own) == F.max("h").over(own), "first": F.min(place).over(own)}
+    ).where("n > 1")
+    spared = F.col("even") & (F.col("first") == place) if first_stays else F.lit(False)
+    listed = (
+        twice.where(~spared)
+        .groupBy("kid")
+        .agg(F.collect_list(F.struct("seq", "meta", F.when(F.col("even"), 0).otherwise(F.col("g")).alias("g"), "even")).alias("runs"))
+    )
 
     def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             same: dict[tuple[int, int, bytes], list] = {}
             for kid, seq, data, listed_ in zip(pdf["kid"], pdf["seq"], pdf["data"], pdf["runs"], strict=True):
-                own = [(*unpack(r["meta"]), r["g"]) for r in listed_ if r["seq"] == seq]
+                own = [(*unpack(r["meta"]), r["g"]) for r in listed_ if r["seq"] == seq and not r["even"]]
+                whole = [(start, start + n - 1 + length) for start, _, n in (unpack(r["meta"]) for r in listed_ if r["seq"] == seq and r["even"])]
+                if whole:
+                    same[kid, -1 - seq, b""] = [0, *({"kid": kid, "seq": seq, "start": a, "end": z} for a, z in joined(whole))]
                 for (start, off, n, g), content in zip(own, cut(data, [(r[0], r[2]) for r in own]), strict=True):
-                    same.setdefault((g, off, content), [n]).append({"kid": kid, "seq": seq, "start": start})
+                    same.setdefault((g, off, content), [n]).append({"kid": kid, "seq": seq, "start": start, "end": 0})
             rows = [(g, off, v[0], content, v[1:]) for (g, off, content), v in same.items()]
             yield pd.DataFrame(rows, columns=["g", "off", "windows", "content", "occ"])
 
@@ -142,7 +158,11 @@ def repeats(
         groups: list[dict] = []
         last, held = None, 0
         for pdf in parts:
+            plain: list[tuple[int, int, int, int]] = []
             for g, off, n, content, occ in zip(pdf["g"], pdf["off"], pdf["windows"], pdf["content"], pdf["occ"], strict=True):
+                if off < 0:
+                    plain += [(o["kid"], o["seq"], o["start"], o["end"]) for o in occ]
+                    continue
                 if g != last:
                     if held > INDEX_BYTES:
                         yield settle(groups)
@@ -156,6 +176,8 @@ def repeats(
                 else:
                     groups[-1][off, content] = (n, places)
                     held += len(content)
+            if plain:
+                yield pd.DataFrame(plain, columns=["kid", "seq", "lo", "hi"])
         if groups:
             yield settle(groups)
 
@@ -164,12 +186,17 @@ def repeats(
     return spans.groupBy("kid").agg(F.collect_list(F.struct("seq", "lo", "hi")).alias("spans"))
 
 
-def merged(spans, seq: int) -> list[tuple[int, int]]:
-    """The spans of one row as maximal runs; runs that touch are one."""
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as maximal runs; runs that touch are one."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in (spans if spans is not None else ()) if s["seq"] == seq):
+    for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
             out.append((lo, hi))
     return out
+
+
+def merged(spans, seq: int) -> list[tuple[int, int]]:
+    """The spans of one row, joined."""
+    return joined([(s["lo"], s["hi"]) for s in (spans if spans is not None else ()) if s["seq"] == seq])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._repeats import NO_ID, anchor_runs, keyed, merged, pack, repeats
-from corvane.llm._words import Words, grouped
+from corvane.llm._words import Words, grouped, mix, prefix_hash, span_hash
 
 GRAM = 8
 #: Suffixes of one subtree, unless they share a prefix of the full window.
@@ -104,14 +104,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> tup
     if not GRAM < window < 128:
         raise ValueError("window must lie between 9 and 127 words")
 
-    def find(datas: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def find(datas: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for at, texts in grouped(datas):
             w = Words(texts)
             grams = w.grams(GRAM)
             lo, hi, anchor = anchor_runs(grams, w.first, w.last, window, GRAM)
             if len(lo):
                 i = w.text[lo]
-                yield at + i, grams[anchor], pack(lo - w.first[i], anchor - lo, hi - lo + 1)
+                run = span_hash(prefix_hash(w.hash), lo, hi + window)
+                yield at + i, grams[anchor], pack(lo - w.first[i], anchor - lo, hi - lo + 1), mix(run + (anchor - lo).astype(np.uint64))
 
     def cut(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         words = data.split()

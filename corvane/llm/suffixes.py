@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._repeats import NO_ID, anchor_runs, keyed, merged, pack, repeats
-from corvane.llm._words import grouped, prefix_hash, span_hash
+from corvane.llm._words import grouped, mix, prefix_hash, span_hash
 
-GRAM = 16
+GRAM = 24
 # A perfect difference cover; every residue modulo 31 is a difference of two.
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Suffixes sorted at a time.
@@ -122,10 +122,10 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100) -> DataFrame:
     Rows that repeat an id follow each other in the order of their bytes; rows without id come
     first of all.
     """
-    if not GRAM < length < GRAM + 112:
-        raise ValueError("length must lie between 17 and 127 bytes")
+    if not GRAM < length < GRAM + 104:
+        raise ValueError("length must lie between 25 and 127 bytes")
 
-    def find(datas: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def find(datas: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for at, texts in grouped(datas):
             raw = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
@@ -138,7 +138,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100) -> DataFrame:
             lo, hi, anchor = anchor_runs(grams, starts, ends, length, GRAM)
             if len(lo):
                 own = np.searchsorted(ends, lo, "right")
-                yield at + own, grams[anchor], pack(lo - starts[own], anchor - lo, hi - lo + 1)
+                run = mix(span_hash(p, lo, hi + length) + (anchor - lo).astype(np.uint64))
+                yield at + own, grams[anchor], pack(lo - starts[own], anchor - lo, hi - lo + 1), run
 
     def cut(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         return [bytes(data[a : a + n + length - 1]) for a, n in runs]
