@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Code points of a paragraph that one digest covers; longer paragraphs have several.
 PIECE = 64
-#: Cells in each of the three tables of the fingerprint, and of a bucket's first sketch.
-BASE_CELLS, BUCKET_CELLS = 6, 5
-#: Digests of both versions that a bucket holds on average, and sizes tried per bucket.
-BUCKET_KEYS, TRIES = 7, tuple((BUCKET_CELLS + 1) * 2**i - 1 for i in range(5))
+#: Cells in each of a sketch's three tables: in the fingerprint, and as tried per bucket.
+BASE_CELLS, TRIES = 4, (4, 8, 16, 32, 64)
+#: Digests of both versions that a bucket holds on average.
+BUCKET_KEYS = 5
 CHECK = (1 << 24) - 1
 ROUNDS = 24
 
@@ -47,45 +47,51 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def _cell(i: Column, cells: Column) -> Column:
-    """Cell ``i`` of a sketch: the shift that its table takes of a digest, and its place there."""
-    return F.struct((F.floor(i / cells) * 13 + 24).cast("int").alias("shift"), (i % cells).alias("place"))
+def _cells(n: int) -> Column:
+    """The cells of a sketch, as the bits of a digest that count and the bits they must have.
+
+    Tables have a power of two of cells and take different bits, so a digest belongs in the
+    cells whose bits it has: one in each table.
+    """
+    shifts = (24, 37, 50)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    return F.array(*[F.struct(_long(signed((n - 1) << s)).alias("mask"), _long(signed(i << s)).alias("bits")) for s in shifts for i in range(n)])
 
 
-def _in(key: Column, cell: Column, cells: Column) -> Column:
+def _in(key: Column, cell: Column) -> Column:
     """Whether a key belongs in a cell."""
-    return F.pmod(F.call_function("shiftrightunsigned", key, cell["shift"]), cells) == cell["place"]
+    return key.bitwiseAND(cell["mask"]) == cell["bits"]
 
 
-def _toggled(keys: Column, start: Column, i: Column, cells: Column) -> Column:
-    """Cell ``i`` after xoring into it those of the keys that belong there."""
-    return _let(_cell(i, cells), lambda c: F.aggregate(keys, start, lambda a, k: F.when(_in(k, c, cells), a.bitwiseXOR(k)).otherwise(a)))
+def _toggled(keys: Column, start: Column, cell: Column) -> Column:
+    """A cell after xoring into it those of the keys that belong there."""
+    return F.aggregate(keys, start, lambda a, k: F.when(_in(k, cell), a.bitwiseXOR(k)).otherwise(a))
 
 
 def sketch(keys: Column, cells: Column | int = BASE_CELLS) -> Column:
-    """array<long> of 3 * cells: each key xored into one cell of each table."""
-    cells = _long(cells) if isinstance(cells, int) else cells
-    return F.transform(F.sequence(_long(0), cells * 3 - 1), lambda i: _toggled(keys, _long(0), i, cells))
+    """array<long>: each key xored into one cell of each table."""
+    cells = _cells(cells) if isinstance(cells, int) else cells
+    return F.transform(cells, lambda c: _toggled(keys, _long(0), c))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def peel(difference: Column, cells: Column | int) -> Column:
+def peel(difference: Column, cells: Column | int = BASE_CELLS) -> Column:
     """struct(ok, found): whether peeling emptied the cells, and the digests it recovered."""
-    cells = _long(cells) if isinstance(cells, int) else cells
+    cells = _cells(cells) if isinstance(cells, int) else cells
 
-    def shown(c: Column, i: Column) -> Column:
-        single = (c != 0) & (F.xxhash64(c.bitwiseAND(F.lit(~CHECK))).bitwiseAND(F.lit(CHECK)) == c.bitwiseAND(F.lit(CHECK)))
-        return F.when(single & _in(c, _cell(i, cells), cells), c).otherwise(_long(0))
+    def shown(x: Column, c: Column) -> Column:
+        single = (x != 0) & _in(x, c) & (F.xxhash64(x.bitwiseAND(F.lit(~CHECK))).bitwiseAND(F.lit(CHECK)) == x.bitwiseAND(F.lit(CHECK)))
+        return F.when(single, x).otherwise(_long(0))
 
     def step(state: Column, _: Column) -> Column:
         def take(found: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, i: _toggled(found, c, i, cells))
+            left = F.zip_with(state["cells"], cells, lambda x, c: _toggled(found, x, c))
             return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) == 0).alias("done"))
 
-        single = F.array_distinct(F.filter(F.transform(state["cells"], shown), lambda c: c != 0))
+        single = F.array_distinct(F.filter(F.zip_with(state["cells"], cells, shown), lambda x: x != 0))
         return F.when(state["done"], state).otherwise(_let(single, take))
 
     start = F.struct(difference.alias("cells"), F.array().cast("array<long>").alias("found"), F.lit(False).alias("done"))
@@ -100,24 +106,25 @@ def peel(difference: Column, cells: Column | int) -> Column:
 def _bucket(a: Column, b: Column) -> Column:
     """The digests in which two small sets differ, by sketches that double on failure.
 
+    Xoring both sets into one sketch is subtracting their sketches; equal lists leave nothing.
     Should the largest sketch fail too, by a freak of hashing, the sets are compared outright.
     """
+    none = F.array().cast("array<long>")
     told = F.aggregate(
-        F.array(*[_long(c) for c in TRIES]),
+        F.array(*[_cells(n) for n in TRIES]),
         F.struct(F.lit(False).alias("ok"), F.array().cast("array<long>").alias("found")),
-        lambda r, cells: F.when(r["ok"], r).otherwise(peel(subtract(sketch(a, cells), sketch(b, cells)), cells)),
+        lambda r, cells: F.when(r["ok"], r).otherwise(peel(sketch(F.concat(a, b), cells), cells)),
     )
-    return _let(told, lambda r: F.when(r["ok"], r["found"]).otherwise(F.concat(F.array_except(a, b), F.array_except(b, a))))
+    found = _let(told, lambda r: F.when(r["ok"], r["found"]).otherwise(F.concat(F.array_except(a, b), F.array_except(b, a))))
+    return F.when(a == b, none).otherwise(found)
 
 
-def _dealt(keys: Column, side: Column) -> Column:
-    """array<array<long>>: keys by bucket, side * side of them, in two steps."""
-    b = lambda k: k.bitwiseAND(F.lit(CHECK)).cast("int")
-    outer = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.filter(keys, lambda k: b(k) % side == i))
+def _dealt(keys: Column, outer: Column, inner: Column) -> Column:
+    """array<array<long>>: keys by bucket, outer * inner (powers of two) of them, in two steps."""
+    low = lambda n: F.sequence(_long(0), n - 1)
+    first = F.transform(low(outer), lambda i: F.filter(keys, lambda k: k.bitwiseAND(outer - 1) == i))
     return F.flatten(
-        F.transform(
-            outer, lambda own: F.transform(F.sequence(F.lit(0), side - 1), lambda j: F.filter(own, lambda k: F.floor(b(k) / side).cast("int") % side == j))
-        )
+        F.transform(first, lambda own: F.transform(low(inner), lambda j: F.filter(own, lambda k: k.bitwiseAND((inner - 1) * outer) == j * outer)))
     )
 
 
@@ -128,18 +135,19 @@ def with_differing(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     these is tried first, larger sketches of buckets of the sets only where that fails.
     """
     own, other = F.col(a), F.col(b)
-    base = peel(subtract(F.col(f"{a}_sketch"), F.col(f"{b}_sketch")), BASE_CELLS)
+    base = peel(subtract(F.col(f"{a}_sketch"), F.col(f"{b}_sketch")))
     hopeless = F.abs(F.size(own) - F.size(other)) > 3 * BASE_CELLS
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(own) + F.size(other)) / BUCKET_KEYS)).cast("int"))
+    bits = F.greatest(F.lit(0), F.round(F.log2((F.size(own) + F.size(other)) / BUCKET_KEYS)).cast("int"))
+    failed = ~F.coalesce(F.col("_base.ok"), F.lit(False))
     return (
         rows.withColumn("_base", F.when(~hopeless, base))
-        .withColumn("_side", F.when(F.coalesce(F.col("_base.ok"), F.lit(False)), 0).otherwise(side))
-        .withColumns({"_a": F.when(F.col("_side") > 0, _dealt(own, F.col("_side"))), "_b": F.when(F.col("_side") > 0, _dealt(other, F.col("_side")))})
-        .withColumn(
-            out, F.when(F.col("_side") == 0, F.col("_base.found")).otherwise(F.flatten(F.zip_with("_a", "_b", _bucket)))
-        )
-        .drop("_base", "_side", "_a", "_b")
-    )
+        .withColumn("_bits", F.when(failed, F.coalesce(bits, F.lit(0))))
+        .withColumns({"_outer": F.call_function("shiftleft", _long(1), F.col("_bits") - F.floor(F.col("_bits") / 2).cast("int")),
+                      "_inner": F.call_function("shiftleft", _long(1), F.floor(F.col("_bits") / 2).cast("int"))})
+        .withColumns({f"_{s}": F.when(failed, _dealt(keys, F.col("_outer"), F.col("_inner"))) for s, keys in (("a", own), ("b", other))})
+        .withColumn(out, F.when(failed, F.flatten(F.zip_with("_a", "_b", _bucket))).otherwise(F.col("_base.found")))
+        .drop("_base", "_bits", "_outer", "_inner", "_a", "_b")
+    )
 
 
 def likeness(a: Column, b: Column, n_differing: Column) -> Column:
