@@ -47,7 +47,12 @@ def hash_embedding(t):
     return scores.hash_embedding(t.questions(), ["query_id"], "question").select("query_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query("x6j_hash_embedding_variant")
+@query(
+    "x6j_hash_embedding_variant",
+    r"""WITH w AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{Han}a-z0-9_.\-]+'), lambda x: length(x) >= 2)) AS term FROM benchmark),
+      s AS (SELECT query_id, ('0x' || substr(sha256(term), 1, 4))::BIGINT % 384 AS dim, sum(CASE WHEN ('0x' || substr(sha256(term), 5, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL)
+    SELECT query_id, dim::INTEGER AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY query_id)), 6) AS value FROM s WHERE x <> 0""",
+)
 def hash_embedding_variant(t):
     return scores.hash_embedding(t.questions(), ["query_id"], "question", variant=True).select("query_id", "dim", F.round("value", 6).alias("value"))
 

@@ -271,7 +271,13 @@ def clean_answer(t):
     return one.select("conv_id", "turn", text.drop_repeats(said).alias("answer")).where("answer <> ''")
 
 
-@query("x29_clean_rewritten_query")
+@query(
+    "x29_clean_rewritten_query",
+    r"""WITH s AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations),
+      o AS (SELECT *, CASE WHEN contains(t, chr(10)) THEN array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda l: regexp_replace(l, '\s+', '', 'g') <> ''),
+            lambda l: regexp_replace(l, '^[ \-*\t]+|[ \-*\t]+$', '', 'g')), ' ') ELSE t END AS one FROM s)
+    SELECT conv_id, turn, CASE WHEN length(one) > 260 OR one = '' OR regexp_matches(lower(t), 'thinking process|analyze the request|constraints:|final answer') THEN 'fallback' ELSE one END AS query FROM o""",
+)
 def clean_rewritten_query(t):
     return t("conversations").select("conv_id", "turn", text.clean_rewritten_query(F.concat(F.lit("<query>"), "text", F.lit("</query>")), F.lit("fallback")).alias("query"))
 
@@ -328,7 +334,27 @@ def web_pages(t):
     return web.web_pages(t("pages").where(F.col("html").isNotNull() & F.contains("html", F.lit("<title>")))).drop("body").where("title <> 'web-document'")
 
 
-@query("x21_html_to_text")
+def page_text() -> str:
+    c = "html"
+    for tag in ("script", "style", "noscript"):
+        c = f"regexp_replace({c}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    for pattern, to in ((r"(?s)<!--.*?-->", "''"), (r"(?is)<head[^>]*>.*?</head>", "''"), (r"\s+", "' '")):
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    for n in (1, 2, 3, 4, 5, 6):
+        c = f"regexp_replace({c}, '(?i)<h{n}(?: [^>]*)?>', chr(10) || chr(10) || '{'#' * n} ', 'g')"
+    for pattern, to in (
+        ("(?i)</h[1-6]>", "chr(10) || chr(10)"), ('(?i)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"'[\2](\1)'"), ("(?i)<li(?: [^>]*)?>", "chr(10) || '- '"),
+        ("(?i)<br ?/?>", "chr(10)"), ("(?i)</?(p|div|article|section|nav|ul|ol|table|tr)(?: [^>]*)?>", "chr(10) || chr(10)"), ("<[^>]*>", "''"),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    for name, char in web.ENTITIES:
+        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for pattern, to in ((r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+        c = f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+    return c
+
+
+@query("x21_html_to_text", f"SELECT page_id, {page_text()} AS body FROM pages")
 def html_to_text(t):
     return t("pages").select("page_id", web.html_to_text(F.col("html")).alias("body"))
 
