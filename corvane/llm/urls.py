@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm._stage import staged
+
 # Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 
@@ -71,30 +73,32 @@ def suffix_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _level(counts: DataFrame, keys: list[str], prior: Column, weakest: float, strongest: float) -> DataFrame:
-    """Posterior mean of each group, its prior's strength fitted by moments over the groups.
+def _strength(counts: DataFrame, weakest: float, strongest: float) -> float:
+    """Prior strength of groups (n, bad, prior), fitted by moments over all of them.
 
-    The strength is ``m(1-m)/v - 1`` where v is the spread of the groups' shares beyond what
-    their sizes explain; it is kept within ``weakest`` and ``strongest``.  One row of sums
-    decides it, so the driver sees no group.
+    It is ``m(1-m)/v - 1`` where v is the spread of the groups' shares beyond what their sizes
+    explain, kept within ``weakest`` and ``strongest``.  One row of sums decides it, so the
+    driver sees no group; sums are decimal and do not depend on the order of rows.
     """
-    share, p = F.col("bad") / F.col("n"), prior
-    fit = counts.where(F.col("n") > 0).agg(
-        F.sum(F.round(F.col("n") * (share - p) * (share - p), 9).cast("decimal(30,9)")).cast("double").alias("spread"),
-        F.sum(F.round(p * (1 - p), 9).cast("decimal(30,9)")).cast("double").alias("noise"),
-        F.sum(F.round(F.col("n") * p * (1 - p), 9).cast("decimal(30,9)")).cast("double").alias("mass"),
-        F.sum(F.when(F.col("n") > 0, 1.0)).alias("groups"),
-        F.sum("n").cast("double").alias("total"),
-    )
-    excess = (F.col("spread") - F.col("noise")) / (F.col("total") - F.col("groups"))
-    scale = F.col("mass") / F.col("total")
-    fitted = fit.select(
-        F.coalesce(
-            F.when((F.col("total") > F.col("groups")) & (excess > 0), F.greatest(F.lit(weakest), F.least(F.lit(strongest), scale / excess - 1))),
-            F.lit(strongest),
-        ).alias("strength")
-    )
-    return counts.crossJoin(F.broadcast(fitted)).withColumn("mean", (F.col("bad") + p * F.col("strength")) / (F.col("n") + F.col("strength")))
+    n, p, share = F.col("n"), F.col("prior"), F.col("bad") / F.col("n")
+    exact = lambda c: F.coalesce(F.sum(F.round(c, 9).cast("decimal(30,9)")).cast("double"), F.lit(0.0))
+    fit = counts.where("n > 0").agg(
+        exact(n * (share - p) * (share - p)).alias("spread"),
+        exact(p * (1 - p)).alias("noise"),
+        exact(n * p * (1 - p)).alias("mass"),
+        F.count("*").cast("double").alias("groups"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total"),
+    ).first()
+    if fit["total"] <= fit["groups"] or fit["spread"] <= fit["noise"]:
+        return strongest
+    excess = (fit["spread"] - fit["noise"]) / (fit["total"] - fit["groups"])
+    return max(weakest, min(strongest, (fit["mass"] / fit["total"]) / excess - 1))
+
+
+def _posterior(counts: DataFrame, weakest: float, strongest: float) -> DataFrame:
+    """Adds ``strength`` and ``mean`` to groups (n, bad, prior)."""
+    strength = F.lit(_strength(counts, weakest, strongest))
+    return counts.withColumns({"strength": strength, "mean": (F.col("bad") + F.col("prior") * strength) / (F.col("n") + strength)})
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame, weakest: float = 1.0, strongest: float = 50.0, z: float = 1.0) -> DataFrame:
@@ -106,20 +110,23 @@ def reputations(pages: DataFrame, outcomes: DataFrame, weakest: float = 1.0, str
     Counts are summed per host before anything is joined or shuffled by domain or suffix.
     """
     labelled = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = (
+    hosts = staged(
         pages.where(F.col("host") != "")
         .join(labelled, "page_id", "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+        .select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"),
+        "hosts",
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Add-one smoothing gives the root a prior of its own.
-    root = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
-    suffixes = _level(suffixes.crossJoin(F.broadcast(root)), ["suffix"], F.col("prior"), weakest, strongest).select("suffix", F.col("mean").alias("prior"))
-    domains = _level(domains.join(suffixes, "suffix"), ["domain"], F.col("prior"), weakest, strongest).select("domain", F.col("mean").alias("prior"))
-    out = _level(hosts.join(domains, "domain"), ["host"], F.col("prior"), weakest, strongest)
+    all_ = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    root = F.lit((all_["bad"] + 1) / (all_["n"] + 2))
+    prior = lambda level, key: _posterior(level, weakest, strongest).select(key, F.col("mean").alias("prior"))
+    suffixes = prior(suffixes.withColumn("prior", root), "suffix")
+    domains = staged(prior(domains.join(suffixes, "suffix"), "domain"), "domains")
+    out = _posterior(hosts.join(domains, "domain"), weakest, strongest)
     return out.withColumn(
         "lower", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
     ).select("host", "n", "bad", "strength", "mean", "lower")
