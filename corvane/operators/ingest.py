@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import suffix
+from corvane.sources.shared import cut
 
 # Suffixes taken from archives, and their content types.
 CONTENT_TYPES = {
@@ -199,11 +201,11 @@ def write_chunks(spark, chunks: DataFrame, path: str) -> None:
     new = chunks.withColumn("part", part)
     try:
         old = spark.read.parquet(path)
-    except Exception:  # no table yet
+    except AnalysisException:  # no table yet
         new.write.partitionBy("part").parquet(path)
         return
     touched = new.select("part").distinct()
     kept = old.join(touched, "part", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti")
     out = kept.select(*new.columns).unionByName(new)
     # What is read is what is overwritten, so the rows are cut off from the table first.
-    out.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    cut(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

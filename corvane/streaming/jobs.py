@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.chunking import chunk_documents
 from corvane.operators.ingest import dedupe_exact, map_remote_status, new_documents, write_chunks
+from corvane.sources.shared import cut
 
 DOCUMENTS = "document_id string, collection_id string, title string, body string"
 
@@ -16,7 +18,7 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``, or an empty one before its first write."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:
+    except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
@@ -30,10 +32,8 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, out: str, most: int = 60
     rows = batch.withColumn("checksum", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256))
     fresh = new_documents(dedupe_exact(rows), _table(spark, f"{out}/documents", stored))
     empty = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", "") == ""
-    known = fresh.select(
-        "document_id", "collection_id", "title", "body", "checksum",
-        F.when(empty, "failed").otherwise("ready").alias("status"), F.when(empty, "empty text").alias("error_message"),
-    ).checkpoint()
+    status, error = F.when(empty, "failed").otherwise("ready"), F.when(empty, "empty text")
+    known = cut(fresh.select("document_id", "collection_id", "title", "body", "checksum", status.alias("status"), error.alias("error_message")))
     good = known.where("status = 'ready'")
     if not known.isEmpty():
         write_chunks(spark, chunk_documents(good, most, overlap), f"{out}/chunks")
