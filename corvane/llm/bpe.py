@@ -18,13 +18,16 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CODED = "ids array<int>, decoded string"
 #: Words whose ids a worker remembers; the table is emptied when full, so memory is bounded.
 REMEMBERED = 200_000
+#: Rows that leave :func:`encode` together.
+ROWS_OUT = 256
 
 
 def byte_letters() -> list[str]:
@@ -176,21 +179,32 @@ def _lone_surrogates(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>) and ``decoded`` to each row of ``docs``.
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Adds ``ids`` (array<int>), and with ``decoded`` the decoded text, to each row of ``docs``.
 
     ``path`` names a vocabulary file present on every executor.  A null or empty text has no
-    ids.  Columns of these names in ``docs`` are replaced; repeated rows are encoded each.
+    ids.  Columns of these names in ``docs`` are replaced; repeated rows are encoded each.  Rows
+    leave a task some hundred at a time, so it holds the ids of no more texts than that.
     """
+    rows = docs.drop("ids", "decoded")
+    fields = [*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField("decoded", T.StringType())] if decoded else []
+    names, at = [f.name for f in fields], rows.columns.index(text)
 
-    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for texts in parts:
-            rows = [coder.encode(_lone_surrogates(t)) if t else ([], "") for t in texts]
-            yield pd.DataFrame({"ids": [np.asarray(r[0], np.int32) for r in rows], "decoded": [r[1] for r in rows]})
-
-    out = docs.drop("ids", "decoded", "_coded").withColumn("_coded", F.pandas_udf(coded, CODED)(F.col(text)))
-    return out.select("*", "_coded.ids", "_coded.decoded").drop("_coded")
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(first, ROWS_OUT)
+                ids, shown = [], []
+                for t in part.column(at).to_pylist():
+                    own, words = coder.encode(_lone_surrogates(t)) if t else ([], "")
+                    ids.append(np.asarray(own, np.int32))
+                    shown.append(words if decoded else None)
+                made = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(shown, pa.string())] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+
+    return rows.mapInArrow(coded, T.StructType(fields))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
