@@ -6,9 +6,10 @@ and would discount just what is looked for).  Improved consistent weighted sampl
 agree with the probability of their weighted Jaccard similarity; four samples make a band, and
 texts that share a band are compared exactly.
 
-In a bucket of texts that share a band each text is compared with one leader, so hot buckets
-cost no more than their size.  Those unlike their leader meet again in buckets of two shared
-bands, then three, each with a leader of its own, until none is left.
+Of two texts that share a band, each is compared with the other unless both are in one class
+already.  A bucket's texts first meet one leader, then the one of them with most links, so that
+groups of copies become one class at the cost of their size; all pairs of a bucket that are in
+different classes after that are compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._stage import staged
@@ -26,6 +27,8 @@ from corvane.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
+#: Rounds in which a bucket's texts meet one leader, and texts of a block when all meet.
+LEADERS, BLOCK = 2, 128
 #: Document frequencies are counted for this many classes of words, by hash.
 CLASSES = 1 << 16
 #: Sampling variates come from tables of this many draws; weights count in steps of 1/16 nat.
@@ -141,19 +144,19 @@ def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple = (None, None)
+        last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in parts:
             out = []
             for x, y in zip(_bytes(pdf["a_text"]), _bytes(pdf["b_text"]), strict=True):
-                sets = []
+                sets = {}
                 for t in (x, y):
-                    if t is not None and t == last[0]:
-                        sets.append(last[1])
+                    if t in last:
+                        sets[t] = last[t]
                         continue
                     w = Words([t])
-                    sets.append(shingles(w, 0, w.grams(SHINGLE), shared.value))
-                last = (y, sets[1])
-                (h, u), (g, v) = sets
+                    sets[t] = shingles(w, 0, w.grams(SHINGLE), shared.value)
+                last = sets
+                (h, u), (g, v) = sets[x], sets[y]
                 _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
                 low = float(np.minimum(u[i], v[j]).sum())
                 whole = float(u.sum() + v.sum()) - low
@@ -166,12 +169,53 @@ def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.mapInPandas(judged, "a long, b long, similarity double")
 
 
+BOTH = ["low", "high"]
+
+
+def ordered() -> list[Column]:
+    return [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+
+
+def degrees(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+
+
+def led(standing: DataFrame) -> DataFrame:
+    """Pairs of each text and its bucket's leader, the one with most links (of these the smallest id)."""
+    first = F.max(F.struct("n_links", (-F.col("rep")).alias("minus"), F.col("root").alias("b_root"))).alias("first")
+    leader = standing.groupBy("at", "key").agg(first).select("at", "key", (-F.col("first.minus")).alias("b"), "first.b_root")
+    pairs = standing.join(leader, ["at", "key"]).where("root <> b_root").select(F.col("rep").alias("a"), "b")
+    return pairs.distinct().select("a", "b", *ordered())
+
+
+def met(standing: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs of a bucket with different roots, each once.
+
+    A bucket is cut in blocks of about ``block`` texts, and each two of its blocks meet apart.
+    """
+    sizes = standing.groupBy("at", "key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = standing.join(sizes, ["at", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells = staged(
+        dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+            "at", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "root"
+        ),
+        "cells",
+    )
+    cell = ["at", "key", "i", "j"]
+    a, b = (cells.select(*cell, *(F.col(c).alias(f"{x}_{c}") for c in ("mine", "rep", "root"))) for x in "ab")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cell]
+    apart = [F.col("a_rep") > F.col("b_rep"), F.col("a_root") != F.col("b_root"), (F.col("a.i") == F.col("a.j")) | (F.col("a_mine") != F.col("b_mine"))]
+    both = a.alias("a").join(b.alias("b"), same + apart)
+    return both.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct().select("a", "b", *ordered())
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id, n_links): one row per row of ``docs`` with an id.
 
-    ``class_id`` is the smallest id of the documents joined by chains of pairs that have a
-    weighted Jaccard similarity of ``similar`` or more, or equal texts (a null text equals the
-    empty one).  ``n_links`` counts the compared pairs that passed for the document's text.
+    Texts that share a band are compared unless other pairs made them one class before, so
+    ``n_links`` has no pairs that could not change a class.  ``class_id`` is the smallest id of
+    the documents joined by chains of pairs that have a weighted Jaccard similarity of
+    ``similar`` or more, or equal texts (a null text equals the empty one).  ``n_links`` counts the compared pairs that passed for the document's text.
     Texts without words are like equal texts only.  Rows that repeat an id are one document
     for its class and each give a row; rows without id have class null and no links.  An empty table
     gives an empty result.  Other columns of ``docs`` play no part.
@@ -186,36 +230,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILA
 
     at = F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("at")
     todo = staged(firsts.where(F.size("bands") > 0).select("rep", at, "bands").select("rep", "at", F.col("bands")[F.col("at")].alias("key")), "bands")
-    crowded = todo.groupBy("at", "key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    todo = staged(todo.join(crowded, ["at", "key"]).select("rep", "at", "key", "leader"), "crowded")
+    crowded = todo.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1")
+    todo = staged(todo.join(crowded, ["at", "key"]).select("rep", "at", "key"), "crowded")
     # Only texts that share a band with another travel.
     wanted = todo.select(F.col("rep").alias("doc_id")).distinct()
     texts = staged(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    found, tried, depth = None, None, 1
-    while True:
-        pairs = todo.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    standing = todo.select("rep", "at", "key", F.col("rep").alias("root"), F.lit(0).cast("long").alias("n_links"))
+    tried = None
+    for leaders in reversed(range(LEADERS + 1)):
+        pairs = led(standing) if leaders else met(standing)
         if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        judged = staged(compared(pairs, texts, idf), "compared")
+            pairs = pairs.join(tried.select(*BOTH), BOTH, "left_anti")
+        judged = staged(compared(pairs, texts, idf).select("a", "b", "similarity", *ordered()), "compared")
         tried = judged if tried is None else tried.unionByName(judged)
-        found = tried.where(F.col("similarity") >= similar)
-        if depth == BANDS:
-            break
-        # Those unlike their leader go on, with one more band to share.
-        failed = tried.where(F.col("similarity") < similar).select(F.col("a").alias("rep"), F.col("b").alias("leader"))
-        again = (
-            todo.join(failed, ["rep", "leader"])
-            .join(firsts.select("rep", "bands"), "rep")
-            .select("rep", "at", F.xxhash64("key", F.col("bands")[F.pmod(F.col("at") + depth, F.lit(BANDS))]).alias("key"))
-        )
-        crowded = again.groupBy("at", "key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-        todo = staged(again.join(crowded, ["at", "key"]).select("rep", "at", "key", "leader"), "crowded")
-        if not todo.limit(1).count():
-            break
-        depth += 1
-    links = staged(found.select("a", "b"), "links")
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        links = staged(tried.where(F.col("similarity") >= similar).select("a", "b"), "links")
+        roots, degree = staged(components(links), "roots"), staged(degrees(links), "degrees")
+        if leaders:
+            placed = (
+                todo.select("rep", "at", "key")
+                .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+                .join(degree, "rep", "left")
+                .select("rep", "at", "key", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            )
+            divided = placed.groupBy("at", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+            standing = staged(placed.join(divided.select("at", "key"), ["at", "key"]), "divided")
     named = (
         firsts.select("same", "rep")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -198,6 +198,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[d] for d, _ in rows] == [rows[find(i)][0] for i in range(len(rows))]
 
 
+def test_copies_of_a_late_original_are_one_class(spark):
+    # Copies resemble the original, which has the largest id, and not each other.
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        w = [f"w{x}" for x in rng.integers(0, 3000, 400)]
+        for i in range(12):
+            c = list(w)
+            for at in rng.choice(400, 7, replace=False):
+                c[at] = f"n{g}x{i}x{at}"
+            rows.append((g * 100 + i, " ".join(c)))
+        rows.append((g * 100 + 99, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.document_frequencies(df)
+    group = [(i, t) for i, t in rows if i < 100]
+    pairs = spark.createDataFrame([(a, b) for a, _ in group for b, _ in group if a > b], "a long, b long")
+    sim = {(r["a"], r["b"]): r["similarity"] for r in minhash.compared(pairs, df, idf).collect()}
+    assert min(v for (a, _), v in sim.items() if a == 99) >= 0.8 > max(v for (a, _), v in sim.items() if a != 99)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in rows}
+
+
+def test_all_pairs_of_a_bucket_meet(spark):
+    rows = [(i, 0, 7, i % 3, 0) for i in range(50)] + [(i, 1, 7, i % 3, 0) for i in range(40, 60)]
+    standing = spark.createDataFrame(rows, "rep long, at int, key long, root long, n_links long")
+    want = {(a, b) for a, x, _, r, _ in rows for b, y, _, s, _ in rows if x == y and a > b and r != s}
+    for block in (4, 128):
+        got = [(r["a"], r["b"]) for r in minhash.met(standing, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_sampler_agrees_with_similarity():
     rng = np.random.default_rng(7)
     h = rng.integers(1, 1 << 62, 900).astype(np.uint64)
