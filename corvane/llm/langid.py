@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Bytes that are encoded at a time.  A dictionary saves much the same on any text beyond its own
+#: size; begun anew for each block, it saves in proportion to the length.
+BLOCK = 1 << 15
 
 #: Matches of four bytes count: words of these lengths tell languages apart.
 CODING = {"min_match": 4, "strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 17, "chain_log": 16, "search_log": 3}
@@ -69,7 +72,8 @@ def classify(
     """Adds ``lang_pred``, ``score``, ``margin`` and ``rejected`` to ``docs``.
 
     ``lang_pred`` is the language whose dictionary gives the smallest encoding of the whole
-    text in lower case (ties go to the first name by code point), or ``und`` where the text is null, has no
+    text in lower case, as the sum over its blocks of ``BLOCK`` bytes (ties go to the first name
+    by code point), or ``und`` where the text is null, has no
     letter, or no language was learned.  ``margin`` is the saving against the runner-up as a
     share of the runner-up's size, and ``score`` maps it to 0..1 (0.5: no saving).  ``rejected``
     is true for ``und`` and where the margin is under ``margin``.  Columns of these names in
@@ -92,7 +96,8 @@ def classify(
                     rows.append((UNKNOWN, 0.0, 0.0))
                     continue
                 data = t.lower().encode("utf-8", "surrogatepass")
-                sizes = [len(c.compress(data)) for c in coders]
+                blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
+                sizes = [sum(len(c.compress(b)) for b in blocks) for c in coders]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
                 gap = (rest - sizes[best]) / rest

@@ -455,6 +455,22 @@ def test_language_accuracy(spark):
 # --- pipeline ------------------------------------------------------------------------------
 
 
+def test_language_of_long_texts(spark):
+    df = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    learned = langid.fit(df)
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang in sorted(learned):
+        own = sorted({w for r in df.where(F.col("lang") == lang).limit(60).collect() for w in (r["text"] or "").split()})
+        w = [own[i] for i in rng.integers(0, len(own), 900_000)]
+        rows += [(lang, " ".join(w[:5000])), (lang, " ".join(w))]
+    got = langid.classify(spark.createDataFrame(rows, "lang string, text string"), learned).collect()
+    long = [r for r in got if len(r["text"]) > 4_000_000]
+    short = {r["lang"]: r["margin"] for r in got if len(r["text"]) < 100_000}
+    assert len(long) == len(short) == len(learned)
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] and r["margin"] > short[r["lang"]] / 2 for r in long)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
