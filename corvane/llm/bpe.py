@@ -10,6 +10,7 @@ merges tells.  Following the stored tokens back from the end gives the ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers; the table is emptied when full, so memory is bounded.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Rows that leave :func:`encode` together.
 ROWS_OUT = 256
 
@@ -71,7 +72,7 @@ class Encoder:
                 self.matcher.add_word(self._symbols(text), (i, self._length(text)))
         self.matcher.make_automaton()
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.known: dict[str, tuple[np.ndarray, str]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def _single(self, text: str) -> bool:
         return len(text.removesuffix(self.end) or text) == 1
@@ -131,21 +132,17 @@ class Encoder:
             i = start[i]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[list[int], str]:
-        known = self.known.get(word)
-        if known is None:
-            ids = self.word_ids(word.encode())
-            known = (ids, " ".join([self.texts[i] for i in ids]))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = known
-        return known
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """(ids, decoded text) of a whole text."""
+    def _word(self, word: str) -> list[int]:
+        ids = self.word_ids(word.encode())
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if len(word) <= 64:
+            self.known[word] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
         ids: list[int] = []
-        shown: list[str] = []
         at = 0
         pieces: list[tuple[str, str | None]] = []
         for m in self.specials.finditer(text) if self.specials else ():
@@ -156,14 +153,12 @@ class Encoder:
             if not plain.isascii():
                 # Capital sigma is lower-cased by itself, whatever stands after it.
                 plain = unicodedata.normalize("NFC", plain).replace("Σ", "σ")
+            known, new = self.known.get, self._word
             for word in self.words.findall(plain.lower()):
-                got = self.known.get(word) or self._word(word)
-                ids += got[0]
-                shown.append(got[1])
+                ids += known(word) or new(word)
             if special is not None:
                 ids.append(self.special[special])
-                shown.append(special)
-        return ids, " ".join(shown)
+        return ids
 
     def decode(self, ids) -> str:
         """The vocabulary entries joined by one space, special tokens included."""
@@ -179,16 +174,21 @@ def _lone_surrogates(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
-    """Adds ``ids`` (array<int>), and with ``decoded`` the decoded text, to each row of ``docs``.
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", decoded_digest: bool = False) -> DataFrame:
+    """Adds ``ids`` (array<int>) to each row of ``docs``, and with ``decoded_digest`` also
+    ``decoded_sha256``, the SHA-256 (hex) of the text that :func:`decode` makes of the ids.
 
     ``path`` names a vocabulary file present on every executor.  A null or empty text has no
     ids.  Columns of these names in ``docs`` are replaced; repeated rows are encoded each.  Rows
     leave a task some hundred at a time, so it holds the ids of no more texts than that.
     """
-    rows = docs.drop("ids", "decoded")
+    rows = docs.drop("ids", "decoded_sha256")
     fields = [*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    fields += [T.StructField("decoded", T.StringType())] if decoded else []
+    fields += [T.StructField("decoded_sha256", T.StringType())] if decoded_digest else []
     names, at = [f.name for f in fields], rows.columns.index(text)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +196,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(first, ROWS_OUT)
-                ids, shown = [], []
-                for t in part.column(at).to_pylist():
-                    own, words = coder.encode(_lone_surrogates(t)) if t else ([], "")
-                    ids.append(np.asarray(own, np.int32))
-                    shown.append(words if decoded else None)
-                made = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(shown, pa.string())] if decoded else [])
+                ids = [coder.encode(_lone_surrogates(t)) if t else [] for t in part.column(at).to_pylist()]
+                made = [pa.array([np.asarray(i, np.int32) for i in ids], pa.list_(pa.int32()))]
+                if decoded_digest:
+                    made.append(pa.array([_sha256(coder.decode(i)) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
 
     return rows.mapInArrow(coded, T.StructType(fields))
@@ -219,19 +217,19 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: number of ids, and digests of the ids and of the decoded text.
+    """One row per document: number of ids, and digests of the ids and of what they decode to.
 
-    The digests are taken where the ids are made, so that neither ids nor text travel.
+    A null text is the empty one, repeated rows and ids give a row each, other columns play no
+    part.  The digests are taken where the ids are made, so that neither ids nor text travel.
     """
-    import hashlib
 
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(path)
         for texts in parts:
             rows = []
             for t in texts:
-                ids, shown = coder.encode(_lone_surrogates(t)) if t else ([], "")
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
+                ids = coder.encode(_lone_surrogates(t)) if t else []
+                rows.append((len(ids), _sha256(" ".join(map(str, ids))), _sha256(coder.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     judge = F.pandas_udf(judged, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -32,29 +32,26 @@ def fit(
 ) -> dict[str, bytes]:
     """Dictionaries by language, from a bounded sample of labelled rows.
 
-    The sample takes at most ``texts_each`` distinct texts of a language, those with the
-    smallest hash, and at most ``slice_chars`` of each, until ``dictionary_bytes`` are full;
-    so the driver gets ``languages * texts_each * slice_chars`` at most however large the
-    corpus is.  Rows without text or language teach nothing.  Equal rows count once.
+    A language's texts are dealt to ``texts_each`` slices by hash, and of each slice the text
+    with the smallest hash teaches: a passage of at most ``slice_chars`` that begins anywhere
+    within it, as the hash says.  So the driver gets ``languages * texts_each * slice_chars`` at
+    most however large the corpus is, and no task more than one text per language and slice from
+    each other.  Rows without text, letters or language teach nothing.  Equal rows count once.
     """
+    own, h = F.col(text), F.xxhash64(F.col(text))
+    start = F.pmod(F.xxhash64(own, F.lit(1)), F.greatest(F.length(own) - slice_chars + 1, F.lit(1))).cast("int")
     sample = (
-        labelled.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, slice_chars).alias("text"))
-        .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .withColumn("h", F.xxhash64("text"))
-        .dropDuplicates(["lang", "h"])
-        # First within slices of a language, since one language may hold most rows.
-        .withColumn("slice", F.pmod(F.shiftright("h", 32), F.lit(256)))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "text")))
-        .where(F.col("n") <= texts_each)
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-        .where(F.col("n") <= texts_each)
+        labelled.where(F.col(lang).isNotNull() & own.rlike(r"\p{L}"))
+        .select(F.col(lang).alias("lang"), F.pmod(h, F.lit(texts_each)).alias("slice"), F.struct(h.alias("h"), F.substring(own, start + 1, F.lit(slice_chars)).alias("text")).alias("t"))
+        .groupBy("lang", "slice")
+        .agg(F.min("t").alias("t"))
     )
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
-        parts.setdefault(row["lang"], []).append(row["text"].lower().encode("utf-8", "surrogatepass"))
+    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["t"]["h"], r["t"]["text"])):
+        parts.setdefault(row["lang"], []).append(row["t"]["text"].lower().encode("utf-8", "surrogatepass"))
     out = {}
     for name, texts in parts.items():
-        # Later bytes of a raw dictionary are the cheapest to refer to; all texts get a share.
+        # All texts get a share, and those that come first what others leave.
         each = max(1, dictionary_bytes // len(texts))
         slices = [t[:each] for t in texts]
         spare = dictionary_bytes - sum(map(len, slices))

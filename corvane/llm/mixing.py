@@ -33,19 +33,30 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(source, n, source_size, target) by source, from rows of (source, size).
 
     Sources take the weights in turn by code point, null last.  Targets share all words by
     weight; one above ``most`` times its source's size stops there and its excess is shared
     among the others by weight, until none is above.  Each pass is one sum over the table of
-    sources; the driver holds two numbers.
+    sources; the driver holds two numbers, and one for every 50,000 sources.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    per = staged(
-        sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")).withColumn("weight", weight), "sources"
-    )
+    sums = staged(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), "sums")
+    # Sources are numbered by ranges, so that no task needs all of them however many there are.
+    order = F.col("source").asc_nulls_last()
+    ranged = sums.repartitionByRange(1 + sums.count() // 50_000, order).withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(order))), "ranged")
+    before, past = {}, 0
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        before[r["part"]], past = past, past + r["n"]
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((first + F.col("at") - 1) % len(weights) + 1).cast("int"))
+    per = staged(ranged.withColumn("weight", weight).select("source", "n", "source_size", "weight"), "sources")
     limit = most * F.col("source_size")
     total = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level, held = 0.0, -1
@@ -129,7 +140,7 @@ def landing(p: np.ndarray, was: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _walk(last: bool, seed: int):
     def walked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="cell").sort_values(["tie", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.drop(columns="cell").sort_values(["tie", "seq", "doc_id", "size"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(last), len(pdf), int(pdf["tie"].iloc[0]) & 0xFFFFFFFF])
         p, size = pdf["p"].to_numpy(float), pdf["size"].to_numpy(np.int64)
         if last:
@@ -143,17 +154,24 @@ def _walk(last: bool, seed: int):
 def mix(
     docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = 4096, seed: int = 11
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken, tie): how often each row is taken.
-
-    ``tie`` is a hash of the row's id and text, by which copies can be joined to documents.
-
-    ``docs`` has doc_id, source and text.  Rows count each, also where they or their ids repeat;
-    a null source is a source of its own, a null text has no words.  Sources without words have
-    target 0.  An empty table gives an empty result.  The draw depends on the rows and ``seed``
-    alone, not on partitions or order.  No source or block meets in one task as a whole: a
-    source's documents are dealt to blocks of about ``block`` by hash.
+    """(doc_id, source, size, source_size, target, copies, taken, tie, seq): how often each row is taken.
+
+    ``docs`` has doc_id, source and text.  ``tie`` is a hash of the whole row, and ``seq``
+    numbers equal rows from 1: by (doc_id, tie) copies can be summed and joined to documents.
+    Rows count each, also where they or their ids repeat; a null source is a source of its own,
+    a null text has no words.  Sources without words have target 0.  An empty table gives an
+    empty result.  The draw depends on the rows and ``seed`` alone, not on partitions or order.
+    No source, block or set of equal rows meets in one task as a whole: a source's rows are
+    dealt to blocks of about ``block`` by hash.
     """
-    sized = staged(docs.select("doc_id", "source", words_in(F.col(text)).alias("size"), F.xxhash64("doc_id", text).alias("tie")), "sized")
+    if block < 4 * HELD:
+        raise ValueError(f"a block must hold {4 * HELD} rows or more")
+    each = docs.select("doc_id", "source", words_in(F.col(text)).alias("size"), row_hash(docs).alias("tie"))
+    # Equal rows are counted, which begins in the tasks, and told apart by number.
+    sized = staged(
+        each.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n")).select("doc_id", "source", "size", "tie", F.explode(F.expr("sequence(1L, n)")).alias("seq")),
+        "sized",
+    )
     # By a written table Spark knows the size of the sources and broadcasts them only if small.
     per = staged(targets(sized, weights, most).withColumn("key", F.xxhash64("source", F.lit(seed))), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -164,7 +182,7 @@ def mix(
         .drop(per["source"])
         .withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio)})
     )
-    cols = ["doc_id", "source", "size", "tie", "source_size", "target", "n", "key", "whole", "p"]
+    cols = ["doc_id", "source", "size", "tie", "seq", "source_size", "target", "n", "key", "whole", "p"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*cols).schema)
     largest = int(per.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
     rounds = 1
@@ -177,7 +195,7 @@ def mix(
         blocks, small = (F.lit(1), F.lit(False)) if last else (F.ceil(expect / block), expect <= block)
         walked = (
             todo.where(~small)
-            .withColumn("cell", F.pmod(F.xxhash64("tie", F.lit(seed + r)), blocks))
+            .withColumn("cell", F.pmod(F.xxhash64("tie", "seq", F.lit(seed + r)), blocks))
             .groupBy("key", "cell")
             .applyInPandas(_walk(last, seed), schema)
         )
@@ -188,4 +206,4 @@ def mix(
     for part in settled[1:]:
         every = every.unionByName(part)
     copies = F.col("whole") + F.col("p").cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tie")
+    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tie", "seq")
