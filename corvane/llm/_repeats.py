@@ -2,16 +2,22 @@
 
 Two equal windows of L symbols have the same least-hashed gram at the same place.  So each text
 is cut into runs of windows that share that gram, its anchor; about one symbol in fifty is an
-anchor.  Only runs whose anchor occurs twice can repeat.  Where all runs of an anchor are equal,
-by a hash of the run, each repeats as a whole.  The symbols of the others, and nothing else, are
-brought together by anchor, where the operator's own index (a suffix tree, a suffix array) says
-which windows are equal.  Equal runs of one task are combined before they travel.
-
-Texts travel once, by document; all three steps that need them read the same exchange.
+anchor.  Only runs whose anchor occurs twice can repeat.  Equal runs of an anchor are combined
+before anything else: all but the first repeat as a whole.  The symbols of the different ones,
+and nothing else, are brought together by anchor, where the operator's own index (a suffix tree,
+a suffix array) says which windows are equal.  An anchor with very many different runs (the edge
+of a passage that a large share of all texts shows) would be one large group: its runs are dealt
+by the longest prefix there is, the window itself.
+
+Texts travel once, by document; all three steps that need them read the same exchange.  Runs are
+told apart by the hash of their anchor and of their symbols, 48 and 56 bits: among 10**12 runs
+two different ones are taken as equal with a chance of one in ten million.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,13 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _PLACE = np.uint64((1 << 28) - 1)
-#: Stands for a null id in joins.
+SLICE = 1 << 27
+#: Keys of rows without id begin here; they lie before those of all others.
 NO_ID = -(1 << 63)
 #: Bytes of runs that an index takes at a time, whole anchors apart.
 INDEX_BYTES = 1 << 20
+#: Different runs of an anchor that one index takes; those of larger anchors are dealt by window.
+CROWDED = 4096
 
-RUN = "g long, off int, windows int, content binary, occ array<struct<kid: long, seq: int, start: long, end: long>>"
-#: Bits of anchor and run hashes that travel; equal runs are told apart within an anchor only.
+RUN = "g long, off int, windows int, content binary, mark long, kid long, seq int, start long, whole array<struct<lo: long, hi: long>>"
+WHOLE, WINDOW = -1, -2
+#: Bits of anchor and run hashes that travel.
 ANCHOR_BITS, RUN_BITS = 48, 56
 
 
@@ -49,15 +59,21 @@ def anchor_runs(grams: np.ndarray, first: np.ndarray, last: np.ndarray, length:
     none = np.zeros(0, np.int64)
     if len(grams) < width:
         return none, none, none
-    least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), width)
     long_enough = last - first >= length
-    edges = np.zeros(len(least) + 1, np.int32)
+    n = len(grams) - width + 1
+    edges = np.zeros(n + 1, np.int32)
     np.add.at(edges, first[long_enough], 1)
     np.add.at(edges, last[long_enough] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(edges[:-1]))
     if len(starts) == 0:
         return none, none, none
-    anchors = (least[starts] & _PLACE).astype(np.int64)
+    # Places within a slice fit below the hash bits; a run may end with its slice.
+    anchors = np.empty(len(starts), np.int64)
+    for a in range(0, n, SLICE):
+        part = grams[a : min(a + SLICE, n) + width - 1]
+        least = sliding_min((part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), width)
+        lo, hi = np.searchsorted(starts, (a, a + SLICE))
+        anchors[lo:hi] = (least[starts[lo:hi] - a] & _PLACE).astype(np.int64) + a
     cut = np.flatnonzero(np.diff(anchors)) + 1
     return starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))], anchors[np.concatenate(([0], cut))]
 
@@ -70,12 +86,18 @@ def unpack(meta: int) -> tuple[int, int, int]:
     return meta >> 14, (meta >> 7) & 127, (meta & 127) + 1
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """(kid, seq, data): rows told apart by id and, where ids repeat, by a number."""
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")
-    )
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("kid").orderBy("data")))
+def keyed(docs: DataFrame, text: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(long, short): rows (doc_id, kid, seq, data), and those (doc_id, data) under ``least`` bytes.
+
+    Rows are told apart by ``kid``, the id, and where ids repeat by a number in the order of
+    their bytes.  A row without id has a key of its own, made from the MD5 of its text, so that
+    many of them do not meet; these rows come before all others, in the order of that key.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    kid = F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.lit(NO_ID) + F.conv(F.substring(F.md5("data"), 1, 15), 16, 10).cast("long"))
+    long = rows.where(F.octet_length("data") >= least).select("doc_id", kid.alias("kid"), "data")
+    number = F.row_number().over(Window.partitionBy("kid").orderBy("data"))
+    return long.withColumn("seq", number), rows.where(F.octet_length("data") < least)
 
 
 def repeats(
@@ -85,13 +107,14 @@ def repeats(
     index: Callable[[list[list[tuple[int, int, bytes, int]]]], list[list[np.ndarray]]],
     length: int,
     first_stays: bool,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """(kid, spans): per document the spans (seq, lo, hi) of symbols that repeated windows cover.
 
-    ``find`` gives (text index, anchor hashes, packed runs, hashes of runs) of texts; ``cut`` the symbols of
-    runs (start, windows) of one text; ``index`` gets groups of different runs with the same
-    anchor, as (off, windows, content, order), and says for each run which windows are equal to
-    a window of another run (where ``first_stays``: of a run with a smaller order).
+    ``find`` gives (text index, anchor hashes, packed runs, hashes of runs) of texts; ``cut`` the
+    symbols of runs (start, windows) of one text; ``index`` gets groups of different runs with
+    the same anchor, as (off, windows, content, order), and says for each run which windows are
+    equal to a window of another run (where ``first_stays``: of a run with a smaller order).
     """
 
     def anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,87 +124,81 @@ def repeats(
                 g, h = g >> np.uint64(64 - ANCHOR_BITS), h >> np.uint64(64 - RUN_BITS)
                 yield pd.DataFrame({"g": g.view(np.int64), "kid": kid[at], "seq": seq[at], "meta": meta, "h": h.view(np.int64)})
 
-    found = base.mapInPandas(anchors, "g long, kid long, seq int, meta long, h long")
-    own = Window.partitionBy("g")
+    found = base.select("kid", "seq", "data").mapInPandas(anchors, "g long, kid long, seq int, meta long, h long").repartition("g")
+    # One exchange and one sort by (g, h) serve both windows; a large group streams through.
+    equal, own = Window.partitionBy("g", "h"), Window.partitionBy("g")
     place = F.struct("kid", "seq", "meta")
-    twice = found.withColumns(
-        {"n": F.count("*").over(own), "even": F.min("h").over(own) == F.max("h").over(own), "first": F.min(place).over(own)}
-    ).where("n > 1")
-    spared = F.col("even") & (F.col("first") == place) if first_stays else F.lit(False)
-    listed = (
-        twice.where(~spared)
-        .groupBy("kid")
-        .agg(F.collect_list(F.struct("seq", "meta", F.when(F.col("even"), 0).otherwise(F.col("g")).alias("g"), "even")).alias("runs"))
+    counted = found.withColumns({"equal": F.count("*").over(equal), "first": F.min(place).over(equal)})
+    counted = counted.withColumn("leads", F.col("first") == place).withColumn("kinds", F.sum(F.col("leads").cast("long")).over(own))
+    whole = (F.col("equal") > 1) & (~F.col("leads") if first_stays else F.lit(True))
+    sends = F.when(F.col("leads") & (F.col("kinds") > crowded), 2).when(F.col("leads") & (F.col("kinds") > 1), 1).otherwise(0)
+    twice = counted.withColumns({"whole": whole, "sends": sends.cast("byte")}).where("whole OR sends > 0")
+    listed = twice.groupBy("kid").agg(
+        F.collect_list(F.struct("seq", "meta", F.when(F.col("sends") > 0, F.col("g")).otherwise(0).alias("g"), "whole", "sends")).alias("runs")
     )
 
     def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            same: dict[tuple[int, int, bytes], list] = {}
+            out = []
             for kid, seq, data, listed_ in zip(pdf["kid"], pdf["seq"], pdf["data"], pdf["runs"], strict=True):
-                own = [(*unpack(r["meta"]), r["g"]) for r in listed_ if r["seq"] == seq and not r["even"]]
-                whole = [(start, start + n - 1 + length) for start, _, n in (unpack(r["meta"]) for r in listed_ if r["seq"] == seq and r["even"])]
-                if whole:
-                    same[kid, -1 - seq, b""] = [0, *({"kid": kid, "seq": seq, "start": a, "end": z} for a, z in joined(whole))]
-                for (start, off, n, g), content in zip(own, cut(data, [(r[0], r[2]) for r in own]), strict=True):
-                    same.setdefault((g, off, content), [n]).append({"kid": kid, "seq": seq, "start": start, "end": 0})
-            rows = [(g, off, v[0], content, v[1:]) for (g, off, content), v in same.items()]
-            yield pd.DataFrame(rows, columns=["g", "off", "windows", "content", "occ"])
+                mine = [(*unpack(r["meta"]), r["g"], r["whole"], r["sends"]) for r in listed_ if r["seq"] == seq]
+                spans = joined([(start, start + n - 1 + length) for start, _, n, _, all_, _ in mine if all_])
+                if spans:
+                    out.append((kid, WHOLE, 0, None, 0, kid, seq, 0, [{"lo": a, "hi": z} for a, z in spans]))
+                one = [r for r in mine if r[5] == 1]
+                for (start, off, n, g, _, _), content in zip(one, cut(data, [(r[0], r[2]) for r in one]), strict=True):
+                    out.append((g, off, n, content, 0, kid, seq, start, None))
+                many = [(start + i, off - i, g) for start, off, n, g, _, sends in mine if sends == 2 for i in range(n)]
+                for (start, off, g), content in zip(many, cut(data, [(r[0], 1) for r in many]), strict=True):
+                    key, mark = struct.unpack("<qq", hashlib.blake2b(content, digest_size=16, key=struct.pack("<qi", g, off)).digest())
+                    out.append((key, WINDOW, 1, None, mark, kid, seq, start, None))
+            yield pd.DataFrame(out, columns=["g", "off", "windows", "content", "mark", "kid", "seq", "start", "whole"])
 
     together = base.join(listed, "kid").select("kid", "seq", "data", "runs").mapInPandas(runs, RUN)
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def settle(groups: list[dict]) -> pd.DataFrame:
-            out: list[tuple[int, int, int, int]] = []
+        def settle(groups: list[list[tuple]]) -> list[tuple[int, int, int, int]]:
             several = [g for g in groups if len(g) > 1]
+            if not several:
+                return []
             # Runs by their first occurrence; windows of a run keep that order among runs.
-            firsts = sorted((min(occ), gi, key) for gi, g in enumerate(several) for key, (_, occ) in g.items())
-            order = {(gi, key): i for i, (_, gi, key) in enumerate(firsts)}
-            told = index([[(key[0], n, key[1], order[gi, key]) for key, (n, _) in g.items()] for gi, g in enumerate(several)]) if several else []
-            flags = iter(told)
-            for g in groups:
-                own = iter(next(flags)) if len(g) > 1 else None
-                for n, occ in g.values():
-                    flag = next(own) if own is not None else np.zeros(n, bool)
+            order = {place: i for i, place in enumerate(sorted(r[3] for g in several for r in g))}
+            out = []
+            for g, told in zip(several, index([[(off, n, content, order[at]) for off, n, content, at in g] for g in several]), strict=True):
+                for (_, _, _, (kid, seq, start)), flag in zip(g, told, strict=True):
                     edge = np.flatnonzero(np.diff(flag.astype(np.int8), prepend=0, append=0)).tolist()
-                    some = list(zip(edge[::2], edge[1::2], strict=True))
-                    first = min(occ)
-                    spared = False
-                    for o in occ:
-                        # A run that occurs again repeats as a whole, its first place perhaps not.
-                        if len(occ) > 1 and not (first_stays and o == first and not spared):
-                            spans = [(0, n)]
-                        else:
-                            spans, spared = some, True
-                        out += [(o[0], o[1], o[2] + a, o[2] + z - 1 + length) for a, z in spans]
-            return pd.DataFrame(out, columns=["kid", "seq", "lo", "hi"])
-
-        groups: list[dict] = []
-        last, held = None, 0
+                    out += [(kid, seq, start + a, start + z - 1 + length) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+            return out
+
+        groups: list[list[tuple]] = []
+        last, held, before = None, 0, None
         for pdf in parts:
-            plain: list[tuple[int, int, int, int]] = []
-            for g, off, n, content, occ in zip(pdf["g"], pdf["off"], pdf["windows"], pdf["content"], pdf["occ"], strict=True):
-                if off < 0:
-                    plain += [(o["kid"], o["seq"], o["start"], o["end"]) for o in occ]
-                    continue
-                if g != last:
-                    if held > INDEX_BYTES:
-                        yield settle(groups)
-                        groups, held = [], 0
-                    groups.append({})
-                    last = g
-                places = [(o["kid"], o["seq"], o["start"]) for o in occ]
-                got = groups[-1].get((off, content))
-                if got:
-                    got[1].extend(places)
+            out: list[tuple[int, int, int, int]] = []
+            for g, off, n, content, mark, kid, seq, start, whole in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                if off == WHOLE:
+                    out += [(kid, seq, s["lo"], s["hi"]) for s in whole]
+                elif off == WINDOW:
+                    # Equal windows follow each other by place; the first is told with the second.
+                    if before is None or before[0] != (g, mark):
+                        before = ((g, mark), None if first_stays else (kid, seq, start, start + length))
+                    else:
+                        out += [before[1]] if before[1] else []
+                        before = ((g, mark), None)
+                        out.append((kid, seq, start, start + length))
                 else:
-                    groups[-1][off, content] = (n, places)
+                    if g != last:
+                        if held > INDEX_BYTES:
+                            out += settle(groups)
+                            groups, held = [], 0
+                        groups.append([])
+                        last = g
+                    groups[-1].append((off, n, content, (kid, seq, start)))
                     held += len(content)
-            if plain:
-                yield pd.DataFrame(plain, columns=["kid", "seq", "lo", "hi"])
+            yield pd.DataFrame(out, columns=["kid", "seq", "lo", "hi"])
         if groups:
-            yield settle(groups)
+            yield pd.DataFrame(settle(groups), columns=["kid", "seq", "lo", "hi"])
 
-    dealt = together.repartition("g").sortWithinPartitions("g")
+    dealt = together.repartition("g").sortWithinPartitions("g", "mark", "kid", "seq", "start")
     spans = dealt.mapInPandas(judged, "kid long, seq int, lo long, hi long")
     return spans.groupBy("kid").agg(F.collect_list(F.struct("seq", "lo", "hi")).alias("spans"))
 

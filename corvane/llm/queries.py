@@ -131,7 +131,7 @@ ORACLE_SQL = {
         FROM u LEFT JOIN judged USING (id) LEFT JOIN hosts2 USING (host)
     """,
     "op10_suffixes": r"""
-        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST, encode(coalesce(text, ''))) AS rid FROM documents),
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST, CASE WHEN doc_id IS NULL THEN substr(md5(coalesce(text, '')), 1, 15) END, encode(coalesce(text, ''))) AS rid FROM documents),
           b AS (SELECT rid, h, unnest(range(0, length(h) // 2, 500)) AS base, length(h) // 2 AS n FROM d),
           c AS MATERIALIZED (SELECT rid, base, n, substr(h, 2 * base + 1, 1200) AS piece FROM b),
           p AS (SELECT rid, base, n, piece, unnest(range(0, least(500, n - base))) AS o FROM c),

@@ -1,10 +1,11 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-Suffixes are words from some window's start on.  Runs of windows come together by anchor (see
-``_repeats``); in a task their suffixes are split by prefixes, longer ones where a prefix has
-more suffixes than fit the memory set for a subtree.  A subtree is built by sorting its suffixes,
-edges of eight words at a time; an internal node as deep as the window, with two leaves, is a
-maximal repeat's part, and the windows of its leaves repeat.
+Suffixes are words from some window's start on.  They come together by a prefix: the anchor
+that their windows share (see ``_repeats``), the whole window where too many share that.  In a
+task they are split by prefixes again, of 1, 2, 4 .. 64 words, as long as more suffixes share
+one than the memory set for a subtree takes.  A subtree is built from its sorted suffixes and
+what neighbours have in common: its internal nodes are found by a stack.  A node at least as
+deep as the window is a maximal repeat, and the windows of its leaves repeat.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._repeats import NO_ID, anchor_runs, keyed, merged, pack, repeats
+from corvane.llm._repeats import CROWDED, anchor_runs, keyed, merged, pack, repeats
 from corvane.llm._words import Words, grouped, mix, prefix_hash, span_hash
 
 GRAM = 8
@@ -24,47 +25,46 @@ GRAM = 8
 SUBTREE = 1 << 17
 
 
-def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Ranks of pairs of ranks."""
-    return np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)[1].astype(np.int64)
+DEPTHS = (1, 2, 4, 8, 16, 32, 64)
 
 
-class _Tree:
-    """Names of 1, 2, 4 and 8 words at each place of some word sequences, laid end to end."""
+class Suffixes:
+    """Word sequences laid end to end, with the rank of what 1, 2, 4 .. 64 words begin each place."""
 
     def __init__(self, contents: list[bytes]):
         sequences = [c.split(b" ") for c in contents]
-        self.at = np.concatenate(([0], np.cumsum([len(s) for s in sequences])))
+        self.at = np.concatenate(([0], np.cumsum([len(s) + 1 for s in sequences])))
         table: dict[bytes, int] = {}
-        ids = np.fromiter((table.setdefault(x, len(table)) for s in sequences for x in s), np.int64, int(self.at[-1]))
-        self.level = {1: np.concatenate((ids, np.full(64, len(table), np.int64)))}
-        for d in (1, 2, 4):
-            x = self.level[d]
-            self.level[2 * d] = _names(x, np.concatenate((x[d:], x[-d:])))
-
-    def name(self, suffix: np.ndarray, depth: int, words: int) -> np.ndarray:
-        """Name of ``words`` (up to 8) words at ``depth`` of each suffix."""
-        return self.level[words][suffix + depth]
-
-    def edges(self, length: int) -> list[tuple[int, int]]:
-        """(depth, words) of edges that cover ``length`` words; the last may overlap the one before."""
-        out = [(d, 8) for d in range(0, length - 7, 8)]
-        rest = length - 8 * len(out)
-        if rest:
-            size = next(w for w in (1, 2, 4, 8) if w >= rest) if length >= 8 else 1
-            out += [(length - size, size)] if length >= size else []
-        return out or [(d, 1) for d in range(length)]
-
-    def subtrees(self, suffixes: np.ndarray, prefix: int = 1) -> Iterator[np.ndarray]:
+        ids = np.empty(int(self.at[-1]), np.int64)
+        for a, s in zip(self.at.tolist(), sequences, strict=False):
+            ids[a : a + len(s)] = [table.setdefault(x, len(table)) for x in s]
+        # Each sequence ends with a symbol of its own, so nothing in common runs past an end.
+        ids[self.at[1:] - 1] = len(table) + np.arange(len(sequences))
+        self.rank = {1: ids}
+        for d in DEPTHS[:-1]:
+            x = self.rank[d]
+            after = np.concatenate((x[d:], np.full(min(d, len(x)), -1)))[: len(x)] + 1
+            self.rank[2 * d] = np.unique(x * (int(x.max(initial=0)) + int(after.max(initial=0)) + 2) + after, return_inverse=True)[1]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at ``a`` and ``b`` have in common, up to 127."""
+        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        for d in reversed(DEPTHS):
+            inside = np.maximum(a, b) < len(self.rank[1])
+            same = inside & (self.rank[d][np.where(inside, a, 0)] == self.rank[d][np.where(inside, b, 0)])
+            step = same * d
+            a, b, out = a + step, b + step, out + step
+        return out
+
+    def subtrees(self, suffixes: np.ndarray, depth: int = 1) -> Iterator[np.ndarray]:
         """Splits suffixes by prefix until each group fits; small groups go together."""
-        name = self.level[prefix][suffixes]
+        name = self.rank[depth][suffixes]
         order = np.argsort(name, kind="stable")
-        cut = np.flatnonzero(np.diff(name[order])) + 1
         small: list[np.ndarray] = []
         held = 0
-        for part in np.split(suffixes[order], cut):
-            if len(part) > SUBTREE and prefix < 8:
-                yield from self.subtrees(part, prefix * 2)
+        for part in np.split(suffixes[order], np.flatnonzero(np.diff(name[order])) + 1):
+            if len(part) > SUBTREE and depth < DEPTHS[-1]:
+                yield from self.subtrees(part, 2 * depth)
                 continue
             small.append(part)
             held += len(part)
@@ -74,35 +74,58 @@ class _Tree:
         if small:
             yield np.concatenate(small)
 
-    def shared(self, suffixes: np.ndarray, length: int) -> np.ndarray:
-        """Of suffixes, those under an internal node at least ``length`` words deep."""
-        edges = [self.name(suffixes, d, w) for d, w in self.edges(length)]
-        order = np.lexsort(edges[::-1])
-        equal = np.ones(max(0, len(order) - 1), bool)
-        for e in edges:
-            equal &= e[order[1:]] == e[order[:-1]]
-        twice = np.zeros(len(order), bool)
-        twice[1:] |= equal
-        twice[:-1] |= equal
-        return suffixes[order[twice]]
+
+class Subtree:
+    """The suffix tree of some suffixes: its leaves in order, and its internal nodes."""
+
+    def __init__(self, text: Suffixes, suffixes: np.ndarray):
+        self.leaves = suffixes[np.argsort(text.rank[DEPTHS[-1]][suffixes], kind="stable")]
+        self.common = text.common(self.leaves[:-1], self.leaves[1:])
+
+    def nodes(self, least: int) -> Iterator[tuple[int, int, int]]:
+        """(depth, first leaf, last leaf) of the internal nodes ``least`` words deep or deeper.
+
+        Leaves are walked from left to right; the stack holds the open nodes above the last one,
+        the deepest on top, and a node closes where neighbours have less in common.
+        """
+        deep = np.flatnonzero(self.common >= least)
+        stack: list[tuple[int, int]] = []
+        last = -2
+        for i, depth in zip(deep.tolist(), self.common[deep].tolist(), strict=True):
+            if i != last + 1:
+                while stack:
+                    d, first = stack.pop()
+                    yield d, first, last + 1
+            first = i
+            while stack and stack[-1][0] > depth:
+                d, first = stack.pop()
+                yield d, first, i
+            if not stack or stack[-1][0] < depth:
+                stack.append((depth, first))
+            last = i
+        while stack:
+            d, first = stack.pop()
+            yield d, first, last + 1
 
 
 def repeated_windows(groups: list[list[tuple[int, int, bytes, int]]], length: int) -> list[list[np.ndarray]]:
     """For each run of each group, which of its windows another run of the table shows too."""
     runs = [r for g in groups for r in g]
-    tree = _Tree([r[2] for r in runs])
-    suffixes = np.concatenate([np.arange(a, a + r[1]) for a, r in zip(tree.at, runs, strict=False)])
-    hit = np.zeros(int(tree.at[-1]), bool)
-    for part in tree.subtrees(suffixes):
-        hit[tree.shared(part, length)] = True
-    flags = iter([hit[a : a + r[1]] for a, r in zip(tree.at, runs, strict=False)])
+    text = Suffixes([r[2] for r in runs])
+    suffixes = np.concatenate([np.arange(a, a + r[1]) for a, r in zip(text.at, runs, strict=False)])
+    hit = np.zeros(int(text.at[-1]), bool)
+    for part in text.subtrees(suffixes):
+        tree = Subtree(text, part)
+        for _, first, last in tree.nodes(length):
+            hit[tree.leaves[first : last + 1]] = True
+    flags = iter([hit[a : a + r[1]] for a, r in zip(text.at, runs, strict=False)])
     return [[next(flags) for _ in g] for g in groups]
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(base, spans): the documents as ``keyed`` gives them, and their repeated word spans."""
-    if not GRAM < window < 128:
-        raise ValueError("window must lie between 9 and 127 words")
+def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, short, spans): the documents as ``keyed`` gives them, and their repeated word spans."""
+    if not GRAM < window < 64:
+        raise ValueError("window must lie between 9 and 63 words")
 
     def find(datas: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for at, texts in grouped(datas):
@@ -118,20 +141,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> tup
         words = data.split()
         return [b" ".join(words[a : a + n + window - 1]) for a, n in runs]
 
-    base = keyed(docs, text)
-    return base, repeats(base, find, cut, lambda groups: repeated_windows(groups, window), window, first_stays=False)
+    base, short = keyed(docs, text, 2 * window - 1)
+    return base, short, repeats(base, find, cut, lambda groups: repeated_windows(groups, window), window, False, crowded)
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", window: int = 35, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans): every text without its repeated passages.
 
     A window is ``window`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one row.  Words covered
     by a window that also starts elsewhere, in any row, go; all its places lose them.  ``kept``
     holds the other words joined by one space and ``spans`` the word spans that went.  Each row
-    gives one row: a null text has no words, and rows that repeat an id are texts of their own
-    whose windows count each.
+    gives one row: a null text has no words, and rows that repeat an id, or have none, are texts
+    of their own whose windows count each.  Texts too short for a window take no part in any
+    exchange.  Anchors with more than ``crowded`` different runs are dealt by window.
     """
-    base, spans = repeated_spans(docs, text, window)
+    base, short, spans = repeated_spans(docs, text, window, crowded)
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -145,12 +169,13 @@ def dedup(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
                     at = hi
                 kept += words[at:]
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept), [{"lo": a, "hi": z} for a, z in gone]))
-            yield pd.concat([pdf[["kid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "spans"])], axis=1)
+            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "spans"])], axis=1)
 
-    out = base.join(spans, "kid", "left").mapInPandas(
-        finish, "kid long, n_words long, n_removed long, kept binary, spans array<struct<lo: long, hi: long>>"
-    )
-    return out.select(F.when(F.col("kid") != NO_ID, F.col("kid")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")
+    made = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<lo: long, hi: long>>"
+    none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
+    cols = ["doc_id", "seq", "data", "spans"]
+    out = base.join(spans, "kid", "left").select(*cols).mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
+    return out.withColumn("kept", F.col("kept").cast("string"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._repeats import NO_ID, anchor_runs, keyed, merged, pack, repeats
+from corvane.llm._repeats import CROWDED, anchor_runs, keyed, merged, pack, repeats
 from corvane.llm._words import grouped, mix, prefix_hash, span_hash
 
 GRAM = 24
@@ -113,14 +113,15 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes, int]]], length: in
     return [[next(parts) for _ in g] for g in groups]
 
 
-def dedup(docs: DataFrame, text: str = "text", length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", length: int = 100, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans): texts without repeated bytes.
 
     Texts are UTF-8 bytes (null: none) and matches never cross rows.  Bytes covered by a string
     of ``length`` bytes that also starts earlier (a smaller id, or earlier in the same row) go;
     ``kept`` holds the others.  ``spans`` are maximal removed runs.  Each row gives one row.
     Rows that repeat an id follow each other in the order of their bytes; rows without id come
-    first of all.
+    first of all, in the order of their texts' MD5.  Texts under ``length`` bytes take no part in
+    any exchange.  Anchors with more than ``crowded`` different runs are dealt by window.
     """
     if not GRAM < length < GRAM + 104:
         raise ValueError("length must lie between 25 and 127 bytes")
@@ -144,8 +145,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100) -> DataFrame:
     def cut(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         return [bytes(data[a : a + n + length - 1]) for a, n in runs]
 
-    base = keyed(docs, text)
-    spans = repeats(base, find, cut, lambda groups: repeated_windows(groups, length), length, first_stays=True)
+    base, short = keyed(docs, text, length)
+    spans = repeats(base, find, cut, lambda groups: repeated_windows(groups, length), length, True, crowded)
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -159,13 +160,13 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100) -> DataFrame:
                 kept = b"".join([*kept, data[at:]])
                 rows.append((len(data), len(data) - len(kept), len(gone), kept, [{"lo": a, "hi": z} for a, z in gone]))
             yield pd.concat(
-                [pdf[["kid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "spans"])], axis=1
+                [pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "spans"])], axis=1
             )
 
-    out = base.join(spans, "kid", "left").mapInPandas(
-        finish, "kid long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo: long, hi: long>>"
-    )
-    return out.select(F.when(F.col("kid") != NO_ID, F.col("kid")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo: long, hi: long>>"
+    none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
+    cols = ["doc_id", "seq", "data", "spans"]
+    return base.join(spans, "kid", "left").select(*cols).mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def brute_words(rows, n):
 
 def brute_bytes(rows, n):
     seen, out = set(), []
-    for missing, i, data in sorted((i is not None, i or 0, (t or "").encode()) for i, t in rows):
+    for missing, i, _, data in sorted((i is not None, i or 0, "" if i is not None else hashlib.md5((t or "").encode()).hexdigest()[:15], (t or "").encode()) for i, t in rows):
         gone = bytearray(len(data))
         for j in range(len(data) - n + 1):
             s = data[j : j + n]
@@ -405,6 +405,53 @@ def test_subtrees_split_by_prefix(monkeypatch):
         assert f.tolist() == [seen[tuple(c.split()[j : j + 35])] > 1 for j in range(n)]
 
 
+def test_crowded_anchors_are_dealt_by_window(spark, docs):
+    """A passage that many texts share, its edges different in each; anchors of any size."""
+    passage = words(90, 40)
+    rows = [(i, f"{words(20, 50 + i)} {passage} {words(20, 90 + i)}") for i in range(30)] + nasty(7) + [(None, f"{words(9, i)} {passage}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (0, 5):
+        out = substrings.dedup(df, crowded=crowded).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out) == brute_words(rows, 35)
+        out = suffixes.dedup(df, crowded=crowded).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out) == brute_bytes(rows, 100)
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Slices of a text that is too long for one give the same anchors."""
+    from corvane.llm import _repeats
+
+    rng = np.random.default_rng(15)
+    grams = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    first, last = np.array([0, 3000]), np.array([2990, 5007])
+    whole = _repeats.anchor_runs(grams, first, last, 35, 8)
+    monkeypatch.setattr(_repeats, "SLICE", 300)
+    cut = _repeats.anchor_runs(grams, first, last, 35, 8)
+    spread = lambda runs: {w: a for lo, hi, a in zip(*map(np.ndarray.tolist, runs)) for w in range(lo, hi + 1)}
+    assert spread(whole) == spread(cut) and len(cut[0]) >= len(whole[0])
+
+
+def test_nodes_of_a_subtree():
+    """Internal nodes are the maximal sets of suffixes with a common prefix, each at its full depth."""
+    rng = np.random.default_rng(14)
+    texts = [list(rng.choice(["a", "b"], 30)) for _ in range(4)]
+    text = substrings.Suffixes([" ".join(t).encode() for t in texts])
+    starts = [(i, j) for i in range(4) for j in range(30)]
+    places = np.array([int(text.at[i]) + j for i, j in starts])
+    tree = substrings.Subtree(text, places)
+    tail = {int(p): texts[i][j:] for p, (i, j) in zip(places, starts)}
+    for least in (1, 3, 6):
+        want = set()
+        for p in tail:
+            for n in range(least, len(tail[p]) + 1):
+                own = frozenset(q for q in tail if tail[q][:n] == tail[p][:n])
+                if len(own) > 1:
+                    want.add(own)
+        got = [(d, frozenset(tree.leaves[a : z + 1].tolist())) for d, a, z in tree.nodes(least)]
+        assert len(got) == len(want) and {s for _, s in got} == want
+        assert all(len({tuple(tail[q][:d]) for q in s}) == 1 and len({tuple(tail[q][: d + 1]) for q in s}) > 1 for d, s in got)
+
+
 def test_suffixes(spark, docs, none):
     rows = [(i, t) for i, t, *_ in ROWS]
     assert Counter(tuple(r) for r in all_rows(suffixes.digest(docs))) == brute_bytes(rows, 100)
@@ -606,10 +653,9 @@ def test_pipeline(spark, docs, tmp_path):
     lib = Tokenizer.from_file(queries.vocabulary())
     lib.no_truncation(), lib.no_padding()
     given = queries.table(spark, "/root/testdata/sf0.001", "documents")
-    odd = [
-        (1, "u " + words(60, 30), "en", "src1"), (1, "v " + words(60, 31), "en", "src1"), (2, "v " + words(60, 31), "en", "src1"),
-        *[(7_000_001, "equal rows " + words(40, 32), "en", "src2")] * 4, (None, "u " + words(60, 30), "en", None), (None, "nameless " + words(70, 33), "en", None), (None, None, None, None),
-    ]
+    rng, long = np.random.default_rng(30), [r["text"].split() for r in given.where("lang = 'en' AND n_chars > 2000").orderBy("doc_id").limit(4).collect()]
+    u, v, twice, nameless = (" ".join(rng.permutation(w)[:150]) for w in long)
+    odd = [(1, u, "en", "src1"), (1, v, "en", "src1"), (2, v, "en", "src1"), *[(7_000_001, twice, "en", "src2")] * 4, (None, u, "en", None), (None, nameless, "en", None), (None, None, None, None)]
     cur = given.unionByName(spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in odd], given.schema))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path / f"{k}")
@@ -623,16 +669,16 @@ def test_pipeline(spark, docs, tmp_path):
             learned = langid.fit(cur.where(langid.fold_of(F.col("doc_id")) != 0))
             told = [(r, *plain_language(r["text"], learned)) for r in rows]
             assert Counter(map(tell, got)) == Counter(tell(r) for r, lang, margin in told if lang != "und" and margin >= 0.001)
-            assert len(got) >= 0.98 * len(rows)
+            assert len(got) >= 0.97 * len(rows) and all((i, t) in {(r["doc_id"], r["text"]) for r in got} for i, t, *_ in odd[:-1])
         if name == "near_duplicates":
             order = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).digest()))
             root, _ = plain_classes([r["text"] for r in order])
             assert Counter(map(tell, got)) == Counter(tell(order[i]) for i in sorted(set(root)))
-            assert len({r["text"] for r in got if r["doc_id"] == 1}) == 2 and not [r for r in got if r["doc_id"] == 2]
+            assert {u, v} <= {r["text"] for r in got if r["doc_id"] == 1} and v not in {r["text"] for r in got if r["doc_id"] != 1}
         if name == "secrets":
             assert len(got) == len(rows) and all(not brute_secrets(r["text"]) and r["n_chars"] == len(r["text"]) for r in got)
-            was = {(r["doc_id"], r["source"]): r["text"] for r in rows}
-            assert all(r["text"] == was[r["doc_id"], r["source"]] for r in got if r["doc_id"] != 1 and "[SECRET]" not in r["text"])
+            was = {r["text"] for r in rows}
+            assert all(r["text"] in was for r in got if "[SECRET]" not in r["text"])
         if name == "mixture":
             size, taken, many = Counter(), Counter(), Counter(map(tell, got))
             for r in rows:
