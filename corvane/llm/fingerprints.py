@@ -4,8 +4,11 @@ A sketch is three tables of cells; a digest is xored into one cell of each.  Sub
 versions' sketches cancels what they share.  A cell that holds one digest shows it, since a
 digest carries its own check bits and belongs in that cell; taking it out of its other cells
 uncovers more, until all cells are empty and every differing digest is known.  Where that fails,
-the difference was too large for the sketch: digests are dealt to buckets with larger sketches,
-and a bucket that fails again gets one twice as large.
+the difference was too large for the sketch: both versions' digests are dealt to buckets, each
+with sketches of its own that are subtracted, and a bucket that fails again gets larger ones.
+
+Paragraphs are lines; long ones are cut by content, after a word that ends in certain letters,
+so a change within one moves no cut beyond the next.
 
 Everything is DataFrame expressions; a document's work is done within its row.
 """
@@ -17,10 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a paragraph that one digest covers; longer paragraphs have several.
-PIECE = 64
+#: A piece of a line ends after one of these with a blank or mark, from LEAST code points on and
+#: at MOST at the latest; so does the line.
+CUT_AFTER, LEAST, MOST = "aeounrst13579", 24, 192
 #: Cells in each of a sketch's three tables: in the fingerprint, and as tried per bucket.
-BASE_CELLS, TRIES = 4, (4, 8, 16, 32, 64)
+BASE_CELLS, TRIES = 4, (4, 8, 16, 64, 512, 4096)
 #: Digests of both versions that a bucket holds on average.
 BUCKET_KEYS = 5
 CHECK = (1 << 24) - 1
@@ -37,25 +41,34 @@ def _checked(high: Column) -> Column:
     return _let(high.bitwiseAND(F.lit(~CHECK)), lambda h: h.bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(CHECK))))
 
 
+def pieces(text: Column) -> Column:
+    """A text's paragraphs (lines), long ones cut by content."""
+    pattern = rf"[^\n]{{{LEAST},{MOST - 2}}}?(?:[{CUT_AFTER}][ .,;:!?]|[。，；：！？、])|[^\n]{{1,{MOST}}}"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def digests(text: Column) -> Column:
-    """The set of digests of a text's paragraphs (lines), in pieces of up to 64 code points."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: _checked(F.xxhash64(p))))
+    """The set of digests of a text's pieces."""
+    return F.array_distinct(F.transform(pieces(text), lambda p: _checked(F.xxhash64(p))))
 
 
 def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def _cells(n: int) -> Column:
+def _cells(n: Column | int) -> Column:
     """The cells of a sketch, as the bits of a digest that count and the bits they must have.
 
     Tables have a power of two of cells and take different bits, so a digest belongs in the
     cells whose bits it has: one in each table.
     """
     shifts = (24, 37, 50)
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return F.array(*[F.struct(_long(signed((n - 1) << s)).alias("mask"), _long(signed(i << s)).alias("bits")) for s in shifts for i in range(n)])
+    if isinstance(n, int):
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        return F.array(*[F.struct(_long(signed((n - 1) << s)).alias("mask"), _long(signed(i << s)).alias("bits")) for s in shifts for i in range(n)])
+    up = lambda x, s: F.call_function("shiftleft", x, s)
+    own = lambda s: F.transform(F.sequence(_long(0), n - 1), lambda i: F.struct(up(n - 1, s).alias("mask"), up(i, s).alias("bits")))
+    return F.flatten(F.transform(F.array(*[F.lit(s) for s in shifts]), own))
 
 
 def _in(key: Column, cell: Column) -> Column:
@@ -104,19 +117,23 @@ def peel(difference: Column, cells: Column | int = BASE_CELLS) -> Column:
 
 
 def _bucket(a: Column, b: Column) -> Column:
-    """The digests in which two small sets differ, by sketches that double on failure.
+    """The digests in which two small sets differ, by subtracting sketches that grow on failure.
 
-    Xoring both sets into one sketch is subtracting their sketches; equal lists leave nothing.
-    Should the largest sketch fail too, by a freak of hashing, the sets are compared outright.
+    Two digests that no sketch can separate agree in 39 bits, which happens to one pair in
+    5 * 10**11; such a bucket alone is compared digest by digest.
     """
     none = F.array().cast("array<long>")
-    told = F.aggregate(
-        F.array(*[_cells(n) for n in TRIES]),
-        F.struct(F.lit(False).alias("ok"), F.array().cast("array<long>").alias("found")),
-        lambda r, cells: F.when(r["ok"], r).otherwise(peel(sketch(F.concat(a, b), cells), cells)),
+    start = F.struct(F.lit(False).alias("ok"), none.alias("found"))
+
+    def tried(cells: Column) -> Column:
+        gap = subtract(sketch(a, cells), sketch(b, cells))
+        return _let(gap, lambda d: F.when(F.exists(d, lambda c: c != 0), peel(d, cells)).otherwise(F.struct(F.lit(True).alias("ok"), none.alias("found"))))
+
+    later = lambda first: F.aggregate(
+        F.array(*[_long(n) for n in TRIES[1:]]), first, lambda r, n: F.when(r["ok"], r).otherwise(_let(_cells(n), tried))
     )
-    found = _let(told, lambda r: F.when(r["ok"], r["found"]).otherwise(F.concat(F.array_except(a, b), F.array_except(b, a))))
-    return F.when(a == b, none).otherwise(found)
+    told = _let(_let(_cells(TRIES[0]), tried), lambda r: F.when(r["ok"], r).otherwise(later(start)))
+    return _let(told, lambda r: F.when(r["ok"], r["found"]).otherwise(F.concat(F.array_except(a, b), F.array_except(b, a))))
 
 
 def _dealt(keys: Column, outer: Column, inner: Column) -> Column:
@@ -160,41 +177,46 @@ def as_text(n: Column, cells: Column) -> Column:
     return F.concat_ws("-", F.hex(n), F.array_join(F.transform(cells, lambda c: F.lower(F.hex(c))), "."))
 
 
-def with_next(docs: DataFrame, made: dict[str, Column], text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, made: dict[str, Column], text: str = "text", rows_each: int = 2048) -> DataFrame:
     """(doc_id, text, *made, next): each row beside the row of the next id; the last beside the first.
 
     ``made`` are columns computed from ``text`` once per row; ``next`` is a struct of the next
     row's text and these.
 
-    Rows are dealt by ranges of ids, each range with a copy of the first row of the next one, so
-    the order is global though no task holds more than a range.  The driver gets range bounds.
-    Rows that repeat an id follow each other by text; null ids come last; a null text is empty.
+    Rows are dealt by ranges of about ``rows_each`` ids, each range with a copy of the first row
+    of the next one, so the order is global though no task holds more than some ranges.  The
+    driver gets the ranges' bounds, 16,384 at most.  Rows that repeat an id follow each other by
+    text.  Null ids come last; they are ranges by hash of their text, in the order of that hash.
+    A null text is empty.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, shares, 20 * parts)).first()[0] or []))
+    named = F.col("doc_id").isNotNull()
+    counts = rows.agg(F.count("doc_id").alias("n"), F.count_if(~named).alias("none")).first()
+    ranges, nameless = (min(8192, -(-counts[c] // rows_each)) for c in ("n", "none"))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 16 * ranges)).first()[0] or [])) if shares else []
+    key = F.coalesce("doc_id", F.xxhash64("text"))
     steps = [1 << i for i in reversed(range((len(bounds) + 1).bit_length()))]
-    pid = (
-        F.aggregate(
-            F.array(*[F.lit(s) for s in steps]),
-            F.lit(0),
-            lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(F.array(*[F.lit(b) for b in bounds]), acc + s - 1) <= key), acc + s).otherwise(acc),
-        )
-        if bounds
-        else F.lit(0)
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(cuts, acc + s - 1) <= F.col("doc_id")), acc + s).otherwise(acc),
     )
+    pid = F.when(named, found if bounds else F.lit(0)).otherwise(F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(max(1, nameless))).cast("int"))
     ranged = rows.withColumns({"key": key, "pid": pid})
     firsts = sorted((r["pid"], r["key"]) for r in ranged.groupBy("pid").agg(F.min("key").alias("key")).collect())
-    borders = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "key long, pid int")
+    borders = spark.createDataFrame([(at, k, firsts[i - 1][0]) for i, (at, k) in enumerate(firsts)], "pid int, key long, to int")
     copies = (
-        rows.withColumn("key", key).join(F.broadcast(borders), "key").groupBy("key", "pid").agg(F.min("text").alias("text"))
-        .select(F.lit(None).cast("long").alias("doc_id"), "text", "key", "pid", F.lit(True).alias("copy"))
+        ranged.join(F.broadcast(borders), ["pid", "key"]).groupBy("pid", "key", "to").agg(F.min("text").alias("text"))
+        .select(F.lit(None).cast("long").alias("doc_id"), "text", "key", F.col("to").alias("pid"), F.lit(True).alias("copy"))
     )
+    # Ranges are of one size and lie side by side, so tasks get equal shares of rows.
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = ranged.withColumn("copy", F.lit(False)).unionByName(copies).repartitionByRange(parts, "pid")
+    both = both.withColumn("own", made["own"]).withColumns({k: v for k, v in made.items() if k != "own"})
     order = Window.partitionBy("pid").orderBy("copy", "key", "text")
-    both = ranged.withColumn("copy", F.lit(False)).unionByName(copies).withColumn("own", made["own"]).withColumns({k: v for k, v in made.items() if k != "own"})
     own = ["text", *made]
     return both.withColumn("next", F.lead(F.struct(*own)).over(order)).where(~F.col("copy")).select("doc_id", *own, "next")
 
@@ -209,8 +231,8 @@ def edited(text: Column, other: Column) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    Each row of ``docs`` is one document; see :func:`with_next` for order and nulls.  Texts
-    without paragraphs have an empty sketch; two of them have likeness 1.  Other columns of
+    Each row of ``docs`` is one document; see :func:`with_next` for order and nulls.  Long texts
+    are dealt to as many buckets as they have digests for.  Texts without paragraphs have an empty sketch; two of them have likeness 1.  Other columns of
     ``docs`` play no part.  An empty table gives an empty result.
     """
     own = digests(F.col("text"))

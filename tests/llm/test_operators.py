@@ -88,12 +88,15 @@ def test_scores_beyond_64_bits_are_an_error():
 
 
 def jaccard(a, b):
-    a, b = (set(re.findall(r"[^\n]{1,64}", t)) for t in (a, b))
+    a, b = (set(re.findall(r"[^\n]{24,190}?(?:[aeounrst13579][ .,;:!?]|[。，；：！？、])|[^\n]{1,192}", t)) for t in (a, b))
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
 def test_fingerprints(docs, none):
-    order = sorted(((i is None, i or 0, t or "") for i, t, *_ in ROWS))
+    import xxhash
+
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=True)
+    order = sorted((i is None, signed(t or "") if i is None else i, t or "") for i, t, *_ in ROWS)
     want = Counter()
     for k, (missing, i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][2]
@@ -108,6 +111,25 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprints(one).first()["near_next"] == 1.0
 
 
+def test_ranges_of_any_size_keep_the_order(spark):
+    rows = [(int(i), f"t{i}") for i in np.random.default_rng(1).permutation(300)] + [(None, f"n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    got = {r["text"]: r["next"]["text"] for r in fingerprints.with_next(df, {"own": F.length("text")}, rows_each=16).collect()}
+    assert len(got) == 340 and all(got[f"t{i}"] == f"t{i + 1}" for i in range(299))
+    walk, at = [], "t299"
+    for _ in range(41):
+        at = got[at]
+        walk.append(at)
+    assert sorted(walk[:40]) == sorted(t for i, t in rows if i is None) and walk[40] == "t0"
+
+
+def test_an_insertion_changes_few_pieces(spark):
+    text = " ".join(words(4000, 77).split())
+    changed = text[:9000] + "new words here " + text[9000:]
+    a, b = (set(spark.range(1).select(fingerprints.pieces(F.lit(t)).alias("p")).first()["p"]) for t in (text, changed))
+    assert len(a) > 100 and len(a ^ b) <= 8
+
+
 def test_peeling_grows(spark):
     """Differences of every size are recovered, small ones from the base sketch alone."""
     rng = np.random.default_rng(3)
