@@ -123,11 +123,12 @@ ORACLE_SQL = {
           hosts2_fit AS (SELECT sum(round(n * (bad / n - prior) * (bad / n - prior), 9)::DECIMAL(30,9))::DOUBLE AS spread, sum(round(prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS noise,
             sum(round(n * prior * (1 - prior), 9)::DECIMAL(30,9))::DOUBLE AS mass, count(*)::DOUBLE AS groups, sum(n)::DOUBLE AS total FROM hosts1 WHERE n > 0),
           hosts2_s AS (SELECT coalesce(CASE WHEN total > groups AND (spread - noise) / (total - groups) > 0 THEN greatest(1.0::DOUBLE, least(50.0::DOUBLE, (mass / total) / ((spread - noise) / (total - groups)) - 1)) END, 50.0::DOUBLE) AS strength FROM hosts2_fit),
-          hosts2 AS (SELECT r.*, strength, (bad + prior * strength) / (n + strength) AS mean FROM hosts1 r, hosts2_s),
+          hosts2 AS (SELECT r.*, strength, (bad + prior * strength) / (n + strength) AS mean, 1.6449::DOUBLE AS z, 1.6449::DOUBLE * 1.6449::DOUBLE AS zz,
+            ((SELECT sum(bad) FROM suffixes0) + 1)::DOUBLE / ((SELECT sum(n) FROM suffixes0) + 2) AS root FROM hosts1 r, hosts2_s),
           r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) r(rh, rp, rv)),
           judged AS (SELECT u.id, rh || rp AS rule, rv FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
                      QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY length(rh || rp) DESC) = 1)
-        SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN round(mean - sqrt(mean * (1 - mean) / (n + strength + 1)), 9) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, u.host, path, rule, coalesce(rv, CASE WHEN round((mean + zz / ((n + strength) * 2) - z * sqrt(mean * (1 - mean) / (n + strength) + zz / ((n + strength) * (n + strength) * 4))) / (zz / (n + strength) + 1), 9) > round(root, 9) THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN judged USING (id) LEFT JOIN hosts2 USING (host)
     """,
     "op10_suffixes": r"""

@@ -592,6 +592,27 @@ def test_urls(spark):
     assert urls.judge(pages.where("false"), labels).count() == 0
 
 
+def test_the_method_blocks(spark):
+    """Hosts that are worse than all pages are blocked without a rule; rules stand above; one host may hold most pages."""
+    hosts = ["good.a.org"] * 600 + ["bad.b.org"] * 200 + ["bad.shop.com"] * 100 + ["new.b.org"] * 5 + ["x.co.uk"] * 20
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    labels = pages.select("page_id", F.when(F.contains("url", F.lit("bad")), (F.col("page_id") % 4 > 0).cast("int")).otherwise((F.col("page_id") % 30 == 0).cast("int")).alias("bad"))
+    rows = urls.judge(pages, labels.where("NOT (page_id >= 900 AND page_id < 905)")).collect()
+    got = {(r["host"], r["rule"], r["verdict"]) for r in rows}
+    assert len(rows) == len(hosts)
+    assert {("good.a.org", None, "allow"), ("bad.b.org", None, "block"), ("bad.shop.com", "com/", "allow"), ("x.co.uk", None, "allow")} <= got
+    assert {r["host"] for r in rows if r["verdict"] == "block"} <= {"bad.b.org", "new.b.org"}
+    assert urls.reputations(pages.withColumn("host", F.lit("a.b.zz")), labels, two_label=("b.zz",)).first()["n"] == len(hosts) - 0
+
+
+def test_bound_is_a_beta_quantile(spark):
+    rng = np.random.default_rng(16)
+    for a, b in ((2, 30), (20, 60), (1, 9), (40, 5)):
+        want = np.quantile(rng.beta(a, b, 200_000), 0.05)
+        got = spark.range(1).select(urls.lower_bound(F.lit(a / (a + b)), F.lit(float(a + b)), 1.6449).alias("x")).first()["x"]
+        assert 0 <= got <= 1 and abs(got - want) < 0.04
+
+
 def test_reputation_shrinks(spark):
     pages = spark.createDataFrame([(i, f"h{i // 200}.example.org") for i in range(2000)] + [(9000, "lone.example.org"), (9001, "new.other.org")], "page_id long, host string")
     outcomes = pages.select("page_id", F.when(F.col("host") == "h3.example.org", (F.col("page_id") % 10 < 8).cast("int")).otherwise((F.col("page_id") % 20 == 0).cast("int")).alias("bad")).where("page_id <> 9001")
