@@ -41,14 +41,18 @@ ADDED = {
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]+?-----END \1-----"),
+    "pem": re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"),
     "google": re.compile(rb"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
     "slack": re.compile(rb"xox[bp]-[0-9]{6,}-[A-Za-z0-9-]{10,}"),
     "stripe": re.compile(rb"sk_live_[A-Za-z0-9]{16,}"),
 }
+#: What a key between its header and footer cannot hold.
+NOT_PEM = re.compile(rb"[^A-Za-z0-9+/=\s:,-]")
 ORDER = {kind: i for i, kind in enumerate((*BASE, *ADDED))}
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN, STEP = 24, 12
+#: Different characters of a token that has no checksum, at least.
+VARIED = 6
 
 
 def crc_matches(body: bytes, tail: bytes) -> bool:
@@ -69,7 +73,38 @@ def valid(kind: str, found: bytes) -> bool:
             return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
         except (ValueError, TypeError, binascii.Error):
             return False
-    return True
+    if kind == "pem":
+        body = found.split(b"-----")[2]
+        if b":" in body:  # encrypted: its headers say how
+            return b"ENCRYPTED" in body
+        try:
+            key = base64.b64decode(b"".join(body.split())[:64])
+        except binascii.Error:
+            return False
+        return key[:1] == b"\x30" or key.startswith(b"openssh-key-v1")
+    # The others carry no checksum; a random token has many different characters.
+    return len(set(found.split(b"_")[-1])) >= VARIED
+
+
+class KeyBlocks:
+    """Private keys between header and footer; what was searched for one header serves the next."""
+
+    def __init__(self, data: bytes):
+        self.data, self.footers, self.bad = data, {}, -1
+
+    def end(self, header: re.Match) -> int:
+        """Where the key that begins with ``header`` ends; -1 if it doesn't."""
+        at = header.end()
+        footer = b"-----END " + header[1] + b"-----"
+        found = self.footers.get(footer, 0)
+        if 0 <= found < at:
+            found = self.footers[footer] = self.data.find(footer, at)
+        if found <= at:
+            return -1
+        if self.bad < at:
+            bad = NOT_PEM.search(self.data, at)
+            self.bad = bad.start() if bad else len(self.data)
+        return found + len(footer) if self.bad >= found else -1
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -103,11 +138,19 @@ def _hex_runs(data: bytes) -> list[tuple[int, int]]:
 
 def scan_bytes(data: bytes, words: ahocorasick.Automaton) -> list[tuple[int, str, int]]:
     """(start, kind, end) in bytes, by start, then kind."""
-    spans, past = [], dict.fromkeys(ORDER, 0)
+    spans, past, blocks = [], dict.fromkeys(ORDER, 0), KeyBlocks(data)
     for last, (kind, n) in words.iter(data.lower().decode("latin-1")):
         start = last + 1 - n
         if start < past[kind]:
             continue
+        if kind == "pem":
+            m = ADDED[kind].match(data, start)
+            end = blocks.end(m) if m else -1
+            if end > 0:
+                past[kind] = end
+                if valid(kind, data[start:end]):
+                    spans.append((start, kind, end))
+            continue
         if kind in ADDED:
             m = ADDED[kind].match(data, start)
             keep = bool(m) and valid(kind, m[0])
@@ -128,8 +171,8 @@ def scan_bytes(data: bytes, words: ahocorasick.Automaton) -> list[tuple[int, str
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``secret_spans``: every span of every kind, by start, then kind.
 
-    A null or empty text has no spans.  Rows are judged one by one, so repeated rows get equal
-    spans and a column of that name in ``docs`` is replaced.
+    A null or empty text has no spans.  Texts of any length are scanned whole, each keyword's
+    neighbourhood once.  Rows are judged one by one, so repeated rows get equal spans and a column of that name in ``docs`` is replaced.
     """
 
     def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

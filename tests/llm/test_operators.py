@@ -572,6 +572,21 @@ def test_secret_checksums(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(both).collect()} == {1: "[SECRET] b", 2: None, 3: "a [SECRET] [SECRET]"}
 
 
+def test_keys_in_long_texts():
+    import time
+
+    word = secrets.automaton()
+    head, foot = b"-----BEGIN EC PRIVATE KEY-----\n", b"\n-----END EC PRIVATE KEY-----"
+    good = head + b"MHcCAQEE" * 20 + foot
+    assert secrets.scan_bytes(good + b" x " + good, word) == [(0, "pem", len(good)), (len(good) + 3, "pem", 2 * len(good) + 3)]
+    assert secrets.scan_bytes(head + b"%%" + foot + good, word) == [(len(head) + 2 + len(foot), "pem", len(head) + 2 + len(foot) + len(good))]
+    assert secrets.scan_bytes(head + b"AAAA" * 20 + foot, word) == []  # no key begins so
+    began = time.time()
+    assert secrets.scan_bytes(head * 60_000, word) == [] and secrets.scan_bytes((head + b"MHcC") * 60_000 + b"%" + foot, word) == []
+    assert time.time() - began < 20
+    assert secrets.scan_bytes(b"sk_live_" + b"z" * 30, word) == [] and len(secrets.scan_bytes(b"sk_live_4eC39HqLyjWDarjtT1", word)) == 1
+
+
 # --- 8 -------------------------------------------------------------------------------------
 
 
