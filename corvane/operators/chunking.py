@@ -1,14 +1,22 @@
 """Chunking: sections, paragraphs and sentences packed to a token budget with overlap.
 
-Each document is folded within its row by DataFrame expressions, so nothing is shuffled.
+A document is chunked within its row; only the numbering of its chunks is a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import estimate_tokens, lines, normalize, normalize_plain, strip
+from corvane.functions.text import CJK, estimate_tokens, lines, normalize, normalize_plain, strip
 
 NONE = "array<string>"
 SENTENCE_END = "(?<=[。！？.!?\n])"
@@ -19,21 +27,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def overlap_tail(parts: Column, overlap: int) -> Column:
-    """Whole trailing parts until their tokens reach ``overlap``; none if that is 0."""
-    if overlap <= 0:
-        return F.array().cast(NONE)
-    start = F.struct(F.lit(0).alias("total"), F.array().cast(NONE).alias("kept"))
-    return F.aggregate(
-        F.reverse(parts),
-        start,
-        lambda s, p: F.when(s["total"] >= overlap, s).otherwise(
-            F.struct((s["total"] + estimate_tokens(p)).alias("total"), F.concat(F.array(p), s["kept"]).alias("kept"))
-        ),
-        lambda s: s["kept"],
-    )
-
-
 def sentences(paragraph: Column, cut: str = SENTENCE_END) -> Column:
     """Stripped pieces that end at a sentence end; a blank last piece drops."""
     raw = F.split(paragraph, cut, -1)
@@ -43,46 +36,107 @@ def sentences(paragraph: Column, cut: str = SENTENCE_END) -> Column:
     )
 
 
-def pack_sentences(paragraph: Column, most: int, overlap: int, joiner: str = "", cut: str = SENTENCE_END) -> Column:
-    """array<string>: sentences of a long paragraph packed while their join is within ``most``."""
-    start = F.struct(F.array().cast(NONE).alias("out"), F.array().cast(NONE).alias("cur"))
-
-    def step(s: Column, piece: Column) -> Column:
-        full = (F.size(s["cur"]) > 0) & (estimate_tokens(F.array_join(F.concat(s["cur"], F.array(piece)), joiner)) > most)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(s["out"], F.array(F.array_join(s["cur"], joiner))).alias("out"),
-                F.concat(overlap_tail(s["cur"], overlap), F.array(piece)).alias("cur"),
-            ),
-        ).otherwise(F.struct(s["out"].alias("out"), F.concat(s["cur"], F.array(piece)).alias("cur")))
-
-    end = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(F.array_join(s["cur"], joiner)))).otherwise(s["out"])
-    return F.aggregate(sentences(paragraph, cut), start, step, end)
+class Sizes:
+    """Token estimates of neighbouring parts, one by one and joined, from counts made once."""
+
+    blank = " \t\n\x0b\f\r"
+    cjk = regex.compile(f"[{CJK}]")
+    word = regex.compile("[A-Za-z0-9_]+")
+    mark = regex.compile(rf"[^\p{{L}}\p{{N}}_{blank}\p{{Z}}{CJK}]")
+    first, last = regex.compile("[A-Za-z0-9_]"), regex.compile("[A-Za-z0-9_]$")
+
+    def __init__(self, parts: list[str], glued: bool):
+        counts = [(len(self.cjk.findall(p)), len(self.word.findall(p)), len(self.mark.findall(p))) for p in parts]
+        self.each = [self._tokens(*c) for c in counts]
+        self.sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(np.array(counts, np.int64).reshape(-1, 3), 0))).tolist()
+        # Joined without a blank, a word at one part's end and one at the next one's start are one.
+        self.joins: list[tuple[int, int]] = []
+        full = [i for i, p in enumerate(parts) if p] if glued else []
+        for a, b in zip(full, full[1:], strict=False):
+            if self.last.search(parts[a]) and self.first.match(parts[b]):
+                self.joins.append((a, b))
+
+    @staticmethod
+    def _tokens(cjk: int, words: int, marks: int) -> int:
+        return max(1, math.floor(cjk * 0.8 + words * 1.2 + marks * 0.2))
+
+    def joined(self, a: int, z: int) -> int:
+        cjk, words, marks = (y - x for x, y in zip(self.sums[a], self.sums[z], strict=True))
+        lost = sum(1 for i, j in self.joins[bisect_left(self.joins, (a, 0)) : bisect_left(self.joins, (z, 0))] if j < z)
+        return self._tokens(cjk, words - lost, marks)
+
+    def back(self, a: int, z: int, least: int) -> int:
+        """Where the last parts of a..z-1 begin that reach ``least`` tokens; ``z`` if none are asked for."""
+        at, total = z, 0
+        while at > a and total < least:
+            at -= 1
+            total += self.each[at]
+        return at
+
+
+def ranges(n: int, over: Callable[[int, int, int], bool], back: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """Cuts parts 0..n-1 in ranges that may overlap.
+
+    A range ends before a part with which ``over(start, fresh, end)`` holds, where the parts
+    from ``start`` to ``fresh`` are carried over from the range before; ``back`` says from where.
+    """
+    start = fresh = 0
+    for end in range(n):
+        if end > start and over(start, fresh, end + 1):
+            yield start, end
+            start, fresh = back(start, end), end
+    if n > start:
+        yield start, n
+
+
+def packed_sentences(paragraph: str, cut: regex.Pattern, most: int, overlap: int, joiner: str) -> list[str]:
+    """Sentences of a long paragraph, packed while their join is within ``most``."""
+    pieces = [p.strip(Sizes.blank) for p in cut.split(paragraph)]
+    if not pieces[-1]:
+        pieces.pop()
+    sizes = Sizes(pieces, joiner == "")
+    found = ranges(len(pieces), lambda a, _, z: sizes.joined(a, z) > most, lambda a, z: sizes.back(a, z, overlap))
+    return [joiner.join(pieces[a:z]) for a, z in found]
+
+
+def packed_text(text: str, most: int, overlap: int, joiner: str, variant: bool) -> list[str]:
+    """Paragraphs packed to ``most`` tokens; those that are too long alone go by sentences."""
+    blank, cut = (_BLANK_PLAIN, _CUT_PLAIN) if variant else (_BLANK, _CUT)
+    parts = [p for p in (x.strip(Sizes.blank) for x in blank.split(text)) if p]
+    out: list[str] = []
+    tokens = Sizes(parts, False).each
+    for long, run in groupby(range(len(parts)), lambda i: tokens[i] > most):
+        own = [parts[i] for i in run]
+        if long:
+            for p in own:
+                out += packed_sentences(p, cut, most, 0 if variant else overlap, joiner)
+            continue
+        sizes = Sizes(own, False)
+        total = np.concatenate(([0], np.cumsum(sizes.each))).tolist()
+        carried = lambda a, f, s=sizes: s.joined(a, f) if f else 0
+        over = lambda a, f, z, t=total, c=carried: c(a, f) + t[z] - t[f] > most
+        out += ["\n\n".join(own[a:z]) for a, z in ranges(len(own), over, lambda a, z, s=sizes: s.back(a, z, overlap))]
+    return out
+
+
+_BLANK, _BLANK_PLAIN = regex.compile("\n\n"), regex.compile(rf"\n[{Sizes.blank}]*\n")
+_CUT, _CUT_PLAIN = regex.compile(SENTENCE_END), regex.compile(SENTENCE_END_PLAIN)
 
 
 def split_text(text: Column, most: int = 600, overlap: int = 100, joiner: str = "", variant: bool = False) -> Column:
-    """array<string>: paragraphs packed to ``most`` tokens, whole paragraphs carried over."""
-    blank = r"\n\s*\n" if variant else "\n\n"
-    parts = F.filter(F.transform(F.split(text, blank), strip), lambda p: p != "")
-    start = F.struct(F.array().cast(NONE).alias("out"), F.array().cast(NONE).alias("cur"), F.lit(0).alias("n"))
-    flushed = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(F.array_join(s["cur"], "\n\n")))).otherwise(s["out"])
+    """array<string>: the chunks of each text, made in Arrow batches; null gives none.
 
-    def step(s: Column, p: Column) -> Column:
-        def sized(n: Column) -> Column:
-            long = pack_sentences(p, most, 0, joiner, SENTENCE_END_PLAIN) if variant else pack_sentences(p, most, overlap, joiner)
-            carried = lambda tail: F.struct(
-                flushed(s).alias("out"), F.concat(tail, F.array(p)).alias("cur"), (estimate_tokens(F.array_join(tail, "\n\n")) + n).alias("n")
-            )
-            return (
-                F.when(n > most, F.struct(F.concat(flushed(s), long).alias("out"), F.array().cast(NONE).alias("cur"), F.lit(0).alias("n")))
-                .when((F.size(s["cur"]) > 0) & (s["n"] + n > most), _let(overlap_tail(s["cur"], overlap), carried))
-                .otherwise(F.struct(s["out"].alias("out"), F.concat(s["cur"], F.array(p)).alias("cur"), (s["n"] + n).alias("n")))
-            )
+    Packing carries a state from part to part, which column functions can only express by
+    counting a growing string again at each step.  ``joiner`` is empty or blank.
+    """
+    if joiner.strip():
+        raise ValueError("sentences are joined by blanks or by nothing")
 
-        return _let(estimate_tokens(p), sized)
+    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([None if t is None else packed_text(t, most, overlap, joiner, variant) for t in texts], dtype=object)
 
-    return F.aggregate(parts, start, step, flushed)
+    return F.pandas_udf(packed, "array<string>")(text)
 
 
 def is_heading(line: Column) -> Column:
@@ -117,9 +171,8 @@ def chunk_documents(docs: DataFrame, most: int = 600, overlap: int = 100, joiner
     ``docs`` has document_id and body.  Chunks follow each other from 1; a document without
     text has none.
     """
-    found = F.when(F.size(sections(F.col("body"))) > 0, sections(F.col("body"))).otherwise(
-        F.array(F.struct(F.lit("正文").alias("title"), F.coalesce("body", F.lit("")).alias("text")))
-    )
+    whole = F.array(F.struct(F.lit("正文").alias("title"), F.coalesce("body", F.lit("")).alias("text")))
+    found = _let(sections(F.col("body")), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
     parts = docs.select("document_id", F.posexplode(found).alias("section_at", "section")).select(
         "document_id", "section_at", F.col("section.title").alias("title"), normalize(F.col("section.text")).alias("text")
     )
@@ -128,7 +181,7 @@ def chunk_documents(docs: DataFrame, most: int = 600, overlap: int = 100, joiner
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks in one array per document, so that numbering them needs one shuffle of chunks."""
+    """Chunks numbered from 1 per document, in the order of sections and of chunks within them."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("document_id").orderBy("section_at", "at")
