@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.scores import cosine, fused, hash_embedding, occurrences, rrf, term_score
-from corvane.functions.text import TOKEN, is_reference_only, tokens
+from corvane.functions.scores import allowed, effective_acl, fused, rrf
+from corvane.functions.text import is_reference_only, tokens
+from corvane.operators import blocks
 
 
 @dataclass(frozen=True)
@@ -37,71 +38,50 @@ def chunks_with_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs, "document_id")
 
 
-def dense_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def dense_pairs(queries: DataFrame, vectors: DataFrame, key: str = "collection_id") -> DataFrame:
     """(query_id, chunk_id, score): cosine of each query with the vectors of its collection.
 
     ``queries`` has query_id, collection_id and q; ``vectors`` chunk_id, collection_id and v.
-    A collection is an equi-join key, so each side is dealt by it and skewed ones are split.
+    Blocks of both meet (see ``blocks``); rows without a collection or vector take no part.
     """
-    return queries.join(vectors, "collection_id").select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    q, c = blocks.packed_vectors(queries, "query_id", "q", key), blocks.packed_vectors(vectors, "chunk_id", "v", key)
+    return blocks.dense_scores(q, c, key)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
-    return top(dense_pairs(queries, vectors), k)
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "collection_id") -> DataFrame:
+    """Each query's ``k`` best vectors of its collection (``key`` may be a finer group, see
+    :func:`readable`); only a block's best leave its task."""
+    q, c = blocks.packed_vectors(queries, "query_id", "q", key), blocks.packed_vectors(vectors, "chunk_id", "v", key)
+    return blocks.dense_scores(q, c, key, k)
 
 
-def sparse_dense_topk(queries: DataFrame, docs: DataFrame, k: int = 30, dim: int = 384) -> DataFrame:
-    """Dense top-k of hash embeddings, as a join on dimension of their non-zero entries."""
-    q = hash_embedding(queries, ["query_id"], "question", dim).withColumnRenamed("value", "qv")
-    d = hash_embedding(docs, ["chunk_id"], "content", dim)
-    dot = q.join(d, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qv") * F.col("value")), 6).alias("score"))
-    return top(dot.where("score > 0"), k)
+def _keyed(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
+    return (df, key) if key else (df.withColumn("_all", F.lit(0)), "_all")
 
 
-def token_counts(docs: DataFrame, text: str = "content") -> DataFrame:
-    """(chunk_id, token, tf) of each text's runs of letters, digits and CJK."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1))
-    return docs.select("chunk_id", F.explode(words).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+def sparse_dense_topk(queries: DataFrame, docs: DataFrame, k: int = 30, dim: int = 384, key: str | None = None) -> DataFrame:
+    """Dense top-k of hash embeddings among texts of the query's ``key`` (of all texts if none)."""
+    (q, by), (d, _) = _keyed(queries, key), _keyed(docs, key)
+    return blocks.dense_scores(blocks.hash_vectors(q, "query_id", "question", by, dim), blocks.hash_vectors(d, "chunk_id", "content", by, dim), by, k, 0.0)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
-def keyword_counts(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, term, n): occurrences of each query term within each text.
-
-    A term never crosses a token's border, so occurrences are those within tokens.  Tokens are
-    matched with terms once per vocabulary entry: by joining terms with the substrings of the
-    entry, which is an equi-join, and then with the texts that hold the token.
-    """
-    terms = query_terms(queries)
-    counts = token_counts(docs)
-    longest = int(terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1))).first()[0])
-    token = F.col("token")
-    sub = lambda n: F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, n))
-    sizes = F.sequence(F.lit(1), F.least(F.length(token), F.lit(longest)))
-    parts = F.array_distinct(F.flatten(F.transform(sizes, sub)))
-    matches = (
-        counts.select("token").distinct().select("token", F.explode(parts).alias("term"))
-        .join(terms.select("term").distinct(), "term")
-        .select("term", "token", occurrences(F.col("token"), F.col("term")).alias("occ"))
-    )
-    each = matches.join(counts, "token").groupBy("chunk_id", "term").agg(F.sum(F.col("tf") * F.col("occ")).alias("n"))
-    return terms.join(each, "term").select("query_id", "chunk_id", "term", "n")
-
-
-def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    return keyword_counts(queries, docs).groupBy("query_id", "chunk_id").agg(F.round(F.sum(term_score(F.col("n"))), 6).alias("raw"))
+def keyword_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, key: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, raw): sums of the term scores of texts that share a term."""
+    (q, by), (d, _) = _keyed(queries, key), _keyed(docs, key)
+    return blocks.keyword_pairs(blocks.packed_terms(q, "query_id", "question", by), blocks.packed_texts(d, "chunk_id", "content", by), by, k)
 
 
 def max_normalized(hits: DataFrame, score: str = "raw") -> DataFrame:
     return hits.withColumn("score", F.round(F.col(score) / F.max(score).over(Window.partitionBy("query_id")), 6))
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 30) -> DataFrame:
-    """Scores relative to each query's best, before the cut."""
-    return top(max_normalized(keyword_scores(queries, docs)), k, "raw")
+def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 30, key: str | None = None) -> DataFrame:
+    """Each query's ``k`` best texts; scores are relative to its best, which is among them."""
+    return max_normalized(keyword_scores(queries, docs, k, key)).select("query_id", "chunk_id", "raw", "score", "rank")
 
 
 def term_overlap(queries: DataFrame, docs: DataFrame, terms: Column | None = None) -> DataFrame:
@@ -148,18 +128,67 @@ def rerank_topk(hits: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= strategy.final_top_k)
 
 
-def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, strategy: Strategy = Strategy(), key: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, scores): both searches, fused, reranked and cut.
 
-    ``queries`` has query_id and question, ``chunks`` chunk_id and content.
+    ``queries`` has query_id and question, ``chunks`` chunk_id and content; with ``key`` only
+    chunks of a query's key are candidates.
     """
-    dense = sparse_dense_topk(queries, chunks, strategy.dense_top_k)
-    keyword = keyword_topk(queries, chunks, strategy.keyword_top_k)
+    dense = sparse_dense_topk(queries, chunks, strategy.dense_top_k, key=key)
+    keyword = keyword_topk(queries, chunks, strategy.keyword_top_k, key=key)
     return rerank_topk(fuse_hits(dense, keyword), strategy).select(
         "query_id", "rank", "chunk_id", "score", "dense_score", "keyword_score", "rrf_score"
     )
 
 
+def access_group(collection: Column, acl: Column) -> Column:
+    """What documents of one collection with the same readers share."""
+    return F.to_json(F.struct(collection.cast("string").alias("collection"), F.array_sort(F.array_distinct(effective_acl(acl))).alias("acl")))
+
+
+def readable(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, group): the access groups of each query's collection that its principals may read.
+
+    ``queries`` has query_id, collection_id and principals, ``docs`` collection_id and acl.  Only
+    distinct groups meet the queries, never documents.
+    """
+    groups = docs.select("collection_id", effective_acl(F.col("acl")).alias("acl"), access_group(F.col("collection_id"), F.col("acl")).alias("group")).dropDuplicates(["group"])
+    return queries.join(groups, "collection_id").where(allowed(F.col("acl"), F.col("principals"))).select("query_id", "group").distinct()
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, strategy: Strategy = Strategy()) -> DataFrame:
+    """One row per hit of each query among what it may read, with context and the query's gate.
+
+    ``queries`` has query_id, question, collection_id and principals; ``chunks`` chunk_id,
+    document_id, ordinal and content; ``docs`` document_id, collection_id, title and acl.
+    Collection and access are settled before either search ranks anything.  ``context`` is the
+    chunk with its neighbours if ``use_parent_context``; ``answerable`` says whether the query's
+    best score reaches ``min_evidence_score``.  Queries without hits give no rows.
+    """
+    placed = docs.select("document_id", "title", access_group(F.col("collection_id"), F.col("acl")).alias("group"))
+    own = chunks_with_documents(chunks, placed)
+    asks = queries.select("query_id", "question").join(readable(queries, docs), "query_id")
+    hits = hybrid_retrieve(asks, own.select("chunk_id", "content", "group"), strategy, "group")
+    best = evidence_gate(hits.select("query_id").distinct(), hits, strategy.min_evidence_score)
+    full = hits.join(own.select("chunk_id", "document_id", "ordinal", "title", "content"), "chunk_id").join(best, "query_id")
+    window = strategy.context_window_chunks if strategy.use_parent_context else 0
+    return hit_context(full, chunks, window)
+
+
+def hit_context(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
+    """Adds ``context`` and ``expanded_chunk_ids`` to hits (document_id, ordinal, content): the
+    neighbours of hits alone are looked up."""
+    if window <= 0:
+        return hits.withColumns({"context": F.col("content"), "expanded_chunk_ids": F.array("chunk_id")})
+    asked = hits.select("query_id", "chunk_id", "document_id", F.explode(F.sequence(F.col("ordinal") - window, F.col("ordinal") + window)).alias("ordinal"))
+    near = asked.join(chunks.select("document_id", "ordinal", F.col("chunk_id").alias("near_id"), F.col("content").alias("near")), ["document_id", "ordinal"])
+    parts = near.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "near_id", "near"))).alias("_near"))
+    text = F.array_join(F.transform("_near", lambda c: F.concat(F.lit("[chunk "), c["ordinal"], F.lit("]\n"), c["near"])), "\n\n")
+    return hits.join(parts, ["query_id", "chunk_id"]).withColumns(
+        {"context": F.when(F.size("_near") > 1, text).otherwise(F.col("content")), "expanded_chunk_ids": F.transform("_near", lambda c: c["near_id"])}
+    ).drop("_near")
+
+
 def hybrid_flat(dense: DataFrame, overlap: DataFrame, k: int = 8) -> DataFrame:
     """The variant: 0.62 dense (not below 0) and 0.38 overlap over all candidates above 0."""
     d = dense.select("query_id", "chunk_id", F.greatest(F.col("score"), F.lit(0.0)).alias("d"))

@@ -90,6 +90,49 @@ def hybrid(t):
     return hybrid_hits(t)
 
 
+#: Three documents in a row are chunks of one; it lies in one of four collections and may be read by all or by one of five.
+SCOPED = """ok AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON (doc_id // 3) % 4 = item_id % 4
+    AND (item_id % 7 = 0 OR (doc_id // 3) % 3 <> 2 OR (doc_id // 3) % 5 = item_id % 5))"""
+SCOPED_HYBRID = f"{SCOPED}, " + HYBRID.replace("AND q.dim = d.dim", "AND q.dim = d.dim JOIN ok ON ok.query_id = q.id AND ok.chunk_id = d.id").replace(
+    "FROM terms JOIN counted USING (term)", "FROM terms JOIN counted USING (term) JOIN ok USING (query_id, chunk_id)"
+)
+
+
+@query(
+    "t4_retrieve_scoped",
+    f"""WITH {SCOPED_HYBRID}, near AS (
+      SELECT h.query_id, h.chunk_id, count(*) AS n, string_agg('[chunk ' || (doc_id % 3 + 1) || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS around,
+        max(CASE WHEN doc_id = h.chunk_id THEN coalesce(text, '') END) AS own, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS expanded
+      FROM hybrid h JOIN documents d ON d.doc_id // 3 = h.chunk_id // 3 AND abs(d.doc_id - h.chunk_id) <= 1 GROUP BY 1, 2)
+    SELECT query_id, rank::INTEGER AS rank, chunk_id, score, chunk_id // 3 AS document_id, 'title ' || (chunk_id // 3) AS title, sha256(CASE WHEN n > 1 THEN around ELSE own END) AS context,
+      expanded, max(score) OVER (PARTITION BY query_id) AS evidence_score, max(score) OVER (PARTITION BY query_id) >= 0.3 AS answerable FROM hybrid JOIN near USING (query_id, chunk_id)""",
+)
+def retrieve_scoped(t):
+    d = t.texts().withColumn("document_id", F.floor(F.col("chunk_id") / 3))
+    chunks = d.withColumn("ordinal", (F.col("chunk_id") % 3 + 1).cast("int"))
+    one = F.col("document_id")
+    acl = F.when(one % 3 == 0, F.array().cast("array<string>")).when(one % 3 == 1, F.array(F.lit("public"))).otherwise(F.array(F.concat(F.lit("u"), one % 5)))
+    docs = d.select("document_id").distinct().select("document_id", (one % 4).alias("collection_id"), F.concat(F.lit("title "), one).alias("title"), acl.alias("acl"))
+    who = F.when(F.col("query_id") % 7 == 0, F.array(F.lit("admin"))).otherwise(F.array(F.concat(F.lit("u"), F.col("query_id") % 5)))
+    queries = t.questions().withColumns({"collection_id": F.col("query_id") % 4, "principals": who})
+    hits = retrieval.retrieve(queries, chunks, docs, retrieval.Strategy(min_evidence_score=0.3))
+    return hits.select(
+        "query_id", "rank", "chunk_id", "score", "document_id", "title", F.sha2(F.col("context").cast("binary"), 256).alias("context"),
+        joined(F.transform("expanded_chunk_ids", lambda c: c.cast("string"))).alias("expanded"), "evidence_score", "answerable",
+    )
+
+
+@query("t1_dense_topk_readable", """WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.label = c.label AND (c.vec_id % 3 <> 2 OR c.vec_id % 7 = q.vec_id % 7))
+    SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d) WHERE rank <= 30""")
+def dense_topk_readable(t):
+    own = F.when(F.col("chunk_id") % 3 == 2, F.array(F.concat(F.lit("u"), F.col("chunk_id") % 7))).otherwise(F.array(F.lit("public")))
+    v = t.vectors().withColumn("acl", own)
+    q = t.vector_queries().withColumn("principals", F.array(F.concat(F.lit("u"), F.col("query_id") % 7)))
+    asks = q.select("query_id", "q").join(retrieval.readable(q, v), "query_id")
+    return retrieval.dense_topk(asks, v.withColumn("group", retrieval.access_group(F.col("collection_id"), F.col("acl"))), 30, "group")
+
+
 @query("t3_rerank_topk", f"WITH {FUSED} SELECT * FROM (SELECT query_id, chunk_id, rrf_score AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id)::INTEGER AS rank FROM fused) WHERE rank <= 8")
 def rerank(t):
     hits = retrieval.fuse_hits(retrieval.sparse_dense_topk(t.questions(), t.texts()), retrieval.keyword_topk(t.questions(), t.texts()))
