@@ -18,6 +18,7 @@ from corvane.functions.text import (
     strip,
     tokens,
 )
+from corvane.operators.chunking import sections
 
 
 def term_frequencies(docs: DataFrame, key: str = "document_id", text: str = "body") -> DataFrame:
@@ -78,6 +79,28 @@ def signal_buckets(docs: DataFrame, keywords: dict[str, tuple[str, ...]] = SIGNA
     return first_distinct(split, ["document_id", "bucket"], "line", "pos", 12).select("document_id", "bucket", "rank", "line")
 
 
+# The variant's keywords, and how it tells a line that names an owner.
+SIGNAL_KEYWORDS_PLAIN = {
+    "progress": ("progress", "完成", "进展", "本周", "工作内容", "实验结果"),
+    "risks": ("risk", "风险", "问题", "困难", "阻塞", "不足", "失败", "异常"),
+    "next_steps": ("next", "todo", "计划", "下周", "下一步", "待办", "安排"),
+    "decisions": ("decision", "决定", "结论", "方案", "采用", "确认"),
+}
+OWNER_LINE = "(owner|负责人|汇报人|成员)[:： ]+.{2,30}"
+
+
+def signal_buckets_plain(docs: DataFrame, keywords: dict[str, tuple[str, ...]] = SIGNAL_KEYWORDS_PLAIN, owner: str = OWNER_LINE) -> DataFrame:
+    """(document_id, bucket, rank, line): the variant, for every line of every document.
+
+    Neither reports nor likely lines are told apart; a line that names an owner is one whole.
+    """
+    low = F.lower("line")
+    hit = lambda words: F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
+    buckets = F.array(F.when(low.rlike(owner), "owners"), *[F.when(hit(words), name) for name, words in keywords.items()])
+    split = numbered_lines(docs).select("document_id", "pos", "line", F.explode(F.filter(buckets, lambda b: b.isNotNull())).alias("bucket"))
+    return first_distinct(split, ["document_id", "bucket"], "line", "pos", 12).select("document_id", "bucket", "rank", "line")
+
+
 def key_points(docs: DataFrame) -> DataFrame:
     """(document_id, rank, line): the first 12 distinct longer lines; none for code documents."""
     prose = docs.join(code_documents(docs).where("NOT is_code").select("document_id"), "document_id", "left_semi")
@@ -117,3 +140,28 @@ def quality_warnings(docs: DataFrame, analysis: DataFrame) -> DataFrame:
         F.when(~c("body").rlike(f"[{CJK}A-Za-z0-9]"), "no_meaningful_text_detected"),
     )
     return rows.select("document_id", F.filter(told, lambda w: w.isNotNull()).alias("warnings"))
+
+
+def full_analysis(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """:func:`document_analysis` with section_count, top_terms, signals and warnings.
+
+    ``signals`` maps owners, the four buckets and key_points to their lines, those without lines
+    to none.  ``docs`` has document_id and body, ``chunks`` document_id and token_count.
+    """
+    numbers = document_analysis(docs, chunks)
+    count = docs.select("document_id", F.size(sections(F.col("body"))).alias("section_count"))
+    listed = lambda item: F.array_sort(F.collect_list(F.struct("rank", item)))
+    terms = top_terms(term_frequencies(docs)).groupBy("document_id").agg(listed(F.struct("term", "count").alias("t")).alias("t"))
+    lines_ = signal_buckets(docs).unionByName(key_points(docs).withColumn("bucket", F.lit("key_points")))
+    per = lines_.groupBy("document_id", "bucket").agg(listed("line").alias("l"))
+    maps = per.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.transform("l", lambda x: x["line"])))).alias("m"))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,array<string>>")
+    of = lambda name: F.coalesce(F.coalesce("m", empty)[name], none)
+    names = [*SIGNAL_KEYWORDS, "key_points"]
+    out = numbers.join(count, "document_id").join(terms, "document_id", "left").join(maps, "document_id", "left").join(document_owners(docs), "document_id")
+    out = out.join(quality_warnings(docs, numbers), "document_id")
+    return out.select(
+        *numbers.columns, "section_count",
+        F.coalesce(F.transform("t", lambda x: x["t"]), F.array().cast("array<struct<term: string, count: bigint>>")).alias("top_terms"),
+        F.create_map(F.lit("owners"), "owners", *[x for n in names for x in (F.lit(n), of(n))]).alias("signals"), "warnings",
+    )

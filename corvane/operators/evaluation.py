@@ -46,13 +46,16 @@ def answer_quality(answers: DataFrame, min_citations: int = 1, least: float = 0.
     """(case_id, passed, reasons): what fails each answer.
 
     ``answers`` has case_id, answer, must_include, must_not_include, n_citations, evidence_score
-    and unreadable (a count).
+    and unreadable (a count).  Where it has min_citations or min_evidence_score, a case's own
+    value stands before the default given here.
     """
+    own = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in answers.columns else F.lit(default)
+    few, low = own("min_citations", min_citations), own("min_evidence_score", least).cast("double")
     missing, forbidden = keyword_check(F.col("answer"), F.col("must_include"), F.col("must_not_include"))
     twice = count_duplicate_lines(F.col("answer"))
     rest = F.array(
-        F.when(F.col("n_citations") < min_citations, F.concat(F.lit("citation count "), F.col("n_citations"), F.lit(f" < {min_citations}"))),
-        F.when(F.col("evidence_score") < least, F.format_string(f"evidence score %.3f < {least:.3f}", F.col("evidence_score"))),
+        F.when(F.col("n_citations") < few, F.concat(F.lit("citation count "), F.col("n_citations"), F.lit(" < "), few)),
+        F.when(F.col("evidence_score") < low, F.format_string("evidence score %.3f < %.3f", F.col("evidence_score"), low)),
         F.when(F.col("unreadable") > 0, F.concat(F.lit("unreadable citations: "), F.col("unreadable"))),
         F.when(twice > 0, F.concat(F.lit("duplicate answer lines: "), twice)),
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import suffix
-from corvane.sources.shared import cut
 
 # Suffixes taken from archives, and their content types.
 CONTENT_TYPES = {
@@ -26,19 +25,16 @@ CONTENT_TYPES = {
     ".csv": "text/csv",
     ".json": "application/json",
 }
-# Chunk methods by suffix and, failing that, by content type.
+# Chunk method of each suffix, and of content types where the suffix has none.
 METHODS = {
-    "paper": (".pdf",),
-    "table": (".xlsx", ".xls", ".csv"),
-    "presentation": (".pptx", ".ppt"),
-    "picture": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp"),
-    "one": (".json", ".jsonl"),
-    "email": (".eml", ".msg"),
-    "audio": (".mp3", ".wav", ".aac", ".flac", ".ogg", ".aiff"),
-    "naive": (
-        ".docx", ".doc", ".md", ".markdown", ".mdx", ".txt", ".html", ".htm", ".xml", ".py", ".js", ".java", ".go", ".ts", ".sh", ".sql",
-        ".c", ".cpp", ".h", ".php", ".cs", ".kt", ".epub",
-    ),
+    ".pdf": "paper",
+    ".xlsx": "table", ".xls": "table", ".csv": "table",
+    ".pptx": "presentation", ".ppt": "presentation",
+    ".jpg": "picture", ".jpeg": "picture", ".png": "picture", ".gif": "picture", ".bmp": "picture", ".tiff": "picture", ".webp": "picture",
+    ".json": "one", ".jsonl": "one",
+    ".eml": "email", ".msg": "email",
+    ".mp3": "audio", ".wav": "audio", ".aac": "audio", ".flac": "audio", ".ogg": "audio", ".aiff": "audio",
+    ".docx": "naive", ".doc": "naive", ".md": "naive", ".markdown": "naive", ".mdx": "naive", ".txt": "naive", ".html": "naive", ".htm": "naive", ".xml": "naive", ".py": "naive", ".js": "naive", ".java": "naive", ".go": "naive", ".ts": "naive", ".sh": "naive", ".sql": "naive", ".c": "naive", ".cpp": "naive", ".h": "naive", ".php": "naive", ".cs": "naive", ".kt": "naive", ".epub": "naive",
 }
 METHOD_PREFIXES = (
     ("application/pdf", "paper"),
@@ -63,7 +59,7 @@ def content_type_for(suffix_: Column) -> Column:
 
 
 def chunk_method(filename: Column, content_type: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for m, names in METHODS.items() for n in names for x in (n, m)])
+    table = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
     by_type = reduce(lambda c, p: F.when(content_type.startswith(p[0]), p[1]).otherwise(c), reversed(METHOD_PREFIXES), F.lit(None).cast("string"))
     return F.coalesce(F.element_at(table, suffix(filename)), by_type, F.lit("naive"))
 
@@ -180,32 +176,46 @@ def import_batch_report(items: DataFrame) -> DataFrame:
     )
 
 
+# What the sizes asked for in a request may be.
+BOUNDS = {"dense_top_k": (1, 200), "keyword_top_k": (1, 200), "final_top_k": (1, 50), "min_evidence_score": (0.0, 1.0)}
+
+
 def quarantine_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): requests within bounds, and the others with ``problem``."""
+    """(good, bad): requests within bounds, and the others with ``problem``.
+
+    ``requests`` has question, role and window, and may have the columns of ``BOUNDS``, where
+    null means the default and is no problem.
+    """
     problem = (
-        F.when(F.coalesce(F.length("question"), F.lit(0)).between(1, 4000) == F.lit(False), "question_length")
+        F.when(~F.coalesce(F.length("question"), F.lit(0)).between(1, 4000), "question_length")
         .when(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)), "role")
         .when(~F.coalesce(F.col("window").between(0, 3), F.lit(False)), "window")
     )
+    for name, (lo, hi) in BOUNDS.items():
+        if name in requests.columns:
+            problem = problem.when(~F.coalesce(F.col(name).between(lo, hi), F.lit(True)), name)
     marked = requests.withColumn("problem", problem)
     return marked.where("problem IS NULL").drop("problem"), marked.where("problem IS NOT NULL")
 
 
-def write_chunks(spark, chunks: DataFrame, path: str) -> None:
+def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, version: int | None = None) -> None:
     """Replaces the stored chunks of the documents in ``chunks`` and leaves all others.
 
-    Chunks lie in partitions by a hash of the document; only partitions that hold one of the
-    documents are written, each with its other documents' chunks kept.
+    The store is a table of versions: new chunks are appended under a number that grows, and
+    :func:`read_chunks` takes each document's last.  So a batch writes no more than itself, and
+    a reader or a lost job never meets a half-written store.
     """
-    part = F.pmod(F.xxhash64("document_id"), F.lit(64)).cast("int")
-    new = chunks.withColumn("part", part)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:  # no table yet
-        new.write.partitionBy("part").parquet(path)
-        return
-    touched = new.select("part").distinct()
-    kept = old.join(touched, "part", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti")
-    out = kept.select(*new.columns).unionByName(new)
-    # What is read is what is overwritten, so the rows are cut off from the table first.
-    cut(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    number = time.time_ns() if version is None else version
+    chunks.withColumn("version", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The stored chunks: of each document those of its last version."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("document_id").agg(F.max("version").alias("version"))
+    return rows.join(last, ["document_id", "version"], "left_semi").drop("version")
+
+
+def compact_chunks(spark: SparkSession, path: str, out: str) -> None:
+    """Writes the last versions to a new store, which then takes the place of the old one."""
+    write_chunks(spark, read_chunks(spark, path), out, 0)

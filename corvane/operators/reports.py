@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.scores import allowed
+
 NEGATIVE = ("negative", "incorrect", "missing_source")
 
 
@@ -68,6 +70,23 @@ def meeting_summary(signals: DataFrame, docs: DataFrame, most: int = 50, prefix:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("collection_id", "bucket", "rank", "item")
 
 
+def meeting_report(signals: DataFrame, docs: DataFrame, principals: Column, meeting_date: str | None = None, most: int = 50) -> DataFrame:
+    """(collection_id, document_count, authors, projects, items): one row per collection.
+
+    ``docs`` has document_id, collection_id, author, project, title, acl and meeting_date; only
+    those that ``principals`` may read count, and of ``meeting_date`` if one is given.  Authors
+    and projects are distinct and sorted; ``items`` maps a bucket to its first ``most`` items.
+    """
+    own = docs.where(allowed(F.col("acl"), principals))
+    if meeting_date is not None:
+        own = own.where(F.col("meeting_date") == meeting_date)
+    filled = lambda c: F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))
+    heads = own.groupBy("collection_id").agg(F.count("*").alias("document_count"), filled("author").alias("authors"), filled("project").alias("projects"))
+    items = meeting_summary(signals, own, most).groupBy("collection_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("i"))
+    maps = items.groupBy("collection_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.transform("i", lambda x: x["item"])))).alias("items"))
+    return heads.join(maps, "collection_id", "left")
+
+
 def distinct_values(docs: DataFrame, column: str) -> DataFrame:
     return docs.where(F.col(column).isNotNull() & (F.col(column) != "")).select(column).distinct()
 

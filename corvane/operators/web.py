@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import CJK, cell, collapse, escape_cell, trim_empty
@@ -64,21 +64,29 @@ def web_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def as_markdown(rows: Column, n: Column, most: int) -> Column:
+    """A table from rows of cells, the first one its header; says so if ``n`` rows were more than ``most``."""
+    width = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), escape_cell), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    shown = F.transform(rows, line)
+    text = F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, most)), "\n")
+    note = F.when(n > most, F.lit(f"\n\n\n> 表格行数超过 {most}，已截取前 {most} 行进入索引。")).otherwise("")
+    return F.concat(text, note)
+
+
 def rows_to_markdown(rows: DataFrame, columns: list[str], table: list[str], order: str, most: int = 2000) -> DataFrame:
     """(table..., markdown): the rows of each table, with its column names as header.
 
     Rows without text drop, rows are padded to the widest, pipes are escaped, and a note says
-    if rows over ``most`` were left out.
+    if rows over ``most`` were left out.  Rows are ranked before they are gathered, so a table's
+    group holds ``most`` rows at most.
     """
     header = F.array(*[F.lit(c) for c in columns])
     cells = trim_empty(F.array(*[cell(F.col(c)) for c in columns]))
     told = rows.select(*table, F.col(order).alias("_o"), cells.alias("_c")).where(F.size("_c") > 0)
-    got = told.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("_o", "_c"))).alias("_r"), F.count("*").alias("_n"))
-    every = F.concat(F.array(header), F.transform(F.slice("_r", 1, most), lambda r: r["_c"]))
-    width = F.array_max(F.transform(every, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), escape_cell), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    shown = F.transform(every, line)
-    text = F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, most)), "\n")
-    note = F.when(F.col("_n") > most, F.lit(f"\n\n\n> 表格行数超过 {most}，已截取前 {most} 行进入索引。")).otherwise("")
-    return got.select(*table, F.concat(text, note).alias("markdown"))
+    counts = told.groupBy(*table).agg(F.count("*").alias("_n"))
+    first = told.withColumn("_at", F.row_number().over(Window.partitionBy(*table).orderBy("_o", "_c"))).where(F.col("_at") <= most)
+    got = first.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))).alias("_r")).join(counts, table)
+    every = F.concat(F.array(header), F.transform("_r", lambda r: r["_c"]))
+    return got.select(*table, as_markdown(every, F.col("_n"), most).alias("markdown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import scores
+from corvane.functions import records, scores
 from corvane.functions.text import is_reference_only
 from corvane.operators import conversation, evaluation, reports, retrieval
 from corvane.plans.registry import ANSWERS, DENSE, HASHED, KEYWORD, Tables, joined, query
@@ -224,9 +224,9 @@ REFERENCE = r"""(trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR regexp_matc
        AND regexp_matches(text, '(19|20)\d{2}') AND length(trim(regexp_replace(text, '\s+', ' ', 'g'))) < 700))"""
 
 
-@query("f6_reference_only", f"SELECT doc_id, {REFERENCE} AS reference_only FROM documents WHERE text IS NOT NULL")
+@query("f6_reference_only", f"SELECT doc_id, {REFERENCE} AS reference_only FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def reference_only(t):
-    return t("documents").where("text IS NOT NULL").select("doc_id", is_reference_only(F.col("text")).alias("reference_only"))
+    return t("documents").select("doc_id", is_reference_only(F.col("text")).alias("reference_only"))
 
 
 @query(
@@ -330,6 +330,19 @@ def traces(t):
     return readers.traces(dense_hits(t)).select("query_id", "n_candidates", "evidence_score", joined(F.transform("candidates", lambda c: c["chunk_id"].cast("string"))).alias("candidates"))
 
 
+@query(
+    "s11_answers",
+    f"""WITH {DENSE} SELECT q.vec_id AS query_id, coalesce(count(d.chunk_id), 0)::INTEGER AS n_citations, coalesce(max(d.score), 0.0)::DOUBLE AS evidence_score, 'm' AS model, coalesce(string_agg(d.chunk_id::VARCHAR, '|' ORDER BY d.rank), '') AS cited
+    FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN dense_top d ON d.query_id = q.vec_id AND d.query_id % 200 = 0 AND d.rank <= 5 GROUP BY 1""",
+)
+def answers(t):
+    said = t.vector_queries().select("query_id", F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("m").alias("model"))
+    none = F.lit(None).cast("string")
+    c = records.citation(F.col("chunk_id"), F.col("chunk_id") % 7, F.lit("t"), F.array(F.lit("t")), F.lit(""), none, F.create_map().cast("map<string,string>"), none, {"score": F.col("score")})
+    cited = dense_hits(t).where("rank <= 5 AND query_id % 200 = 0").withColumn("citation", c)
+    return readers.answers(said, cited).select("query_id", "n_citations", "evidence_score", "model", joined(F.transform("citations", lambda x: x["chunk_id"])).alias("cited"))
+
+
 def titled(t: Tables) -> DataFrame:
     """The hybrid hits with their documents."""
     docs = t("documents").select(
@@ -409,13 +422,13 @@ def cases_from_answers(t):
 
 @query(
     "g2_j8_case_from_answers",
-    f"""WITH {ANSWERS}, once AS (SELECT * FROM answers WHERE answer_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY collection_id, question ORDER BY created_at DESC, answer_id DESC) = 1)
+    f"""WITH {ANSWERS}, once AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY collection_id, question ORDER BY created_at DESC, answer_id DESC) = 1)
     SELECT collection_id, question, 'manual' AS source, answer_id FROM once WHERE question NOT IN (SELECT question FROM answers WHERE answer_id % 5 = 0)""",
 )
 def case_from_answers(t):
     a = t.answers().withColumn("cited", F.array(F.lit("")))
     known = a.where("answer_id % 5 = 0").select("collection_id", "question")
-    return evaluation.case_from_answers(a.where("answer_id % 3 = 1"), known).select("collection_id", "question", "source", "answer_id")
+    return evaluation.case_from_answers(a, known).select("collection_id", "question", "source", "answer_id")
 
 
 @query(
@@ -424,9 +437,10 @@ def case_from_answers(t):
       SELECT answer_id AS case_id,
         CASE WHEN contains(answer, 'the') THEN [] ELSE ['missing keyword in answer: the'] END
         || CASE WHEN contains(answer, 'and') THEN ['forbidden text in answer: and'] ELSE [] END
-        || CASE WHEN n_citations < 1 THEN ['citation count ' || n_citations || ' < 1'] ELSE [] END
-        || CASE WHEN evidence_score < 0.2 THEN ['evidence score ' || printf('%.3f', evidence_score) || ' < 0.200'] ELSE [] END AS reasons,
-        list_filter(list_transform(string_split_regex(answer, '\r\n|[\n\r]'), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '') AS ls FROM answers),
+        || CASE WHEN n_citations < few THEN ['citation count ' || n_citations || ' < ' || few] ELSE [] END
+        || CASE WHEN evidence_score < low THEN ['evidence score ' || printf('%.3f', evidence_score) || ' < ' || printf('%.3f', low)] ELSE [] END AS reasons,
+        list_filter(list_transform(string_split_regex(answer, '\r\n|[\n\r]'), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '') AS ls
+        FROM (SELECT *, CASE WHEN answer_id % 4 = 0 THEN 1 ELSE answer_id % 4 END AS few, CASE WHEN answer_id % 5 = 0 THEN 0.2 ELSE (answer_id % 5) / 10.0 END::DOUBLE AS low FROM answers)),
       y AS (SELECT case_id, reasons || CASE WHEN len(ls) > len(list_distinct(ls)) THEN ['duplicate answer lines: ' || (len(ls) - len(list_distinct(ls)))] ELSE [] END AS r FROM x)
     SELECT case_id, len(r) = 0 AS passed, array_to_string(r, '|') AS reasons FROM y""",
 )
@@ -434,6 +448,9 @@ def answer_quality(t):
     rows = t.answers().withColumnRenamed("answer_id", "case_id").withColumns(
         {"must_include": F.array(F.lit("the")), "must_not_include": F.array(F.lit("and")), "unreadable": F.lit(0)}
     )
+    # Each case has bounds of its own, or none.
+    i = F.col("case_id")
+    rows = rows.withColumns({"min_citations": F.when(i % 4 != 0, i % 4), "min_evidence_score": F.when(i % 5 != 0, i % 5 / 10.0)})
     return evaluation.answer_quality(rows, 1, 0.2).withColumn("reasons", joined(F.col("reasons")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import scores, text
+from corvane.functions import records, scores, text
 from corvane.operators import analysis, chunking, conversation, ingest, reports, retrieval, web
 from corvane.plans.registry import Tables, joined, query
 from corvane.sources import readers
@@ -37,24 +37,24 @@ def normalized(c: str) -> str:
 # --- text functions ------------------------------------------------------------------------
 
 
-@query("x1_normalize_text", f"SELECT doc_id, sha256({normalized('text')}) AS h, length({normalized('text')}) AS n FROM documents WHERE text IS NOT NULL")
+@query("x1_normalize_text", f"SELECT doc_id, sha256({normalized('text')}) AS h, length({normalized('text')}) AS n FROM documents")
 def normalize_text(t):
     n = text.normalize(F.col("text"))
-    return t("documents").where("text IS NOT NULL").withColumn("t", n).select("doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("h"), F.length("t").cast("long").alias("n"))
+    return t("documents").withColumn("t", n).select("doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("h"), F.length("t").cast("long").alias("n"))
 
 
 @query(
     "x1j_normalize_plain",
     r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h
-    FROM documents WHERE text IS NOT NULL""",
+    FROM documents""",
 )
 def normalize_plain(t):
-    return t("documents").where("text IS NOT NULL").select("doc_id", F.sha2(text.normalize_plain(F.col("text")).cast("binary"), 256).alias("h"))
+    return t("documents").select("doc_id", F.sha2(text.normalize_plain(F.col("text")).cast("binary"), 256).alias("h"))
 
 
-@query("x2_redact_secrets", f"SELECT doc_id, sha256({redacted(chr(39) + 'api_key = ' + chr(39) + ' || text')}) AS h FROM documents WHERE text IS NOT NULL")
+@query("x2_redact_secrets", f"SELECT doc_id, sha256({redacted(chr(39) + 'api_key = ' + chr(39) + ' || text')}) AS h FROM documents")
 def redact_secrets(t):
-    return t("documents").where("text IS NOT NULL").select("doc_id", F.sha2(text.redact(F.concat(F.lit("api_key = "), F.col("text"))).cast("binary"), 256).alias("h"))
+    return t("documents").select("doc_id", F.sha2(text.redact(F.concat(F.lit("api_key = "), F.col("text"))).cast("binary"), 256).alias("h"))
 
 
 @query(
@@ -67,10 +67,10 @@ def term_frequencies(t):
 
 @query(
     "x3j_tokenize_variant",
-    r"SELECT doc_id, count(*) AS n, count(DISTINCT term) AS kinds FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{Han}a-z0-9_.\-]+')) AS term FROM documents WHERE text IS NOT NULL) WHERE length(term) >= 2 GROUP BY 1",
+    r"SELECT doc_id, count(*) AS n, count(DISTINCT term) AS kinds FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{Han}a-z0-9_.\-]+')) AS term FROM documents) WHERE length(term) >= 2 GROUP BY 1",
 )
 def tokenize_variant(t):
-    words = t("documents").where("text IS NOT NULL").select("doc_id", F.explode(text.tokens_bigram(F.col("text"))).alias("term"))
+    words = t("documents").select("doc_id", F.explode(text.tokens_bigram(F.col("text"))).alias("term"))
     return words.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("term").alias("kinds"))
 
 
@@ -166,14 +166,46 @@ def signal_buckets(t):
     return analysis.signal_buckets(t.documents(), {"progress": ("the", "le"), "risks": ("and",), "decisions": ("der",)}, gate=False)
 
 
-@query("x15_report_signals")
+#: Documents as weekly reports: a heading and an owner, and a word of a report before each line.
+REPORT = "('周报 2024-05-01 会议' || chr(10) || '负责人：' || coalesce(source, 'nobody') || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || '下周计划 '))"
+REPORT_CLEANED = CLEANED.replace(B, REPORT)
+WORDS = ", ".join(f"('{bucket}', '{w.lower()}')" for bucket, words in text.SIGNAL_KEYWORDS.items() for w in words)
+
+
+def as_reports(t: Tables) -> DataFrame:
+    head = F.concat(F.lit("周报 2024-05-01 会议\n负责人："), F.coalesce("collection_id", F.lit("nobody")), F.lit("\n"))
+    return t.documents().withColumn("body", F.concat(head, F.replace(F.col("body"), F.lit("\n"), F.lit("\n下周计划 "))))
+
+
+@query(
+    "x15_report_signals",
+    f"""WITH {REPORT_CLEANED}, k AS (SELECT * FROM (VALUES {WORDS}) k(bucket, word)),
+      p AS (SELECT document_id, bucket, substr(line, 1, 300) AS line, min(pos) AS pos FROM cleaned JOIN k ON contains(lower(line), word) WHERE {CANDIDATE} GROUP BY ALL)
+    SELECT document_id, bucket, rank::INTEGER AS rank, line FROM (SELECT *, row_number() OVER (PARTITION BY document_id, bucket ORDER BY pos, line) AS rank FROM p) WHERE rank <= 12""",
+)
 def report_signals(t):
-    return analysis.signal_buckets(t.documents())
+    return analysis.signal_buckets(as_reports(t))
+
 
+@query(
+    "x15j_signals_variant",
+    f"""WITH {LINES.replace(B, REPORT)}, k AS (SELECT * FROM (VALUES {", ".join(f"('{b}', '{w}')" for b, ws in analysis.SIGNAL_KEYWORDS_PLAIN.items() for w in ws)}) k(bucket, word)),
+      hit AS (SELECT document_id, bucket, line, pos FROM lines JOIN k ON contains(lower(line), word) UNION ALL SELECT document_id, 'owners', line, pos FROM lines WHERE regexp_matches(lower(line), '{analysis.OWNER_LINE}')),
+      p AS (SELECT document_id, bucket, line, min(pos) AS pos FROM hit GROUP BY ALL)
+    SELECT document_id, bucket, rank::INTEGER AS rank, line FROM (SELECT *, row_number() OVER (PARTITION BY document_id, bucket ORDER BY pos, line) AS rank FROM p) WHERE rank <= 12""",
+)
+def signals_variant(t):
+    return analysis.signal_buckets_plain(as_reports(t))
 
-@query("x13_owners")
+
+@query(
+    "x13_owners",
+    rf"""WITH n AS (SELECT doc_id AS document_id, regexp_extract_all({REPORT}, '(?:汇报人|负责人|作者|owner|Owner|成员)[:：]\s*([\w\x{{4e00}}-\x{{9fff}}·.\-]{{2,30}})', 1)
+      || regexp_extract_all({REPORT}, '([\x{{4e00}}-\x{{9fff}}]{{2,4}})\s*(?:负责|完成|汇报)', 1) AS o FROM documents)
+    SELECT document_id, array_to_string(list_sort(list_distinct(o)), '|') AS owners FROM n""",
+)
 def owners(t):
-    return analysis.document_owners(t.documents()).select("document_id", joined(F.col("owners")).alias("owners"))
+    return analysis.document_owners(as_reports(t)).select("document_id", joined(F.array_sort("owners")).alias("owners"))
 
 
 @query(
@@ -186,9 +218,9 @@ def looks_like_report(t):
     return t.documents().select("document_id", text.looks_like_report(F.col("body")).alias("report"))
 
 
-@query("f16_html_error", r"SELECT page_id, regexp_matches(lower(regexp_replace(html, '^\s+|\s+$', '', 'g')), '^(<!doctype html|<html)') AS bad FROM pages WHERE html IS NOT NULL")
+@query("f16_html_error", r"SELECT page_id, regexp_matches(lower(regexp_replace(html, '^\s+|\s+$', '', 'g')), '^(<!doctype html|<html)') AS bad FROM pages")
 def html_error(t):
-    return t("pages").where("html IS NOT NULL").select("page_id", text.is_html_error(F.col("html")).alias("bad"))
+    return t("pages").select("page_id", text.is_html_error(F.col("html")).alias("bad"))
 
 
 @query("x22_x16_x17_file_names", r"""WITH n AS (SELECT page_id, 'a/b.' || page_id || '/Report.' || ['PDF', 'docx', 'md', 'xyz', 'json', 'csv'][(page_id % 6 + 1)::INT] AS path FROM pages)
@@ -219,26 +251,48 @@ def preview(t):
     return t.documents().select(F.col("document_id").alias("doc_id"), text.preview(F.col("body")).alias("preview"))
 
 
-@query("x25_x39_citation", "SELECT doc_id, doc_id || '|doc ' || doc_id || '|' || source || '|public' AS shown FROM documents WHERE source IS NOT NULL")
+@query(
+    "x25_x39_citation",
+    rf"""SELECT doc_id, doc_id::VARCHAR AS chunk_id, (doc_id // 3)::VARCHAR AS document_id, 'doc ' || doc_id AS title, coalesce(source, 'doc ' || doc_id) AS path, (n_chars % 100) / 100.0::DOUBLE AS score,
+      CASE WHEN doc_id % 2 = 0 THEN (n_chars % 10) / 10.0::DOUBLE END AS dense_score, lang AS language, substr(trim(regexp_replace({B}, '\s+', ' ', 'g')), 1, 520) AS preview,
+      sha256({B}) AS content, (doc_id % 5)::VARCHAR AS page, CASE WHEN lang = 'en' THEN 'public' ELSE 'team|' || coalesce(source, '') END AS acl FROM documents""",
+)
 def citation(t):
-    acl = scores.effective_acl(F.array().cast("array<string>"))
-    c = F.struct(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.array("source").alias("path"), acl.alias("acl"))
-    rows = t("documents").where("source IS NOT NULL").select("doc_id", c.alias("c"))
-    return rows.select("doc_id", F.concat_ws("|", "c.chunk_id", "c.title", F.col("c.path")[0], F.col("c.acl")[0]).alias("shown"))
+    d, i, none = t("documents"), F.col("doc_id"), F.array().cast("array<string>")
+    title, path = F.concat(F.lit("doc "), i), F.when(F.col("source").isNotNull(), F.array("source")).otherwise(none)
+    given = {"score": F.col("n_chars") % 100 / 100.0, "dense_score": F.when(i % 2 == 0, F.col("n_chars") % 10 / 10.0)}
+    c = records.citation(i, F.floor(i / 3), title, path, F.coalesce("text", F.lit("")), F.lit(None).cast("string"), F.create_map(F.lit("lang"), "lang"), i % 5, given)
+    acl = F.when(F.col("lang") == "en", none).otherwise(F.array(F.lit("team"), F.coalesce("source", F.lit(""))))
+    p = records.chunk_payload(F.col("lang"), F.floor(i / 3), i, title, F.concat(title, F.lit(".md")), acl, F.col("source"), F.lit("2024-05-01"), path)
+    return d.select("doc_id", c.alias("c"), p.alias("p")).select(
+        "doc_id", "c.chunk_id", "c.document_id", "c.title", joined(F.col("c.title_path")).alias("path"), "c.score", "c.dense_score", F.col("c.metadata")["lang"].alias("language"), "c.preview",
+        F.sha2(F.col("c.content").cast("binary"), 256).alias("content"), "c.page", joined(F.col("p.acl")).alias("acl"),
+    )
 
 
-@query("x26_citation_from_raw", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'Untitled' ELSE 'RAG' END AS title, (event_id % 2)::VARCHAR AS chunk_id FROM events")
+@query(
+    "x26_citation_from_raw",
+    rf"""WITH r AS (SELECT doc_id, doc_id % 5 AS k, trim(regexp_replace(substr({B}, 1, 200), '\s+', ' ', 'g')) AS said, coalesce(source, '') AS source, (n_chars % 100) / 100.0::DOUBLE AS s FROM documents)
+    SELECT doc_id, CASE WHEN k = 4 THEN '' ELSE doc_id::VARCHAR END AS chunk_id, CASE WHEN k = 0 THEN said WHEN k = 1 THEN coalesce(nullif(said, ''), 'p') WHEN k = 2 THEN said ELSE '' END AS content,
+      CASE WHEN k IN (0, 1) AND source <> '' THEN source WHEN k = 2 THEN 'f' ELSE 'Untitled' END AS title,
+      CASE WHEN k = 0 THEN 'a|' || doc_id WHEN k = 1 THEN 'one' WHEN k = 2 THEN 'f' ELSE 'Untitled' END AS path, CASE WHEN k = 0 THEN s ELSE 0 END::DOUBLE AS score,
+      CASE WHEN k = 1 THEN s END::DOUBLE AS dense_score, CASE WHEN k = 0 THEN '7' WHEN k = 1 THEN '3' END AS page FROM r""",
+)
 def citation_from_raw(t):
-    e = F.col("event_id")
-    raw = F.when(e % 3 == 0, F.to_json(F.struct(F.lit("").alias("docnm_kwd"), F.col("event_type").alias("filename"), (e % 2).alias("id")))).when(
-        e % 3 == 1, F.to_json(F.struct((e % 2).cast("string").alias("chunk_id")))
-    ).otherwise(F.to_json(F.struct(F.lit("RAG").alias("document_keyword"), (e % 2).alias("chunk_id"), F.lit("x").alias("title"))))
-    names = ("docnm_kwd", "document_keyword", "document_name", "filename", "title", "chunk_id", "id")
-    got = F.from_json(raw, ", ".join(f"{n} string" for n in names))
-    first = lambda *n: F.coalesce(*[F.nullif(F.col(f"r.{x}"), F.lit("")) for x in n])
-    return t("events").select("event_id", got.alias("r")).select(
-        "event_id", F.coalesce(first(*names[:5]), F.lit("Untitled")).alias("title"), F.coalesce(first("chunk_id", "id"), F.lit("")).alias("chunk_id")
-    )
+    i, s, said, source = F.col("doc_id"), F.col("n_chars") % 100 / 100.0, F.substring(F.coalesce("text", F.lit("")), 1, 200), F.coalesce("source", F.lit(""))
+    kinds = (
+        F.to_json(F.struct(said.alias("content_with_weight"), source.alias("docnm_kwd"), i.alias("id"), F.array(F.lit("a"), F.lit(" "), i.cast("string")).alias("title_path"), s.alias("similarity"), F.lit(7).alias("page"))),
+        F.to_json(F.struct(F.lit("").alias("content_with_weight"), text.collapse(said).alias("text"), F.lit("p").alias("preview"), source.alias("document_keyword"), i.alias("chunk_id"), F.lit("one").alias("section_path"), s.cast("string").alias("vector_similarity"), F.lit(0).alias("page"), F.lit(3).alias("position"))),
+        F.to_json(F.struct(said.alias("content"), F.lit("f").alias("filename"), F.lit("t").alias("title"), i.alias("id"), F.array().cast("array<string>").alias("title_path"), F.lit("x").alias("similarity"))),
+        F.to_json(F.struct(i.alias("id"))),
+        F.lit("no json"),
+    )
+    raw = F.get(F.array(*kinds), (i % 5).cast("int"))
+    c = F.col("c")
+    return t("documents").select("doc_id", records.citation_from_raw(raw).alias("c")).select(
+        "doc_id", c["chunk_id"].alias("chunk_id"), c["content"].alias("content"), c["title"].alias("title"), joined(c["title_path"]).alias("path"), c["score"].alias("score"),
+        c["dense_score"].alias("dense_score"), c["page"].alias("page"),
+    )
 
 
 @query("x27_optional_float", "SELECT event_id, try_cast(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE value::VARCHAR END AS DOUBLE) AS value FROM events")
@@ -292,19 +346,25 @@ def duplicate_lines(t):
     return t.documents().select("document_id", text.count_duplicate_lines(F.col("body")).alias("duplicates"))
 
 
-@query("x38_prefix_items", "SELECT doc_id, coalesce(nullif(lang, 'en'), source, 'doc') || ': x' AS item FROM documents")
+@query("x38_prefix_items", f"SELECT doc_id, w || ': ' || substr({B}, 1, 30) || '|' || w || ': ' || sha256({B}) AS items FROM (SELECT *, coalesce(nullif(CASE WHEN lang <> 'en' THEN lang ELSE '' END, ''), nullif(source, ''), 'doc ' || doc_id) AS w FROM documents)")
 def prefix_items(t):
-    who = F.coalesce(F.nullif("lang", F.lit("en")), F.nullif("source", F.lit("")), F.lit("doc"))
-    items = F.transform(F.array(F.lit("x")), lambda i: F.concat(who, F.lit(": "), i))
-    return t("documents").select("doc_id", items[0].alias("item"))
+    body = F.coalesce("text", F.lit(""))
+    items = records.prefix_items(
+        F.when(F.col("lang") != "en", F.col("lang")).otherwise(""), F.col("source"), F.concat(F.lit("doc "), "doc_id"), F.array(F.substring(body, 1, 30), F.sha2(body.cast("binary"), 256))
+    )
+    return t("documents").select("doc_id", joined(items).alias("items"))
 
 
-@query("x40_merge_metadata", "SELECT event_id, event_type AS kind, 'new' AS state FROM events")
+@query(
+    "x40_merge_metadata",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 2 = 0 THEN props->>'k' ELSE CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'old' || user_id END END AS k, ((CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END) + (CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 1 ELSE 0 END))::INTEGER AS n FROM events",
+)
 def merge_metadata(t):
-    old, new = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("state"), F.lit("old")), F.create_map(F.lit("state"), F.lit("new"))
-    # Right-biased whatever the session's policy on repeated keys.
-    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
-    return t("events").select("event_id", merged.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["state"].alias("state"))
+    e = F.col("event_id")
+    old = F.when(e % 3 != 0, F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.concat(F.lit("old"), "user_id")))
+    new = F.when(e % 2 == 0, F.create_map(F.lit("k"), F.get_json_object("props", "$.k")))
+    rows = t("events").select("event_id", records.merge_metadata(old, new).alias("m"))
+    return rows.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["k"].alias("k"), F.size("m").alias("n"))
 
 
 @query("x41_cells", "SELECT n_nationkey, replace(n_name, '_', '\\|') || '/' AS cell, 2 AS width FROM nation")
@@ -313,25 +373,33 @@ def cells(t):
     return t("nation").select("n_nationkey", F.concat(text.escape_cell(F.replace(text.cell(F.col("n_name")), F.lit("_"), F.lit("|"))), F.lit("/")).alias("cell"), F.size(row).alias("width"))
 
 
-@query("x42_source_uri_for_zip", "SELECT page_id, 'zip://a.zip/' || page_id || '.md' AS uri FROM pages")
+@query("x42_source_uri_for_zip", r"SELECT page_id, 'zip://' || regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) || '.zip/' || regexp_extract(coalesce(url, ''), '([^/]*)$', 1) AS uri FROM pages")
 def source_uri_for_zip(t):
-    return t("pages").select("page_id", F.concat(F.lit("zip://a.zip/"), "page_id", F.lit(".md")).alias("uri"))
+    url = F.coalesce("url", F.lit(""))
+    return t("pages").select("page_id", records.source_uri_for_zip(F.concat(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit(".zip")), F.regexp_extract(url, r"([^/]*)$", 1)).alias("uri"))
 
 
 # --- web -----------------------------------------------------------------------------------
 
-TITLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
-NAME = rf"substr(regexp_replace(regexp_replace({TITLE}, '[^\p{{L}}\p{{N}}_\x{{4e00}}-\x{{9fff}}.\-]+', '-', 'g'), '^[\-._]+|[\-._]+$', '', 'g'), 1, 120)"
+def tag_text(tag: str) -> str:
+    return rf"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
-@query("x19_html_title", f"SELECT page_id, nullif({TITLE}, '') AS title FROM pages WHERE html IS NOT NULL AND contains(html, '<title>')")
-def html_title(t):
-    return t("pages").where(F.col("html").isNotNull() & F.contains("html", F.lit("<title>"))).select("page_id", web.html_title(F.col("html")).alias("title"))
+#: Pages, and the same pages again without title and without heading either.
+PAGE_KINDS = r"pg AS (SELECT page_id, k, url, CASE k WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '(?i)title', 'nott', 'g') ELSE regexp_replace(regexp_replace(html, '(?i)title', 'nott', 'g'), '(?i)<h1', '<h2', 'g') END AS html FROM pages, (VALUES (0), (1), (2)) v(k))"
+TITLE = f"coalesce(nullif({tag_text('title')}, ''), nullif({tag_text('h1')}, ''))"
+NAME = rf"coalesce(nullif(substr(regexp_replace(regexp_replace(coalesce({TITLE}, ''), '[^\p{{L}}\p{{N}}_\x{{4e00}}-\x{{9fff}}.\-]+', '-', 'g'), '^[\-._]+|[\-._]+$', '', 'g'), 1, 120), ''), 'web-document')"
 
 
-@query("s6_x20_web_pages", f"SELECT page_id, {NAME} || '.html' AS filename, {NAME} AS title, 'text/html' AS content_type, url AS source_uri FROM pages WHERE html IS NOT NULL AND contains(html, '<title>') AND {NAME} <> ''")
-def web_pages(t):
-    return web.web_pages(t("pages").where(F.col("html").isNotNull() & F.contains("html", F.lit("<title>")))).drop("body").where("title <> 'web-document'")
+def page_kinds(t: Tables) -> DataFrame:
+    bare = F.regexp_replace("html", "(?i)title", "nott")
+    kinds = F.array(F.col("html"), bare, F.regexp_replace(bare, "(?i)<h1", "<h2"))
+    return t("pages").select("page_id", "url", F.posexplode(kinds).alias("k", "html"))
+
+
+@query("x19_html_title", f"WITH {PAGE_KINDS} SELECT page_id, k, {TITLE} AS title FROM pg")
+def html_title(t):
+    return page_kinds(t).select("page_id", "k", web.html_title(F.col("html")).alias("title"))
 
 
 def page_text() -> str:
@@ -354,14 +422,23 @@ def page_text() -> str:
     return c
 
 
+@query("s6_x20_web_pages", f"WITH {PAGE_KINDS} SELECT page_id, {NAME} || '.html' AS filename, {NAME} AS title, sha256({page_text()}) AS body, 'text/html' AS content_type, url AS source_uri FROM pg")
+def web_pages(t):
+    return web.web_pages(page_kinds(t)).withColumn("body", F.sha2(F.col("body").cast("binary"), 256))
+
+
 @query("x21_html_to_text", f"SELECT page_id, {page_text()} AS body FROM pages")
 def html_to_text(t):
     return t("pages").select("page_id", web.html_to_text(F.col("html")).alias("body"))
 
 
-@query("f8_valid_url", "SELECT page_id, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS valid, TRUE AS supported FROM pages WHERE url IS NOT NULL")
+@query("f8_valid_url", "SELECT page_id, coalesce(regexp_matches(url, '^(?i:https?)://[^/?#]+'), FALSE) AS valid, page_id % 5 IN (0, 1, 4) AS supported, page_id % 5 IN (0, 1, 2, 4) AS with_json FROM pages")
 def valid_url(t):
-    return t("pages").where("url IS NOT NULL").select("page_id", ingest.valid_url(F.col("url")).alias("valid"), ingest.supported_content_type(F.lit("text/html; charset=utf-8")).alias("supported"))
+    kinds = F.array(*[F.lit(x) for x in ("text/html; charset=utf-8", "Text/plain", "application/JSON", "image/png", "application/xhtml+xml")])
+    ct = F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int"))
+    return t("pages").select(
+        "page_id", ingest.valid_url(F.col("url")).alias("valid"), ingest.supported_content_type(ct).alias("supported"), ingest.supported_content_type(ct, json=True).alias("with_json")
+    )
 
 
 @query(
@@ -380,9 +457,9 @@ def scan_documents(t):
     return readers.scan_documents(t.documents(), collection_id="src3").select("document_id", "project")
 
 
-@query("s2_scan_chunks", "SELECT conv_id || ':' || turn AS chunk_id, (turn + 1)::INTEGER AS ordinal FROM conversations WHERE conv_id % 7 = 3")
+@query("s2_scan_chunks", "SELECT conv_id || ':' || turn AS chunk_id, (turn + 1)::INTEGER AS ordinal FROM conversations WHERE role = 'user'")
 def scan_chunks(t):
-    return t.turns().where("document_id % 7 = 3").select("chunk_id", "ordinal")
+    return readers.scan_chunks(t.turns(), role="user").select("chunk_id", "ordinal")
 
 
 @query("s9_upsert_vectors", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -497,9 +574,11 @@ def cap_accepted(t):
     return ingest.cap_accepted(rows, 3, F.col("event_type") == "click").select("batch_id", "position", "kept")
 
 
-@query("f17_quarantine", "SELECT conv_id, turn, CASE WHEN NOT length(text) BETWEEN 1 AND 4000 THEN 'question_length' WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN turn > 3 THEN 'window' END AS problem FROM conversations")
+@query("f17_quarantine", "SELECT conv_id, turn, CASE WHEN NOT length(text) BETWEEN 1 AND 4000 THEN 'question_length' WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN turn > 3 THEN 'window' WHEN NOT (length(text) % 211) BETWEEN 1 AND 200 THEN 'dense_top_k' WHEN conv_id % 4 > 0 AND NOT (conv_id % 60) BETWEEN 1 AND 50 THEN 'final_top_k' END AS problem FROM conversations")
 def quarantine(t):
-    rows = t("conversations").select("conv_id", "turn", F.col("text").alias("question"), "role", F.col("turn").alias("window"))
+    rows = t("conversations").select(
+        "conv_id", "turn", F.col("text").alias("question"), "role", F.col("turn").alias("window"), (F.length("text") % 211).alias("dense_top_k"), F.when(F.col("conv_id") % 4 > 0, F.col("conv_id") % 60).alias("final_top_k")
+    )
     good, bad = ingest.quarantine_requests(rows)
     return good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad).select("conv_id", "turn", "problem")
 
@@ -552,6 +631,16 @@ def document_analysis(t):
     return analysis.document_analysis(t.documents(), turn_chunks(t))
 
 
+@query("a6_full_analysis")
+def full_analysis(t):
+    """All fields of the analysis over the documents' own chunks; packing has no SQL, tests compare with plain counting."""
+    docs = as_reports(t)
+    a = analysis.full_analysis(docs, chunking.chunk_documents(docs))
+    shown = F.transform("top_terms", lambda x: F.concat_ws(":", x["term"], x["count"]))
+    lines_ = F.transform(F.array_sort(F.map_keys("signals")), lambda k: F.concat(k, F.lit("="), F.array_join(F.element_at("signals", k), ",")))
+    return a.withColumns({"top_terms": joined(shown), "signals": joined(lines_), "warnings": joined(F.col("warnings"))})
+
+
 RATIO = f"""{LINES}, each AS (SELECT document_id, line, count(*) AS n FROM lines WHERE length(line) > 8 GROUP BY ALL),
   ratio AS (SELECT doc_id AS document_id, round(coalesce(r, 0), 6)::DOUBLE AS duplicate_ratio FROM documents LEFT JOIN (SELECT document_id, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::DOUBLE / sum(n) AS r FROM each GROUP BY 1) ON document_id = doc_id)"""
 
@@ -636,6 +725,25 @@ def meeting_summary(t):
     return reports.meeting_summary(*summary_inputs(t))
 
 
+@query(
+    "a4_meeting_report",
+    f"""WITH {LINES}, own AS (SELECT doc_id AS document_id, source AS collection_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS author, source AS project FROM documents WHERE doc_id % 2 = 0 AND (lang IS NULL OR lang IN ('en', 'de'))),
+      i AS (SELECT collection_id, coalesce(nullif(author, ''), nullif(project, ''), 't') || ': ' || substr(line, 1, 30) AS item, min((document_id, pos)) AS place FROM lines JOIN own USING (document_id) GROUP BY ALL),
+      m AS (SELECT collection_id, string_agg(item, '|' ORDER BY place, item) AS items FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY place, item) AS rank FROM i) WHERE rank <= 50 GROUP BY 1),
+      h AS (SELECT collection_id, count(*) AS document_count, coalesce(string_agg(DISTINCT nullif(author, ''), '|' ORDER BY nullif(author, '')), '') AS authors, coalesce(string_agg(DISTINCT nullif(project, ''), '|' ORDER BY nullif(project, '')), '') AS projects FROM own GROUP BY 1)
+    SELECT h.*, m.items FROM h LEFT JOIN m ON m.collection_id = h.collection_id""",
+)
+def meeting_report(t):
+    acl = F.when(F.col("project") == "en", F.array().cast("array<string>")).when(F.col("project").isNotNull(), F.array(F.concat(F.lit("of-"), "project")))
+    docs = t.documents().select(
+        "document_id", "collection_id", F.when(F.col("document_id") % 3 == 0, "").otherwise(F.col("project")).alias("author"), F.col("collection_id").alias("project"), F.lit("t").alias("title"),
+        acl.alias("acl"), F.when(F.col("document_id") % 2 == 0, "2024-05-01").alias("meeting_date"),
+    )
+    signals, _ = summary_inputs(t)
+    got = reports.meeting_report(signals, docs, F.array(F.lit("of-de"), F.lit("public")), "2024-05-01")
+    return got.select("collection_id", "document_count", joined(F.col("authors")).alias("authors"), joined(F.col("projects")).alias("projects"), joined(F.col("items")["key_points"]).alias("items"))
+
+
 @query("a5_meeting_summary_variant", summary_sql(False, 20))
 def meeting_summary_variant(t):
     return reports.meeting_summary(*summary_inputs(t), most=20, prefix=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +61,33 @@ def latest_status(events: DataFrame) -> DataFrame:
     return last.select("remote_id", "s.status", "s.error_message", "s.ts")
 
 
-def stream_status_sync(spark: SparkSession, events: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Keeps the newest status per document in the in-memory table ``name``."""
-    out = latest_status(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+def _each_batch(rows: DataFrame, out: str, checkpoint: str, reduced: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Writes what ``reduced`` makes of each batch under the batch's number; a batch that is run
+    again overwrites itself.  Nothing is kept on the driver or in state."""
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, number: reduced(batch).write.mode("overwrite").parquet(f"{out}/batch={number}"))
+        .start()
+    )
+
+
+def stream_status_sync(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the newest status per document in the table ``out`` (see :func:`read_statuses`)."""
+    return _each_batch(events, out, checkpoint, latest_status)
+
+
+def read_statuses(spark: SparkSession, out: str) -> DataFrame:
+    """(remote_id, status, error_message, ts): the newest over all batches."""
+    last = spark.read.parquet(out).groupBy("remote_id").agg(F.max_by(F.struct("status", "error_message", "ts"), F.struct("ts", "status")).alias("s"))
+    return last.select("remote_id", "s.status", "s.error_message", "s.ts")
+
+
+def stream_metrics(audit: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps counts per action of each batch in the table ``out`` (see :func:`read_metrics`)."""
+    return _each_batch(audit, out, checkpoint, lambda batch: batch.groupBy("action").agg(F.count("*").alias("n")))
 
 
-def stream_metrics(audit: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Keeps the counts per action in the in-memory table ``name``."""
-    out = audit.groupBy("action").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+def read_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """(action, n): counts over all batches."""
+    return spark.read.parquet(out).groupBy("action").agg(F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corvane.functions import scores, text
+from corvane.functions import records, scores, text
 from corvane.operators import analysis, chunking, evaluation, ingest, reports, retrieval, web
 from corvane.sources import readers
 from corvane.streaming import jobs
@@ -42,73 +42,57 @@ def test_signals(spark):
     assert "张三" in analysis.document_owners(docs).first()["owners"]
 
 
-def estimate(s):
-    return max(1, int(len(re.findall(r"[\u4e00-\u9fff]", s)) * 0.8 + len(re.findall(r"[A-Za-z0-9_]+", s)) * 1.2 + len(re.findall(r"[^\w\s\u4e00-\u9fff]", s)) * 0.2))
-
-
-def tail(parts, overlap):
-    out, total = [], 0
-    for p in reversed(parts) if overlap > 0 else ():
-        out, total = [p, *out], total + estimate(p)
-        if total >= overlap:
-            break
-    return out
-
-
-def brute_split(body, most, overlap):
-    out, cur, n = [], [], 0
-    for p in (x.strip() for x in body.split("\n\n") if x.strip()):
-        k = estimate(p)
-        if k > most:
-            out += ["\n\n".join(cur)] if cur else []
-            cur, n, line = [], 0, []
-            pieces = [x.strip() for x in re.split(r"(?<=[。！？.!?\n])", p)]
-            for s in pieces[:-1] + [x for x in pieces[-1:] if x]:
-                if line and estimate("".join(line) + s) > most:
-                    out.append("".join(line))
-                    line = tail(line, overlap)
-                line.append(s)
-            out += ["".join(line)] if line else []
-            continue
-        if cur and n + k > most:
-            out.append("\n\n".join(cur))
-            cur = tail(cur, overlap)
-            n = estimate("\n\n".join(cur))
-        cur.append(p)
-        n += k
-    return out + (["\n\n".join(cur)] if cur else [])
-
-
-def test_chunks_against_loop(spark):
-    bodies = [
-        "短段。\n\n" * 9 + "One two three. Four five! Six? " * 20,
-        "a b c\n\nd e f g h\n\n" + "x " * 60 + "\n\n" + "句子一。句子二！" * 12,
-        "..!?\n\n...", "one", "", "p q r s t\n\n" * 12,
-    ]
-    for most, overlap in ((20, 4), (12, 0), (30, 10)):
-        df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", chunking.split_text(F.col("b"), most, overlap).alias("c"))
-        for r in df.collect():
-            assert r["c"] == brute_split(bodies[r["i"]], most, overlap), (most, overlap, r["i"])
-
-
-def brute_sections(body):
-    out, title, cur = [], "正文", []
-    for line in body.splitlines():
-        s = line.strip()
-        if cur and (s.startswith("#") or 2 < len(s) <= 80 and s.endswith(("：", ":"))):
-            out.append((title, "\n".join(cur).strip()))
-            cur, title = [], s.lstrip("#").strip(" :：") or title
-        else:
-            cur.append(line)
-    out += [(title, "\n".join(cur).strip())] if cur else []
-    return [x for x in out if x[1]]
-
-
-def test_sections(spark):
-    bodies = ["# A\nx\n## B:\ny\n\n进展：\nz", "# A\n# B\n# C\nt", "a\n#\nb\nno heading: here\nRisk:\n", "\n\n", "x:\nab:\nabc:\nq"]
-    df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", chunking.sections(F.col("b")).alias("s"))
+def split(spark, body, most, overlap, **how):
+    return one(spark, body, lambda c: chunking.split_text(c, most, overlap, **how))
+
+
+def test_chunks_by_hand(spark):
+    # A word is 1.2 tokens, a CJK character 0.8, a mark 0.2, each part cut to a whole number of 1 at least.
+    assert split(spark, "a b\n\nc d\n\ne f", 5, 0) == ["a b\n\nc d", "e f"]
+    assert split(spark, "a b\n\nc d\n\ne f", 5, 2) == ["a b\n\nc d", "c d\n\ne f"]
+    assert split(spark, "一二三四五六。七八九十。", 6, 0) == ["一二三四五六。", "七八九十。"]
+    assert split(spark, "一二三四五六。七八九十。", 6, 3) == ["一二三四五六。", "一二三四五六。七八九十。"]
+    assert split(spark, "x y z.\n\na b c d e f g h. i j.\n\nk", 6, 0) == ["x y z.", "a b c d e f g h.", "i j.", "k"]
+    assert split(spark, "one. two. three. four. five. six.", 4, 0) == ["one.two.three.", "four.five.six."]
+    assert split(spark, "one two three four;five six seven eight", 5, 0, variant=True) == ["one two three four;", "five six seven eight"]
+    assert split(spark, "", 5, 0) == [] and split(spark, " \n\n ", 5, 0) == [] and split(spark, None, 5, 0) is None
+
+
+def test_chunks_keep_bounds_and_order(spark):
+    """Every sentence is in a chunk, in order; chunks keep the bound unless one part alone breaks it; overlaps are whole parts."""
+    import random
+
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "无人机", "测试", "x1", "delta"]
+    bodies = []
+    for _ in range(25):
+        paragraphs = [" ".join(f"{rnd.choice(words)} s{rnd.randrange(10**6)}." for _ in range(rnd.choice((1, 2, 30)))) for _ in range(rnd.randrange(1, 9))]
+        bodies.append("\n\n".join(paragraphs))
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string")
+    for most, overlap in ((20, 4), (12, 0), (60, 20)):
+        got = df.select("i", "b", chunking.split_text(F.col("b"), most, overlap).alias("c")).withColumn("n", F.transform("c", text.estimate_tokens))
+        for r in got.collect():
+            marks = re.findall(r"s\d+\.", r["b"])
+            at, ends = [[marks.index(m) for m in re.findall(r"s\d+\.", c)] for c in r["c"]], -1
+            for own in at:
+                assert own == list(range(own[0], own[-1] + 1)) and own[0] <= ends + 1 and own[-1] > ends
+                assert overlap or own[0] == ends + 1
+                ends = own[-1]
+            assert ends == len(marks) - 1
+            assert all(n <= most + overlap + 8 for n in r["n"])
+
+
+def test_sections_by_hand(spark):
+    cases = {
+        "# A\nx\n## B:\ny\n\n进展：\nz": [("正文", "# A\nx"), ("B", "y"), ("进展", "z")],
+        "intro\n# A\n# B\nt": [("正文", "intro"), ("A", "# B\nt")],
+        "a\n#\nb\nno heading: here\nRisk:\nr": [("正文", "a"), ("正文", "b\nno heading: here"), ("Risk", "r")],
+        "\n\n": [],
+        "x\nab:\nabc:\nq\ny:\nz": [("正文", "x"), ("ab", "abc:\nq\ny:\nz")],
+    }
+    df = spark.createDataFrame([(b,) for b in cases], "b string").select("b", chunking.sections(F.col("b")).alias("s"))
     for r in df.collect():
-        assert [(x["title"], x["text"]) for x in r["s"]] == brute_sections(bodies[r["i"]])
+        assert [(x["title"], x["text"]) for x in r["s"]] == cases[r["b"]]
 
 
 def test_chunk_documents(spark):
@@ -191,6 +175,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "A.md").write_bytes(b"\xef\xbb\xbfhello")
     (tmp_path / "in" / "b.txt").write_text("  \n")
+    (tmp_path / "in" / "c.png").write_text("no text file")
     files = {r["filename"]: r for r in readers.read_files(spark, str(tmp_path / "in")).collect()}
     assert files["A.md"]["suffix"] == ".md" and files["A.md"]["content_type"] == "text/markdown" and len(files["b.txt"]["checksum"]) == 64
     docs, bad = readers.read_text_documents(spark, str(tmp_path / "in"))
@@ -224,7 +209,10 @@ def test_write_chunks_replaces(spark, tmp_path):
     ingest.write_chunks(spark, chunking.chunk_documents(docs), path)
     again = spark.createDataFrame([("a", "c", "A", "seven.")], jobs.DOCUMENTS)
     ingest.write_chunks(spark, chunking.chunk_documents(again), path)
-    assert {(r["document_id"], r["content"]) for r in spark.read.parquet(path).collect()} == {("a", "seven."), ("b", "four five six.")}
+    shown = lambda p: {(r["document_id"], r["content"]) for r in ingest.read_chunks(spark, p).collect()}
+    assert shown(path) == {("a", "seven."), ("b", "four five six.")}
+    ingest.compact_chunks(spark, path, str(tmp_path / "new"))
+    assert shown(str(tmp_path / "new")) == shown(path) and spark.read.parquet(str(tmp_path / "new")).count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -237,7 +225,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r["document_id"], r["status"]) for r in stored.collect()) == [("a", "ready"), ("b", "ready"), ("z", "failed")]
     want = chunking.chunk_documents(docs.where("trim(body) <> ''"))
     key = lambda df: sorted((r["document_id"], r["ordinal"], r["content"]) for r in df.collect())
-    assert key(spark.read.parquet(f"{out}/chunks")) == key(want)
+    assert key(ingest.read_chunks(spark, f"{out}/chunks")) == key(want)
     jobs.ingest_batch(spark, docs, out)  # the same again changes nothing
     assert spark.read.parquet(f"{out}/documents").count() == 3
 
@@ -247,10 +235,70 @@ def test_streams_of_status_and_counts(spark, tmp_path):
     schema = "remote_id string, ts long, run string, message string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "ev"))
     live = spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))
-    jobs.stream_status_sync(spark, live, "status_now").awaitTermination(120)
-    assert {(r["remote_id"], r["status"], r["error_message"]) for r in spark.table("status_now").collect()} == {("r1", "ready", None), ("r2", "failed", "bad")}
-    jobs.stream_metrics(live.withColumnRenamed("run", "action"), "counts_now").awaitTermination(120)
-    assert {(r["action"], r["n"]) for r in spark.table("counts_now").collect()} == {("RUNNING", 1), ("DONE", 1), ("FAIL", 1)}
+    out, cp = str(tmp_path / "status"), str(tmp_path / "cp")
+    jobs.stream_status_sync(live, out, cp).awaitTermination(120)
+    assert {(r["remote_id"], r["status"], r["error_message"]) for r in jobs.read_statuses(spark, out).collect()} == {("r1", "ready", None), ("r2", "failed", "bad")}
+    spark.createDataFrame([("r2", 9, "DONE", None)], schema).write.mode("append").parquet(str(tmp_path / "ev"))
+    jobs.stream_status_sync(live, out, cp).awaitTermination(120)
+    assert {(r["remote_id"], r["status"]) for r in jobs.read_statuses(spark, out).collect()} == {("r1", "ready"), ("r2", "ready")}
+    counts = str(tmp_path / "counts")
+    jobs.stream_metrics(live.withColumnRenamed("run", "action"), counts, str(tmp_path / "cp2")).awaitTermination(120)
+    assert {(r["action"], r["n"]) for r in jobs.read_metrics(spark, counts).collect()} == {("RUNNING", 1), ("DONE", 2), ("FAIL", 1)}
+
+
+def test_full_analysis(spark):
+    body = "项目周报 2024-05-01\n负责人：张三 报告\n本周完成数据清洗工作\n风险：GPU 资源不足够用\n# 下周:\n下周计划补充评估集内容，并且整理全部实验记录与数据"
+    docs = spark.createDataFrame([("d", body), ("e", "")], "document_id string, body string")
+    got = {r["document_id"]: r for r in analysis.full_analysis(docs, chunking.chunk_documents(docs, 40, 0)).collect()}
+    assert got["d"]["section_count"] == 2 and got["d"]["chunk_count"] >= 2 and "张三" in got["d"]["signals"]["owners"]
+    assert any("GPU" in x for x in got["d"]["signals"]["risks"]) and got["d"]["signals"]["key_points"] and len(got["d"]["top_terms"]) == 30
+    assert got["e"]["section_count"] == 0 and got["e"]["top_terms"] == [] and got["e"]["signals"]["risks"] == [] and "no_chunks_created" in got["e"]["warnings"]
+
+
+def test_signals_of_the_variant(spark):
+    body = "Owner: Jane Doe\nProgress made\nProgress made\nRisk of delay, next risk\nTODO\nDecision: go"
+    got = {}
+    for r in analysis.signal_buckets_plain(spark.createDataFrame([("d", body)], "document_id string, body string")).collect():
+        got.setdefault(r["bucket"], []).append(r["line"])
+    assert got == {"owners": ["Owner: Jane Doe"], "progress": ["Progress made"], "risks": ["Risk of delay, next risk"], "next_steps": ["Risk of delay, next risk", "TODO"], "decisions": ["Decision: go"]}
+
+
+def test_raw_citations(spark):
+    raw = '{"content_with_weight": " a  b ", "docnm_kwd": "", "document_name": "N", "id": 5, "doc_id": "d", "title_path": ["", "p"], "similarity": 0.5, "term_similarity": "x", "page": 0, "position": [1]}'
+    c = one(spark, raw, records.citation_from_raw)
+    assert (c["content"], c["title"], c["chunk_id"], c["document_id"], c["title_path"], c["score"], c["keyword_score"], c["page"]) == ("a b", "N", "5", "d", ["p"], 0.5, None, "[1]")
+    bad = one(spark, "[", records.citation_from_raw)
+    assert bad["title"] == records.UNTITLED and bad["title_path"] == [records.UNTITLED] and bad["content"] == "" and bad["score"] == 0.0
+
+
+def test_csv_tables(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes(b'\xef\xbb\xbfa,b\n"x|1","two\nlines"\n,\n3\n')
+    (tmp_path / "u.csv").write_text("h\n" + "\n".join("r" for _ in range(5)))
+    got = {r["filename"]: r["markdown"] for r in readers.read_csv_as_markdown(spark, str(tmp_path), most=3).collect()}
+    assert got["t.csv"] == "| a | b |\n| --- | --- |\n| x\\|1 | two lines |\n| 3 |  |"
+    assert got["u.csv"].count("| r |") == 3 and "3" in got["u.csv"].splitlines()[-1]
+
+
+def test_scoped_retrieval_reads_its_strategy(spark):
+    docs = spark.createDataFrame([(1, "c", "T1", None), (2, "c", "T2", ["u1"]), (3, "o", "T3", None)], "document_id int, collection_id string, title string, acl array<string>")
+    chunks = spark.createDataFrame([(i * 10 + j, i, j, f"drone test part {j} of {i}") for i in (1, 2, 3) for j in (1, 2, 3)], "chunk_id int, document_id int, ordinal int, content string")
+    asks = spark.createDataFrame([("q", "drone test", "c", ["u9"]), ("r", "drone test", "c", ["u1"]), ("s", "nothing here", "o", ["u1"])], "query_id string, question string, collection_id string, principals array<string>")
+    run = lambda **how: retrieval.retrieve(asks, chunks, docs, retrieval.Strategy(**how)).collect()
+    rows = run(final_top_k=20)
+    assert {r["document_id"] for r in rows if r["query_id"] == "q"} == {1} and {r["document_id"] for r in rows if r["query_id"] == "r"} == {1, 2} and not [r for r in rows if r["query_id"] == "s"]
+    mid = next(r for r in rows if r["query_id"] == "q" and r["chunk_id"] == 12)
+    assert mid["expanded_chunk_ids"] == [11, 12, 13] and mid["context"].startswith("[chunk 1]\ndrone") and mid["title"] == "T1" and mid["answerable"]
+    bare = run(final_top_k=1, use_parent_context=False, min_evidence_score=2.0)
+    assert len(bare) == 2 and all(r["context"] == r["content"] and not r["answerable"] for r in bare)
+    assert next(r for r in run(context_window_chunks=2) if r["chunk_id"] == 11)["expanded_chunk_ids"] == [11, 12, 13]
+
+
+def test_own_bounds_of_cases(spark):
+    rows = [("a", "t", 1, 0.5, 2, None), ("b", "t", 1, 0.5, None, 0.6), ("c", "t", 1, 0.5, None, None)]
+    df = spark.createDataFrame(rows, "case_id string, answer string, n_citations int, evidence_score double, min_citations int, min_evidence_score double")
+    df = df.withColumns({"must_include": F.array().cast("array<string>"), "must_not_include": F.array().cast("array<string>"), "unreadable": F.lit(0)})
+    got = {r["case_id"]: r["reasons"] for r in evaluation.answer_quality(df).collect()}
+    assert got == {"a": ["citation count 1 < 2"], "b": ["evidence score 0.500 < 0.600"], "c": []}
 
 
 def test_hooks(spark):
