@@ -317,12 +317,18 @@ def dedupe_paragraphs(t):
 
 @query(
     "x28_clean_answer",
-    "SELECT conv_id, turn, text AS answer FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE NOT contains(text, chr(10))) WHERE text <> ''",
+    r"""WITH l AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) AS line, generate_subscripts(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), 1) AS pos FROM conversations),
+      k AS (SELECT conv_id, turn, pos, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
+      n AS (SELECT *, lag(line) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS prev FROM k),
+      once AS (SELECT conv_id, turn, line, min(pos) AS pos FROM n WHERE prev IS NULL OR prev <> line GROUP BY ALL)
+    SELECT conv_id, turn, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS answer FROM once GROUP BY 1, 2""",
 )
 def clean_answer(t):
-    one = t("conversations").where(~F.contains("text", F.lit("\n")))
-    said = F.concat(F.lit("<think>a\nb</think>"), F.col("text"), F.lit("\n"), F.col("text"), F.lit("  \n\n\n\n"), F.col("text"))
-    return one.select("conv_id", "turn", text.drop_repeats(said).alias("answer")).where("answer <> ''")
+    """Each line said twice in a row and as a paragraph of its own, after a thought."""
+    c = t("conversations")
+    lines_ = F.filter(F.transform(text.lines(F.col("text")), text.collapse), lambda x: x != "")
+    said = F.concat(F.lit("<think>a\nb</think>"), F.array_join(F.transform(lines_, lambda x: F.concat(x, F.lit("\n"), x, F.lit("  "))), "\n\n\n\n"))
+    return c.select("conv_id", "turn", text.drop_repeats(said).alias("answer")).where("answer <> ''")
 
 
 @query(
@@ -596,11 +602,26 @@ def chunk_variant(t):
     return chunking.chunk_plain(t.documents().withColumn("title", F.lit("t"))).select("document_id", "ordinal", "content", "token_count")
 
 
-@query("w9_x11_sections", r"""WITH s AS (SELECT doc_id AS document_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS b FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(^|\n)\s*#|[:：]\s*(\n|$)'))
-    SELECT document_id, '正文' AS title, length(b) AS n FROM s WHERE b <> ''""")
+#: Documents with a heading before each line; the first of two in a row is one, the other is text.
+HEADED = f"('# Top' || chr(10) || replace({B}, chr(10), chr(10) || '## Part:' || chr(10)))"
+
+
+@query(
+    "w9_x11_sections",
+    rf"""WITH {LINES.replace(B, HEADED)}, s AS (SELECT document_id, pos, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS x FROM raw),
+      h AS (SELECT *, starts_with(x, '#') OR (length(x) BETWEEN 3 AND 80 AND regexp_matches(x, '[:：]$')) AS head FROM s),
+      g AS (SELECT *, pos - row_number() OVER (PARTITION BY document_id, head ORDER BY pos) AS run FROM h),
+      m AS (SELECT *, min(pos) OVER (PARTITION BY document_id, head, run) AS begins FROM g),
+      a AS (SELECT *, head AND (pos - begins) % 2 = CASE WHEN begins = 0 THEN 1 ELSE 0 END AS cut FROM m),
+      n AS (SELECT *, sum(cut::INT) OVER (PARTITION BY document_id ORDER BY pos) AS part,
+        CASE WHEN cut THEN nullif(regexp_replace(regexp_replace(x, '^#+', ''), '^[ :：]+|[ :：]+$', '', 'g'), '') END AS named FROM a),
+      t AS (SELECT *, coalesce(last_value(named IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos), '正文') AS title FROM n),
+      p AS (SELECT document_id, part, any_value(title) AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT cut THEN line END, chr(10) ORDER BY pos), ''), '^\s+|\s+$', '', 'g') AS body FROM t GROUP BY 1, 2)
+    SELECT document_id, title, sha256(body) AS body FROM p WHERE body <> ''""",
+)
 def sections(t):
-    plain = t.documents().where(~F.col("body").rlike(r"(^|\n)\s*#|[:：]\s*(\n|$)"))
-    return plain.select("document_id", F.explode(chunking.sections(F.col("body"))).alias("s")).select("document_id", "s.title", F.length("s.text").cast("long").alias("n"))
+    body = F.concat(F.lit("# Top\n"), F.replace(F.col("body"), F.lit("\n"), F.lit("\n## Part:\n")))
+    return t.documents().select("document_id", F.explode(chunking.sections(body)).alias("s")).select("document_id", "s.title", F.sha2(F.col("s.text").cast("binary"), 256).alias("body"))
 
 
 @query(
