@@ -16,17 +16,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CJK, estimate_tokens, lines, normalize, normalize_plain, strip
+from corvane.functions.text import CJK, estimate_tokens, let, lines, normalize, normalize_plain, strip
 
 NONE = "array<string>"
 SENTENCE_END = "(?<=[。！？.!?\n])"
 SENTENCE_END_PLAIN = "(?<=[。！？.!?；;\n])"
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def sentences(paragraph: Column, cut: str = SENTENCE_END) -> Column:
     """Stripped pieces that end at a sentence end; a blank last piece drops."""
     raw = F.split(paragraph, cut, -1)
@@ -172,7 +168,7 @@ def chunk_documents(docs: DataFrame, most: int = 600, overlap: int = 100, joiner
     text has none.
     """
     whole = F.array(F.struct(F.lit("正文").alias("title"), F.coalesce("body", F.lit("")).alias("text")))
-    found = _let(sections(F.col("body")), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+    found = let(sections(F.col("body")), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
     parts = docs.select("document_id", F.posexplode(found).alias("section_at", "section")).select(
         "document_id", "section_at", F.col("section.title").alias("title"), normalize(F.col("section.text")).alias("text")
     )
