@@ -94,7 +94,8 @@ def keyed(docs: DataFrame, text: str, least: int) -> tuple[DataFrame, DataFrame]
     many of them do not meet; these rows come before all others, in the order of that key.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
-    kid = F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.lit(NO_ID) + F.conv(F.substring(F.md5("data"), 1, 15), 16, 10).cast("long"))
+    # Never null, so that joins add no filter of their own and share the exchange.
+    kid = F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.conv(F.substring(F.md5("data"), 1, 15), 16, 10).cast("long"), F.lit(NO_ID))
     long = rows.where(F.octet_length("data") >= least).select("doc_id", kid.alias("kid"), "data")
     number = F.row_number().over(Window.partitionBy("kid").orderBy("data"))
     return long.withColumn("seq", number), rows.where(F.octet_length("data") < least)
@@ -124,7 +125,8 @@ def repeats(
                 g, h = g >> np.uint64(64 - ANCHOR_BITS), h >> np.uint64(64 - RUN_BITS)
                 yield pd.DataFrame({"g": g.view(np.int64), "kid": kid[at], "seq": seq[at], "meta": meta, "h": h.view(np.int64)})
 
-    found = base.select("kid", "seq", "data").mapInPandas(anchors, "g long, kid long, seq int, meta long, h long").repartition("g")
+    # All uses of ``base`` take all its columns, so that they share one exchange.
+    found = base.mapInPandas(anchors, "g long, kid long, seq int, meta long, h long").repartition("g")
     # One exchange and one sort by (g, h) serve both windows; a large group streams through.
     equal, own = Window.partitionBy("g", "h"), Window.partitionBy("g")
     place = F.struct("kid", "seq", "meta")
@@ -154,7 +156,7 @@ def repeats(
                     out.append((key, WINDOW, 1, None, mark, kid, seq, start, None))
             yield pd.DataFrame(out, columns=["g", "off", "windows", "content", "mark", "kid", "seq", "start", "whole"])
 
-    together = base.join(listed, "kid").select("kid", "seq", "data", "runs").mapInPandas(runs, RUN)
+    together = base.join(listed, "kid").select(*base.columns, "runs").mapInPandas(runs, RUN)
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def settle(groups: list[list[tuple]]) -> list[tuple[int, int, int, int]]:

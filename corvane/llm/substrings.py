@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = 35, crowded: int =
     made = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<lo: long, hi: long>>"
     none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
     cols = ["doc_id", "seq", "data", "spans"]
-    out = base.join(spans, "kid", "left").select(*cols).mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
+    out = base.join(spans, "kid", "left").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100, crowded: int =
     made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo: long, hi: long>>"
     none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
     cols = ["doc_id", "seq", "data", "spans"]
-    return base.join(spans, "kid", "left").select(*cols).mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
+    return base.join(spans, "kid", "left").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
 
 
 def digest(docs: DataFrame) -> DataFrame:
