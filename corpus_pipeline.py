@@ -23,10 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows equal in id and text one counts.
     """
     told = minhash.near_duplicates(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("kid"), "node")
-    first = told.groupBy("class_key").agg(F.min(place).alias("p")).select("p.none", "p.kid", "p.node")
-    key = ["none", "kid", "node"]
-    rows = docs.withColumns({"none": F.col("doc_id").isNull(), "kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "node": minhash.node_of(F.col("text"))})
+    id_ = F.col("doc_id")
+    place = {"_none": id_.isNull(), "_kid": F.coalesce(id_.cast("long"), F.lit(0).cast("long"))}
+    first = told.withColumns(place).groupBy("class_key").agg(F.min(F.struct("_none", "_kid", F.col("node").alias("_node"))).alias("p")).select("p.*")
+    rows = docs.withColumns({**place, "_node": minhash.node_of(F.col("text"))})
+    key = ["_none", "_kid", "_node"]
     return rows.dropDuplicates(key).join(first, key, "left_semi").select(docs.columns)
 
 
@@ -39,11 +40,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.  Equal rows are taken as often as all of them
     together, and stand for each other."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"))
-    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("kid"), F.col("doc_id").isNull().alias("none")]
-    rows = docs.withColumn("tie", mixing.row_hash(docs)).select("*", *key).dropDuplicates(["kid", "none", "tie"])
-    again = rows.join(taken.select(*key, "tie", "copies"), ["kid", "none", "tie"])
-    return again.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(docs.columns)
+    key = {"_none": F.col("doc_id").isNull(), "_kid": F.coalesce("doc_id", F.lit(0).cast("long"))}
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"))
+    rows = docs.withColumns({**key, "_tie": mixing.row_hash(docs)}).dropDuplicates([*key, "_tie"])
+    again = rows.join(taken.withColumns(key).drop("doc_id"), [*key, "_tie"])
+    return again.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
