@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: at MOST at the latest; so does the line.
 CUT_AFTER, LEAST, MOST = "aeounrst13579", 24, 192
 #: Cells in each of a sketch's three tables: in the fingerprint, and as tried per bucket.
-BASE_CELLS, TRIES = 4, (4, 8, 16, 64, 512, 4096)
+BASE_CELLS, TRIES, RARE_TRIES = 4, (4, 8, 16, 64), (512, 4096)
 #: Digests of both versions that a bucket holds on average.
 BUCKET_KEYS = 5
 CHECK = (1 << 24) - 1
@@ -129,10 +129,10 @@ def _bucket(a: Column, b: Column) -> Column:
         gap = subtract(sketch(a, cells), sketch(b, cells))
         return _let(gap, lambda d: F.when(F.exists(d, lambda c: c != 0), peel(d, cells)).otherwise(F.struct(F.lit(True).alias("ok"), none.alias("found"))))
 
-    later = lambda first: F.aggregate(
-        F.array(*[_long(n) for n in TRIES[1:]]), first, lambda r, n: F.when(r["ok"], r).otherwise(_let(_cells(n), tried))
-    )
-    told = _let(_let(_cells(TRIES[0]), tried), lambda r: F.when(r["ok"], r).otherwise(later(start)))
+    # The cells of usual sizes are constants; those of the last two are made when asked for.
+    usual = F.aggregate(F.array(*[_cells(n) for n in TRIES]), start, lambda r, cells: F.when(r["ok"], r).otherwise(tried(cells)))
+    rare = F.aggregate(F.array(*[_long(n) for n in RARE_TRIES]), start, lambda r, n: F.when(r["ok"], r).otherwise(_let(_cells(n), tried)))
+    told = _let(usual, lambda r: F.when(r["ok"], r).otherwise(rare))
     return _let(told, lambda r: F.when(r["ok"], r["found"]).otherwise(F.concat(F.array_except(a, b), F.array_except(b, a))))
 
 
