@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -60,6 +61,14 @@ def grouped(texts: Iterable[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[
         yield first, run
 
 
+def lowered(batches: Iterable[pa.RecordBatch], text: str, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Some hundred rows at a time with their texts in lower case, so a batch is never held as objects."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            part = batch.slice(first, rows)
+            yield part, [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in part.column(text).to_pylist()]
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of some texts: text index, byte span in ``data``, hash."""
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a worker remembers; the table is emptied when full, so memory is bounded.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers; the table is emptied when full, so memory is bounded.
+REMEMBERED = 200_000
 #: Rows that leave :func:`encode` together.
 ROWS_OUT = 256
 
@@ -140,6 +140,11 @@ class Encoder:
             self.known[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Frees what was remembered; the worker that ran this task runs other ones next."""
+        self.known.clear()
+        self.fits.cache_clear()
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
         ids: list[int] = []
@@ -201,6 +206,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded_digest: bool
                 if decoded_digest:
                     made.append(pa.array([_sha256(coder.decode(i)) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+        coder.forget()
 
     return rows.mapInArrow(coded, T.StructType(fields))
 
@@ -231,6 +237,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ids = coder.encode(_lone_surrogates(t)) if t else []
                 rows.append((len(ids), _sha256(" ".join(map(str, ids))), _sha256(coder.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     judge = F.pandas_udf(judged, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", judge(F.col("text")).alias("j")).select("doc_id", "j.*")

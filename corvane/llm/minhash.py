@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._stage import staged
-from corvane.llm._words import Words, grouped, mix
+from corvane.llm._words import Words, grouped, lowered, mix
 from corvane.llm.components import components, dealt_join
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -69,21 +70,21 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
     gets ``TABLE`` numbers at most, and weights depend on shares, not on the corpus' size.
     """
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for pdf in parts:
-            n += len(pdf)
-            for _, texts in grouped(_bytes(pdf[text])):
+        for part, rows in lowered(batches, text):
+            n += part.num_rows
+            for _, texts in grouped(rows):
                 w = Words(texts)
                 order = np.lexsort((w.text, w.hash))
                 h, t = w.hash[order], w.text[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
                 words, df = np.unique(h[once], return_counts=True)
-                yield pd.DataFrame({"word": pd.array(words.view(np.int64), "Int64"), "n": df.astype(np.int64)})
-        yield pd.DataFrame({"word": pd.array([None], "Int64"), "n": np.array([n], np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(df.astype(np.int64))], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["word", "n"])
 
-    counts = staged(docs.select(text).mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    counts = staged(docs.select(text).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
     own = F.col("word").isNotNull()
     sums = counts.agg(F.sum(F.when(~own, F.col("n"))).alias("docs"), F.sum(F.when(own, F.col("n"))).alias("total")).first()
     documents = sums["docs"] or 0
@@ -177,12 +178,12 @@ def signatures(docs: DataFrame, idf: Frequencies, text: str = "text") -> DataFra
     """(doc_id, node, bands): the text's digest, and a long per band (none without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)
-        for pdf in parts:
+        for part, rows in lowered(batches, "text"):
             bands: list = []
-            for _, texts in grouped(_bytes(pdf["text"])):
+            for _, texts in grouped(rows):
                 w = Words(texts)
                 grams = w.grams(SHINGLE)
                 for i in range(len(texts)):
@@ -195,10 +196,10 @@ def signatures(docs: DataFrame, idf: Frequencies, text: str = "text") -> DataFra
                     for r in range(ROWS):
                         k = mix(k * np.uint64(0xD6E8FEB86659FD93) + s[:, r])
                     bands.append(k.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": pdf["node"], "bands": bands})
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
     named = docs.select("doc_id", node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
-    return named.mapInPandas(signed, "doc_id long, node binary, bands array<long>")
+    return named.mapInArrow(signed, "doc_id long, node binary, bands array<long>")
 
 
 def weighted_set(text: bytes, idf: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
