@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, fingerprints, langid, minhash, mixing, secrets, substrings, suffixes, topk, urls
+from corvane.llm import bpe, fingerprints, langid, lines, minhash, mixing, secrets, substrings, suffixes, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_fingerprints": op2_fingerprints,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_langid": op9_langid,
     "op10_suffixes": op10_suffixes,
+    "op11_lines": op11_lines,
 }
 
 ORACLE_SQL = {
@@ -146,4 +151,15 @@ ORACLE_SQL = {
         SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
         FROM d LEFT JOIN kept USING (rid)
     """,
+    "op11_lines": r"""
+        WITH l AS (SELECT rid, doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+                   FROM (SELECT rid, doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i
+                         FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+          s AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k
+                HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
+          m AS (SELECT l.*, s.k IS NOT NULL AND l.doc_id IS DISTINCT FROM s.keeper AS gone FROM l LEFT JOIN s ON s.k = l.k)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(CASE WHEN NOT gone THEN l END, chr(10) ORDER BY i), '')) AS kept_sha256
+        FROM m GROUP BY rid, doc_id
+    """,
 }
