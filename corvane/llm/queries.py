@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, fingerprints, langid, lines, minhash, mixing, resampling, secrets, substrings, suffixes, topk, urls
+from corvane.llm import bpe, fingerprints, langid, lines, minhash, mixing, resampling, secrets, substrings, suffixes, topk, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_suffixes": op10_suffixes,
     "op11_lines": op11_lines,
+    "op12_whiten": op12_whiten,
     "op13_resample": op13_resample,
 }
 
