@@ -46,6 +46,8 @@ ADDED = {
     "slack": re.compile(rb"xox[bp]-[0-9]{6,}-[A-Za-z0-9-]{10,}"),
     "stripe": re.compile(rb"sk_live_[A-Za-z0-9]{16,}"),
 }
+#: What a token's first part runs over.
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 #: What a key between its header and footer cannot hold.
 NOT_PEM = re.compile(rb"[^A-Za-z0-9+/=\s:,-]")
 ORDER = {kind: i for i, kind in enumerate((*BASE, *ADDED))}
@@ -53,6 +55,8 @@ DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN, STEP = 24, 12
 #: Different characters of a token that has no checksum, at least.
 VARIED = 6
+#: Encoded characters of a token's header, at most.
+JWT_HEADER = 8192
 
 
 def crc_matches(body: bytes, tail: bytes) -> bool:
@@ -68,11 +72,14 @@ def valid(kind: str, found: bytes) -> bool:
     if kind in ("github", "npm"):
         return crc_matches(found[4:-6], found[-6:])
     if kind == "jwt":
-        head = found.split(b".")[0]
+        head = found.split(b".", 1)[0]
+        if len(head) > JWT_HEADER:
+            return False
         try:
-            return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-        except (ValueError, TypeError, binascii.Error):
+            told = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
+        except (ValueError, RecursionError):  # no base64, no UTF-8, no JSON, or nested too deeply for any header
             return False
+        return isinstance(told, dict) and "alg" in told
     if kind == "pem":
         body = found.split(b"-----")[2]
         if b":" in body:  # encrypted: its headers say how
@@ -90,16 +97,15 @@ class KeyBlocks:
     """Private keys between header and footer; what was searched for one header serves the next."""
 
     def __init__(self, data: bytes):
-        self.data, self.footers, self.bad = data, {}, -1
+        self.data, self.found, self.bad = data, 0, -1
 
     def end(self, header: re.Match) -> int:
-        """Where the key that begins with ``header`` ends; -1 if it doesn't."""
+        """Where the key that begins with ``header`` ends; -1 if the next footer isn't its own."""
         at = header.end()
-        footer = b"-----END " + header[1] + b"-----"
-        found = self.footers.get(footer, 0)
-        if 0 <= found < at:
-            found = self.footers[footer] = self.data.find(footer, at)
-        if found <= at:
+        if 0 <= self.found < at:
+            self.found = self.data.find(b"-----END ", at)
+        found, footer = self.found, b"-----END " + header[1] + b"-----"
+        if found <= at or not self.data.startswith(footer, found):
             return -1
         if self.bad < at:
             bad = NOT_PEM.search(self.data, at)
@@ -154,6 +160,9 @@ def scan_bytes(data: bytes, words: ahocorasick.Automaton) -> list[tuple[int, str
         if kind in ADDED:
             m = ADDED[kind].match(data, start)
             keep = bool(m) and valid(kind, m[0])
+            if not m and kind == "jwt" and data.startswith(b"eyJ", start):
+                # What follows this run serves no other start in it either.
+                past[kind] = JWT_RUN.match(data, start).end()
         elif kind == "access":
             m = ACCESS.match(data, start)
             keep = bool(m) and len(m[0]) >= 20
@@ -209,18 +218,25 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def redacted(data: bytes, mask: bytes, words: ahocorasick.Automaton) -> bytes:
+    """Slices between spans, joined by the mask; spans that overlap or touch have one."""
+    out, at = [], 0
+    for start, _, end in scan_bytes(data, words):
+        if start > at or not out:
+            out.append(data[at:start])
+        at = max(at, end)
+    return mask.join([*out, data[at:]])
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """Replaces every span by ``mask`` (spans that overlap or touch by one); null stays null."""
-    touched = F.aggregate(
-        "secret_spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] > acc["at"], F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
-            .when((acc["at"] == 0) & (s["start"] == 0) & (acc["out"] == ""), F.lit(mask))
-            .otherwise(acc["out"])
-            .alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return scan(docs, text).withColumn(text, F.when(F.size("secret_spans") > 0, touched).otherwise(F.col(text))).drop("secret_spans")
+    """Replaces every span by ``mask`` (spans that overlap or touch by one); null stays null.
+
+    Each text is scanned and rebuilt in one pass.  No other column is read or changed.
+    """
+
+    def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = automaton()
+        for texts in parts:
+            yield pd.Series([t and redacted(t.encode("utf-8", "surrogatepass"), mask.encode(), words).decode("utf-8", "surrogatepass") for t in texts], dtype=object)
+
+    return docs.withColumn(text, F.pandas_udf(masked, "string")(F.col(text)))

@@ -63,7 +63,7 @@ def test_topk(spark):
     for r in topk.search(q, q.where("vec_id % 100 = 0"), 10, lead=3, block=64, head=20, chunk=16).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     clean = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in (*vecs, *large, odd[-1])]
-    clean.append((705, [1024, 2048] + [0] * 6))
+    clean += [(705, [1024, 2048] + [0] * 6), (704, [0] * 8)]
     assert sorted(got) == [0, 100, 200, 300, 400, 500, 600, 800]
     asked = dict(clean)
     for i, best in got.items():
@@ -77,6 +77,18 @@ def test_topk(spark):
     assert topk.search(q, q.where("false")).count() == 0
 
 
+def test_blocks_of_one_id_and_wide_components(spark):
+    """Blocks that hold the same ids are told apart, and large components take part."""
+    rows = [(7, [float(n)] + [0.0] * 3) for n in range(10, 2, -1)] + [(100, [1.0, 0.0, 0.0, 0.0])]
+    rows += [(200, [0.0, 2.0**-10, 0.0, 0.0]), (201, [0.0, 2.0**45, 0.0, 0.0]), (202, [0.0, -(2.0**45), 1.0, 0.0]), (203, [0.0, 1.5 * 2.0**44, 0.0, 0.0])]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in topk.search(q, q.where("vec_id % 100 = 0"), 8, block=2, head=3, lead=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[100]) == [(i + 1, 7, n * 1024 * 1024) for i, n in enumerate(range(10, 2, -1))]
+    assert sorted(got[200])[:2] == [(1, 201, 2**55), (2, 203, 3 * 2**53)]
+
+
 def test_scores_beyond_64_bits_are_an_error():
     big = np.array([[1 << 40, 1]])
     assert topk._scores(big, np.array([[1 << 20, 5]])).tolist() == [(1 << 60) + 5]
@@ -587,6 +599,31 @@ def test_keys_in_long_texts():
     assert secrets.scan_bytes(b"sk_live_" + b"z" * 30, word) == [] and len(secrets.scan_bytes(b"sk_live_4eC39HqLyjWDarjtT1", word)) == 1
 
 
+def test_hostile_tokens(spark):
+    """Nothing that a token's text holds ends the scan, and runs of keywords are read once."""
+    import base64
+    import time
+
+    word = secrets.automaton()
+    coded = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=")
+    for head in (b'{"a":' * 1000 + b"1", b'{"' + b"[" * 5000, b'{"n":' + b"9" * 5000 + b"}", b'{"alg":"\xff"}', b'{"x":1}', b'{"alg"', b'{"' + b"x" * 20_000 + b'":1,"alg":1}'):
+        assert secrets.scan_bytes(coded(head) + b".eyJ9.x", word) == []
+    good = b"eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"
+    # A start in other letters doesn't hide one in the same run; a failed run doesn't hide the next.
+    for before in (b"EYJ", b"eyjeyj", b"eyJ eyJ. ", b"eyJabc.eyJ. ", b"x" * 50):
+        data = before + (b" " if before.endswith(b"x") else b"") + good
+        want = [(m.start(), "jwt", m.end()) for m in secrets.ADDED["jwt"].finditer(data) if secrets.valid("jwt", m[0])]
+        assert secrets.scan_bytes(data, word) == want and (want or before == b"eyJ")
+    for text in (b"eyJ" * 1_700_000, b"eyJa.eyJ" * 600_000, b"".join(b"-----BEGIN %d PRIVATE KEY-----\n-----BEGIN A%s PRIVATE KEY-----" % (i, b"AB"[i % 2 :] * (i % 50)) for i in range(60_000)), b"xoxb-1234567" * 400_000):
+        began = time.time()
+        assert secrets.scan_bytes(text, word) == []
+        assert time.time() - began < 8
+    deep = coded(b'{"a":' * 200_000).decode()[:8000] + ".eyJ9.x"
+    rows = spark.createDataFrame([(1, deep), (2, "a " + good.decode() + " é"), (3, "token=abcdefg " * 30_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in secrets.report(rows.where("doc_id < 3")).collect()} == {1: "", 2: f"jwt:2:{2 + len(good)}"}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()} == {1: deep, 2: "a [SECRET] é", 3: "[SECRET] " * 30_000}
+
+
 # --- 8 -------------------------------------------------------------------------------------
 
 
