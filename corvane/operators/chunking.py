@@ -1,22 +1,22 @@
 """Chunking: sections, paragraphs and sentences packed to a token budget with overlap.
 
-A document is chunked within its row; only the numbering of its chunks is a shuffle.
+A document is chunked within its row, so nothing is exchanged.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CJK, estimate_tokens, let, lines, normalize, normalize_plain, strip
+from corvane.functions import plain
+from corvane.functions.text import estimate_tokens, normalize, normalize_plain, strip
 
 NONE = "array<string>"
 SENTENCE_END = "(?<=[。！？.!?\n])"
@@ -35,31 +35,23 @@ def sentences(paragraph: Column, cut: str = SENTENCE_END) -> Column:
 class Sizes:
     """Token estimates of neighbouring parts, one by one and joined, from counts made once."""
 
-    blank = " \t\n\x0b\f\r"
-    cjk = regex.compile(f"[{CJK}]")
-    word = regex.compile("[A-Za-z0-9_]+")
-    mark = regex.compile(rf"[^\p{{L}}\p{{N}}_{blank}\p{{Z}}{CJK}]")
-    first, last = regex.compile("[A-Za-z0-9_]"), regex.compile("[A-Za-z0-9_]$")
+    first, last = re.compile("[A-Za-z0-9_]"), re.compile("[A-Za-z0-9_]$")
 
-    def __init__(self, parts: list[str], glued: bool):
-        counts = [(len(self.cjk.findall(p)), len(self.word.findall(p)), len(self.mark.findall(p))) for p in parts]
-        self.each = [self._tokens(*c) for c in counts]
-        self.sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(np.array(counts, np.int64).reshape(-1, 3), 0))).tolist()
+    def __init__(self, parts: list[str], glued: bool, counts: np.ndarray | None = None):
+        counts = plain.counts(parts) if counts is None else counts
+        self.each = [plain.tokens_of(*c) for c in counts.tolist()]
+        self.sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(counts, 0))).tolist()
         # Joined without a blank, a word at one part's end and one at the next one's start are one.
         self.joins: list[tuple[int, int]] = []
         full = [i for i, p in enumerate(parts) if p] if glued else []
         for a, b in zip(full, full[1:], strict=False):
-            if self.last.search(parts[a]) and self.first.match(parts[b]):
+            if self.last.search(parts[a][-1]) and self.first.match(parts[b]):
                 self.joins.append((a, b))
 
-    @staticmethod
-    def _tokens(cjk: int, words: int, marks: int) -> int:
-        return max(1, math.floor(cjk * 0.8 + words * 1.2 + marks * 0.2))
-
     def joined(self, a: int, z: int) -> int:
         cjk, words, marks = (y - x for x, y in zip(self.sums[a], self.sums[z], strict=True))
         lost = sum(1 for i, j in self.joins[bisect_left(self.joins, (a, 0)) : bisect_left(self.joins, (z, 0))] if j < z)
-        return self._tokens(cjk, words - lost, marks)
+        return plain.tokens_of(cjk, words - lost, marks)
 
     def back(self, a: int, z: int, least: int) -> int:
         """Where the last parts of a..z-1 begin that reach ``least`` tokens; ``z`` if none are asked for."""
@@ -85,9 +77,9 @@ def ranges(n: int, over: Callable[[int, int, int], bool], back: Callable[[int, i
         yield start, n
 
 
-def packed_sentences(paragraph: str, cut: regex.Pattern, most: int, overlap: int, joiner: str) -> list[str]:
+def packed_sentences(paragraph: str, cut: re.Pattern, most: int, overlap: int, joiner: str) -> list[str]:
     """Sentences of a long paragraph, packed while their join is within ``most``."""
-    pieces = [p.strip(Sizes.blank) for p in cut.split(paragraph)]
+    pieces = [p.strip(plain.BLANK) for p in cut.split(paragraph)]
     if not pieces[-1]:
         pieces.pop()
     sizes = Sizes(pieces, joiner == "")
@@ -98,16 +90,19 @@ def packed_sentences(paragraph: str, cut: regex.Pattern, most: int, overlap: int
 def packed_text(text: str, most: int, overlap: int, joiner: str, variant: bool) -> list[str]:
     """Paragraphs packed to ``most`` tokens; those that are too long alone go by sentences."""
     blank, cut = (_BLANK_PLAIN, _CUT_PLAIN) if variant else (_BLANK, _CUT)
-    parts = [p for p in (x.strip(Sizes.blank) for x in blank.split(text)) if p]
+    parts = [p for p in (x.strip(plain.BLANK) for x in blank.split(text)) if p]
     out: list[str] = []
-    tokens = Sizes(parts, False).each
+    counts = plain.counts(parts)
+    tokens = [plain.tokens_of(*c) for c in counts.tolist()]
     for long, run in groupby(range(len(parts)), lambda i: tokens[i] > most):
-        own = [parts[i] for i in run]
+        first, *more = run
+        here = slice(first, first + len(more) + 1)
+        own = parts[here]
         if long:
             for p in own:
                 out += packed_sentences(p, cut, most, 0 if variant else overlap, joiner)
             continue
-        sizes = Sizes(own, False)
+        sizes = Sizes(own, False, counts[here])
         total = np.concatenate(([0], np.cumsum(sizes.each))).tolist()
         carried = lambda a, f, s=sizes: s.joined(a, f) if f else 0
         over = lambda a, f, z, t=total, c=carried: c(a, f) + t[z] - t[f] > most
@@ -115,8 +110,8 @@ def packed_text(text: str, most: int, overlap: int, joiner: str, variant: bool)
     return out
 
 
-_BLANK, _BLANK_PLAIN = regex.compile("\n\n"), regex.compile(rf"\n[{Sizes.blank}]*\n")
-_CUT, _CUT_PLAIN = regex.compile(SENTENCE_END), regex.compile(SENTENCE_END_PLAIN)
+_BLANK, _BLANK_PLAIN = re.compile("\n\n"), re.compile(rf"\n[{plain.BLANK}]*\n")
+_CUT, _CUT_PLAIN = re.compile(SENTENCE_END), re.compile(SENTENCE_END_PLAIN)
 
 
 def split_text(text: Column, most: int = 600, overlap: int = 100, joiner: str = "", variant: bool = False) -> Column:
@@ -135,65 +130,111 @@ def split_text(text: Column, most: int = 600, overlap: int = 100, joiner: str =
     return F.pandas_udf(packed, "array<string>")(text)
 
 
-def is_heading(line: Column) -> Column:
-    s = strip(line)
-    return s.startswith("#") | ((F.length(s) <= 80) & (F.length(s) > 2) & (s.endswith(":") | s.endswith("：")))
+def sections(text: Column, default: str = plain.DEFAULT_TITLE) -> Column:
+    """array<struct<title, text>>: see :func:`plain.sections`; null has none."""
 
+    def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([[{"title": t, "text": x} for t, x in plain.sections(s, default)] for s in texts], dtype=object)
 
-def sections(text: Column, default: str = "正文") -> Column:
-    """array<struct<title, text>>: lines grouped under headings.
+    return F.pandas_udf(split, "array<struct<title: string, text: string>>")(text)
 
-    A heading with no lines before it since the last one is ordinary text; sections without
-    text drop.
-    """
-    made = "array<struct<title: string, text: string>>"
-    start = F.struct(F.array().cast(made).alias("out"), F.lit(default).alias("title"), F.array().cast(NONE).alias("cur"))
-    close = lambda s: F.concat(s["out"], F.array(F.struct(s["title"].alias("title"), strip(F.array_join(s["cur"], "\n")).alias("text"))))
 
-    def step(s: Column, line: Column) -> Column:
-        named = F.regexp_replace(F.regexp_replace(strip(line), "^#+", ""), "^[ :：]+|[ :：]+$", "")
-        return F.when(
-            is_heading(line) & (F.size(s["cur"]) > 0),
-            F.struct(close(s).alias("out"), F.when(named != "", named).otherwise(s["title"]).alias("title"), F.array().cast(NONE).alias("cur")),
-        ).otherwise(F.struct(s["out"].alias("out"), s["title"].alias("title"), F.concat(s["cur"], F.array(line)).alias("cur")))
+def sparse_terms(text: Column) -> Column:
+    """map<term, count> of each text; null has none."""
 
-    done = F.aggregate(lines(text), start, step, lambda s: F.when(F.size(s["cur"]) > 0, close(s)).otherwise(s["out"]))
-    return F.filter(done, lambda x: x["text"] != "")
+    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([plain.sparse_terms(s) for s in texts], dtype=object)
 
+    return F.pandas_udf(counted, "map<string, int>")(text)
 
-def chunk_documents(docs: DataFrame, most: int = 600, overlap: int = 100, joiner: str = "") -> DataFrame:
-    """(document_id, ordinal, title_path, content, normalized_content, token_count, metadata).
 
-    ``docs`` has document_id and body.  Chunks follow each other from 1; a document without
-    text has none.
+#: Turns a document's text into (title, content) of its chunks.
+Splitter = Callable[[str], list[tuple[str, str]]]
+MADE = "struct<chunks: array<struct<title: string, content: string, normalized_content: string, token_count: int>>, error: string>"
+
+
+def by_sections(most: int = 600, overlap: int = 100, joiner: str = "") -> Splitter:
+    """Sections, normalised, each packed to ``most`` tokens."""
+
+    def split(body: str) -> list[tuple[str, str]]:
+        return [(title, c) for title, text in plain.sections(body) for c in packed_text(plain.normalize(text), most, overlap, joiner, False)]
+
+    return split
+
+
+def made(body: Column, splitter: Splitter, captured: bool = False) -> Column:
+    """struct<chunks, error>: all that chunking makes of a text, in one pass of an Arrow batch.
+
+    A null text has no chunks.  With ``captured`` what a text raises becomes its error, and other
+    texts of the batch are not touched by it; else it ends the job.
     """
-    whole = F.array(F.struct(F.lit("正文").alias("title"), F.coalesce("body", F.lit("")).alias("text")))
-    found = let(sections(F.col("body")), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
-    parts = docs.select("document_id", F.posexplode(found).alias("section_at", "section")).select(
-        "document_id", "section_at", F.col("section.title").alias("title"), normalize(F.col("section.text")).alias("text")
-    )
-    chunks = parts.select("document_id", "title", "section_at", F.posexplode(split_text(F.col("text"), most, overlap, joiner)).alias("at", "content"))
-    return numbered(chunks)
 
+    def one(s: str | None) -> dict:
+        try:
+            found = splitter(s) if s is not None else []
+            tokens = [plain.tokens_of(*c) for c in plain.counts([c for _, c in found]).tolist()]
+            chunks = [{"title": t, "content": c, "normalized_content": plain.normalize(c, False), "token_count": n} for (t, c), n in zip(found, tokens, strict=True)]
+            return {"chunks": chunks, "error": None}
+        except Exception as e:
+            if not captured:
+                raise
+            return {"chunks": [], "error": f"{type(e).__name__}: {e}"}
+
+    def all_(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            rows = [one(s) for s in texts]
+            yield pd.DataFrame({"chunks": [r["chunks"] for r in rows], "error": pd.Series([r["error"] for r in rows], dtype=object)})
+
+    return F.pandas_udf(all_, MADE)(body)
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks numbered from 1 per document, in the order of sections and of chunks within them."""
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("document_id").orderBy("section_at", "at")
-    return chunks.select(
-        "document_id",
-        F.row_number().over(order).alias("ordinal"),
-        F.array("title").alias("title_path"),
-        "content",
-        normalize(F.col("content"), compose=False).alias("normalized_content"),
-        estimate_tokens(F.col("content")).alias("token_count"),
+def chunk_id(document_id: Column, ordinal: Column) -> Column:
+    """A chunk's id follows from its document and place, so that runs agree."""
+    return F.sha2(F.concat_ws(":", document_id.cast("string"), ordinal.cast("string")), 256)
+
+
+def exploded(df: DataFrame, made: Column, at: str, item: str, *kept: str) -> DataFrame:
+    """Array items with their places.  The outer form, less the rows of empty arrays: of the plain
+    one Spark makes a filter on the array's size, and for that calls what made the array again."""
+    return df.select(*kept, F.posexplode_outer(made).alias(at, item)).where(F.col(at).isNotNull())
+
+
+def chunk_rows(docs: DataFrame, chunks: str = "chunks", *kept: str) -> DataFrame:
+    """One row per chunk of ``docs`` (document_id, ``kept``, and the array that :func:`made` gives).
+
+    ``sparse_terms`` and the hash cost nothing where they are not selected.
+    """
+    rows = exploded(docs, F.col(chunks), "_at", "_c", "document_id", *kept)
+    ordinal = (F.col("_at") + 1).alias("ordinal")
+    return rows.select("document_id", *kept, ordinal, "_c.*").select(
+        "document_id", *kept, "ordinal", F.array("title").alias("title_path"), "content", "normalized_content", "token_count",
         F.create_map(F.lit("section"), F.col("title")).alias("metadata"),
-    )
+        chunk_id(F.col("document_id"), F.col("ordinal")).alias("chunk_id"),
+        F.sha2(F.col("normalized_content").cast("binary"), 256).alias("content_hash"),
+        sparse_terms(F.col("normalized_content")).alias("sparse_terms"),
+    )
+
+
+def chunk_documents(docs: DataFrame, most: int = 600, overlap: int = 100, joiner: str = "") -> DataFrame:
+    """(document_id, ordinal, title_path, content, normalized_content, token_count, metadata,
+    chunk_id, content_hash, sparse_terms).
+
+    ``docs`` has document_id and body.  Chunks follow each other from 1; a document without
+    text has none.  A document is chunked within its row, so nothing is exchanged.
+    """
+    if joiner.strip():
+        raise ValueError("sentences are joined by blanks or by nothing")
+    return chunk_rows(docs.select("document_id", made(F.col("body"), by_sections(most, overlap, joiner))["chunks"].alias("chunks")))
 
 
 def chunk_plain(docs: DataFrame, most: int = 600, overlap: int = 100) -> DataFrame:
     """The variant: no sections, also cut at semicolons, no overlap inside long paragraphs."""
     text = docs.select("document_id", "title", normalize_plain(F.col("body")).alias("text"))
-    chunks = text.select("document_id", "title", F.lit(0).alias("section_at"), F.posexplode(split_text(F.col("text"), most, overlap, "", True)).alias("at", "content"))
-    return numbered(chunks)
+    chunks = exploded(text, split_text(F.col("text"), most, overlap, "", True), "at", "content", "document_id", "title")
+    return chunks.select(
+        "document_id", (F.col("at") + 1).alias("ordinal"), F.array("title").alias("title_path"), "content",
+        normalize(F.col("content"), compose=False).alias("normalized_content"), estimate_tokens(F.col("content")).alias("token_count"),
+        F.create_map(F.lit("section"), F.col("title")).alias("metadata"),
+    )
