@@ -1,4 +1,8 @@
-"""Hooks for models: an embedder, a reranker, an answer generator, called on Arrow batches."""
+"""Hooks for models: an embedder, a reranker, an answer generator.
+
+A hook takes a factory, which each task calls once, before its first rows; what it returns lives
+as long as the task does and is called on slices of bounded size in bytes.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,117 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Bytes of text in one call of a model; a longer text comes alone.
+CALL_BYTES = 1 << 20
+
+
+def slices(columns: list[list[str | None]], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring rows whose texts have up to ``most`` bytes together."""
+    begin, held = 0, 0
+    for i, row in enumerate(zip(*columns, strict=True)):
+        size = sum(len(t.encode("utf-8", "surrogatepass")) for t in row if t is not None)
+        if i > begin and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    n = len(columns[0])
+    if n > begin:
+        yield begin, n
+
+
+def _called(model: Callable, columns: list[list], most: int) -> Iterator[list]:
+    for a, z in slices(columns, most):
+        got = list(model(*[c[a:z] for c in columns]))
+        if len(got) != z - a:
+            raise ValueError(f"the model gave {len(got)} results for {z - a} rows")
+        yield got
 
-def _added(df: DataFrame, name: str, kind: T.DataType, f: Callable[[pd.DataFrame], list]) -> DataFrame:
-    schema = T.StructType([*df.drop(name).schema.fields, T.StructField(name, kind)])
+
+def _captured(model: Callable, columns: list[list], most: int) -> Iterator[list[tuple[object, str | None]]]:
+    """As :func:`_called`, with the error of each row: where a call fails its rows are tried alone."""
+    for a, z in slices(columns, most):
+        part = [c[a:z] for c in columns]
+        try:
+            yield [(x, None) for x in next(_called(model, part, 1 << 62))]
+            continue
+        except Exception as e:
+            if z - a == 1:
+                yield [(None, f"{type(e).__name__}: {e}")]
+                continue
+        for i in range(z - a):
+            yield from _captured(model, [[c[i]] for c in part], most)
+
+
+def _added(df: DataFrame, name: str, kind: T.DataType, texts: list[str], factory: Callable[[], Callable], most: int, error: str | None = None) -> DataFrame:
+    kept = df.drop(name, *([error] if error else []))
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind), *([T.StructField(error, T.StringType())] if error else [])])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
         for pdf in parts:
-            yield pdf.assign(**{name: f(pdf)})
+            if model is None and len(pdf):
+                model = factory()
+            columns = [list(pdf[t]) for t in texts]
+            if error:
+                got = [x for part in _captured(model, columns, most) for x in part]
+                pdf = pdf.assign(**{name: pd.Series([x for x, _ in got], pdf.index, dtype=object), error: pd.Series([e for _, e in got], pdf.index, dtype=object)})
+            else:
+                pdf = pdf.assign(**{name: pd.Series([x for part in _called(model, columns, most) for x in part], pdf.index, dtype=object if not len(pdf) else None)})
+            yield pdf
+
+    return kept.mapInPandas(run, schema)
+
+
+def _factory(fn: Callable | None, factory: Callable[[], Callable] | None) -> Callable[[], Callable]:
+    if (fn is None) == (factory is None):
+        raise ValueError("give a function or a factory of one")
+    return factory or (lambda: fn)
+
+
+def embed(
+    df: DataFrame, fn: Callable[[list[str]], list[list[float]]] | None = None, text: str = "content", factory: Callable[[], Callable] | None = None,
+    call_bytes: int = CALL_BYTES, error: str | None = None,
+) -> DataFrame:
+    """Adds ``embedding``: the model turns a list of texts into a list of vectors.
+
+    With ``error`` a text that the model fails on gets that column's message and no vector;
+    without it the job fails.
+    """
+    return _added(df, "embedding", T.ArrayType(T.DoubleType()), [text], _factory(fn, factory), call_bytes, error)
+
+
+def rerank(df: DataFrame, fn: Callable[[list[str], list[str]], list[float]] | None = None, factory: Callable[[], Callable] | None = None, call_bytes: int = CALL_BYTES) -> DataFrame:
+    """Adds ``rerank_score``: the model scores pairs of question and content."""
+    return _added(df, "rerank_score", T.DoubleType(), ["question", "content"], _factory(fn, factory), call_bytes)
+
+
+def answer(df: DataFrame, fn: Callable[[list[str], list[str]], list[str]] | None = None, factory: Callable[[], Callable] | None = None, call_bytes: int = CALL_BYTES) -> DataFrame:
+    """Adds ``answer``: the model answers questions from their contexts."""
+    return _added(df, "answer", T.StringType(), ["question", "context"], _factory(fn, factory), call_bytes)
 
-    return df.drop(name).mapInPandas(run, schema)
 
+def hash_embedder(dim: int = 384) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+    """A factory of the default embedder: signed hashed words, as ``scores.hash_embedding`` has them."""
 
-def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], text: str = "content") -> DataFrame:
-    """Adds ``embedding``; ``fn`` turns a list of texts into a list of vectors."""
-    return _added(df, "embedding", T.ArrayType(T.DoubleType()), lambda p: fn(list(p[text])))
+    def factory() -> Callable[[list[str]], list[list[float]]]:
+        import hashlib
+        import math
+        from functools import lru_cache
 
+        @lru_cache(1 << 16)
+        def slot(term: str) -> tuple[int, int]:
+            h = hashlib.sha256(term.encode("utf-8", "surrogatepass")).digest()
+            return int.from_bytes(h[:4], "big") % dim, 1 - 2 * (h[4] % 2)
 
-def rerank(df: DataFrame, fn: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
-    """Adds ``rerank_score``; ``fn`` scores pairs of question and content."""
-    return _added(df, "rerank_score", T.DoubleType(), lambda p: fn(list(p["question"]), list(p["content"])))
+        def vector(text: str | None) -> list[float]:
+            low = (text or "").lower()
+            out = [0.0] * dim
+            for term in low.split() or [low]:
+                at, sign = slot(term)
+                out[at] += sign
+            norm = math.sqrt(sum(x * x for x in out)) or 1.0
+            return [x / norm for x in out]
 
+        return lambda texts: [vector(t) for t in texts]
 
-def answer(df: DataFrame, fn: Callable[[list[str], list[str]], list[str]]) -> DataFrame:
-    """Adds ``answer``; ``fn`` answers questions from their contexts."""
-    return _added(df, "answer", T.StringType(), lambda p: fn(list(p["question"]), list(p["context"])))
+    return factory

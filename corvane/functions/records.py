@@ -88,3 +88,8 @@ def merge_metadata(old: Column, new: Column) -> Column:
 
 def source_uri_for_zip(archive: Column, name: Column) -> Column:
     return F.concat(F.lit("zip://"), archive, F.lit("/"), name)
+
+
+def object_key(collection_id: Column, document_id: Column, filename: Column) -> Column:
+    """Where a document's bytes lie: its collection's folder, its id and its name."""
+    return F.concat(collection_id, F.lit("/"), document_id.cast("string"), F.lit("-"), filename)

@@ -207,13 +207,13 @@ def chunk_rows(docs: DataFrame, chunks: str = "chunks", *kept: str) -> DataFrame
     ``sparse_terms`` and the hash cost nothing where they are not selected.
     """
     rows = exploded(docs, F.col(chunks), "_at", "_c", "document_id", *kept)
-    ordinal = (F.col("_at") + 1).alias("ordinal")
-    return rows.select("document_id", *kept, ordinal, "_c.*").select(
-        "document_id", *kept, "ordinal", F.array("title").alias("title_path"), "content", "normalized_content", "token_count",
-        F.create_map(F.lit("section"), F.col("title")).alias("metadata"),
-        chunk_id(F.col("document_id"), F.col("ordinal")).alias("chunk_id"),
-        F.sha2(F.col("normalized_content").cast("binary"), 256).alias("content_hash"),
-        sparse_terms(F.col("normalized_content")).alias("sparse_terms"),
+    ordinal, of = F.col("_at") + 1, lambda name: F.col(f"_c.{name}")
+    return rows.select(
+        "document_id", *kept, ordinal.alias("ordinal"), F.array(of("title")).alias("title_path"), of("content"), of("normalized_content"), of("token_count"),
+        F.create_map(F.lit("section"), of("title")).alias("metadata"),
+        chunk_id(F.col("document_id"), ordinal).alias("chunk_id"),
+        F.sha2(of("normalized_content").cast("binary"), 256).alias("content_hash"),
+        sparse_terms(of("normalized_content")).alias("sparse_terms"),
     )
 
 

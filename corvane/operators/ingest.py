@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import suffix
+from corvane.sources.shared import scratch
+from corvane.sources.store import Store
 
 # Suffixes taken from archives, and their content types.
 CONTENT_TYPES = {
@@ -127,7 +128,9 @@ def duplicate_report(docs: DataFrame, order: str = "document_id") -> DataFrame:
 
 
 def new_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    return incoming.join(existing.select("collection_id", "checksum"), ["collection_id", "checksum"], "left_anti")
+    """Documents whose (collection, checksum) isn't stored; no collection is one collection."""
+    had = existing.select(F.col("collection_id").alias("_c"), F.col("checksum").alias("_s"))
+    return incoming.join(had, F.col("collection_id").eqNullSafe(F.col("_c")) & (F.col("checksum") == F.col("_s")), "left_anti")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -155,6 +158,20 @@ def sync_statuses(docs: DataFrame, remote: DataFrame) -> DataFrame:
     )
 
 
+def with_statuses(docs: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Documents with the newest status of their remote id, as a stream of events keeps it
+    (``streaming.jobs.read_statuses``); documents without one stay as they are."""
+    told = statuses.select("remote_id", F.col("status").alias("_status"), F.col("error_message").alias("_error"), F.col("progress").alias("_progress"))
+    rest = [c for c in docs.columns if c not in ("status", "error_message", "progress")]
+    known = F.col("progress") if "progress" in docs.columns else F.lit(None).cast("double")
+    return docs.join(told, "remote_id", "left").select(
+        *rest,
+        F.coalesce("_status", "status").alias("status"),
+        F.when(F.col("_status").isNotNull(), F.col("_error")).otherwise(F.col("error_message")).alias("error_message"),
+        F.coalesce(F.col("_progress"), known).alias("progress"),
+    )
+
+
 def backfill_candidates(docs: DataFrame, collections: DataFrame) -> DataFrame:
     """Documents without remote id whose collection has a data set, oldest first."""
     return docs.join(collections.where("dataset_id IS NOT NULL"), "collection_id").where("remote_id IS NULL").orderBy("created_at", "document_id")
@@ -198,24 +215,31 @@ def quarantine_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("problem IS NULL").drop("problem"), marked.where("problem IS NOT NULL")
 
 
-def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, version: int | None = None) -> None:
-    """Replaces the stored chunks of the documents in ``chunks`` and leaves all others.
+CHUNKS = (
+    "document_id string, collection_id string, chunk_id string, ordinal int, title_path array<string>, content string, normalized_content string, "
+    "token_count int, content_hash string, sparse_terms map<string, int>, metadata map<string, string>"
+)
 
-    The store is a table of versions: new chunks are appended under a number that grows, and
-    :func:`read_chunks` takes each document's last.  So a batch writes no more than itself, and
-    a reader or a lost job never meets a half-written store.
-    """
-    number = time.time_ns() if version is None else version
-    chunks.withColumn("version", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+def chunk_store(spark: SparkSession, path: str) -> Store:
+    """A store of chunks alone (see ``sources.store``), laid out by collection."""
+    return Store(spark, path, {"chunks": CHUNKS})
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The stored chunks: of each document those of its last version."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy("document_id").agg(F.max("version").alias("version"))
-    return rows.join(last, ["document_id", "version"], "left_semi").drop("version")
+def write_chunks(spark: SparkSession, chunks: DataFrame, path: str, documents: DataFrame | None = None) -> int | None:
+    """Replaces the stored chunks of ``documents`` (of those in ``chunks``, if none are given).
+
+    A document of ``documents`` without a row in ``chunks`` has none from then on.  Columns that
+    chunks lack are null.
+    """
+    store = chunk_store(spark, path)
+    have = [F.col(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in store.tables["chunks"]]
+    with scratch(spark) as stage:
+        rows = stage(chunks.select(*have), "chunks")
+        return store.commit({"chunks": rows}, rows.select("document_id") if documents is None else documents)
 
 
-def compact_chunks(spark: SparkSession, path: str, out: str) -> None:
-    """Writes the last versions to a new store, which then takes the place of the old one."""
-    write_chunks(spark, read_chunks(spark, path), out, 0)
+def read_chunks(spark: SparkSession, path: str, at: int | None = None, collections: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """The stored chunks of the last version (or of version ``at``): of all collections, of those
+    listed, or of those in the table ``among``."""
+    return chunk_store(spark, path).read("chunks", at, collections, among)

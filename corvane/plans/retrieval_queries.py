@@ -241,21 +241,22 @@ def prefer_answerable(t):
     return retrieval.prefer_answerable(rows).select("query_id", "turn")
 
 
-ACL = "CASE WHEN lang = 'en' THEN []::VARCHAR[] WHEN lang = 'fr' THEN ['public', source] ELSE [lang, source] END"
+ACL = "CASE WHEN lang = 'en' THEN []::VARCHAR[] WHEN lang = 'fr' THEN ['public', coalesce(source, 'none')] ELSE [coalesce(lang, 'none'), coalesce(source, 'none')] END"
 
 
 def acl(t: Tables) -> DataFrame:
     empty = F.array().cast("array<string>")
-    own = F.when(F.col("lang") == "en", empty).when(F.col("lang") == "fr", F.array(F.lit("public"), F.col("source"))).otherwise(F.array("lang", "source"))
-    return t("documents").where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", own.alias("acl"))
+    lang, source = (F.coalesce(c, F.lit("none")) for c in ("lang", "source"))
+    own = F.when(F.col("lang") == "en", empty).when(F.col("lang") == "fr", F.array(F.lit("public"), source)).otherwise(F.array(lang, source))
+    return t("documents").select("doc_id", own.alias("acl"))
 
 
-@query("f1_acl_filter", f"SELECT doc_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND (lang = 'en' OR list_contains({ACL}, 'public') OR list_has_any({ACL}, ['u7', 'src3', 'viewer']))")
+@query("f1_acl_filter", f"SELECT doc_id FROM documents WHERE coalesce(lang = 'en', false) OR (list_contains({ACL}, 'public') OR list_has_any({ACL}, ['u7', 'src3', 'viewer']))")
 def acl_filter(t):
     return acl(t).where(scores.allowed(F.col("acl"), F.array(F.lit("u7"), F.lit("src3"), F.lit("viewer")))).select("doc_id")
 
 
-@query("f2_acl_filter_dense", f"SELECT doc_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND list_has_any(CASE WHEN lang = 'en' THEN ['public'] ELSE {ACL} END, ['admin', 'src3'])")
+@query("f2_acl_filter_dense", f"SELECT doc_id FROM documents WHERE list_has_any(CASE WHEN lang = 'en' THEN ['public'] ELSE {ACL} END, ['admin', 'src3'])")
 def acl_filter_dense(t):
     return acl(t).where(scores.allowed_dense(F.col("acl"), F.array(F.lit("admin"), F.lit("src3")))).select("doc_id")
 

@@ -385,6 +385,11 @@ def source_uri_for_zip(t):
     return t("pages").select("page_id", records.source_uri_for_zip(F.concat(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit(".zip")), F.regexp_extract(url, r"([^/]*)$", 1)).alias("uri"))
 
 
+@query("x42_object_key", "SELECT doc_id, source || '/' || doc_id || '-' || lang || '.txt' AS key FROM documents")
+def object_key(t):
+    return t("documents").select("doc_id", records.object_key(F.col("source"), F.col("doc_id"), F.concat("lang", F.lit(".txt"))).alias("key"))
+
+
 # --- web -----------------------------------------------------------------------------------
 
 def tag_text(tag: str) -> str:

@@ -1,21 +1,66 @@
-"""Cutting lineage with checkpoints in the folder that the cluster names."""
+"""The folder that driver and executors share: checkpoints and written tables lie there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed under ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
 
     Where none is set, a local session gets a folder of its own; a cluster, whose executors
     would not see it, an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.split("[")[0] == "local":
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed under the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back: a lost executor then costs
+    the tasks of one step, and the planner knows the size."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like :func:`staged` whose tables are deleted at the end of the block."""
+    root = fresh_path(spark, "scratch")
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stage
+    finally:
+        delete(spark, root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a written folder, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

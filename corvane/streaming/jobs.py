@@ -4,88 +4,182 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.operators.chunking import chunk_documents
-from corvane.operators.ingest import dedupe_exact, map_remote_status, new_documents, write_chunks
-from corvane.sources.shared import cut
+from corvane.functions import hooks
+from corvane.functions.records import chunk_payload
+from corvane.operators.chunking import Splitter, by_sections, chunk_rows, made
+from corvane.operators.ingest import CHUNKS, dedupe_exact, map_remote_status, new_documents
+from corvane.sources.shared import scratch
+from corvane.sources.store import Store
 
 DOCUMENTS = "document_id string, collection_id string, title string, body string"
+#: What else a document may bring along.
+MORE = "filename string, acl array<string>, project string, meeting_date string"
+ARRIVING = f"{DOCUMENTS}, {MORE}"
+PAYLOAD = "struct<collection_id: string, document_id: string, chunk_id: string, title: string, filename: string, acl: array<string>, project: string, meeting_date: string, title_path: array<string>>"
+#: Documents as they are stored, their chunks, and the chunks' vectors with what travels beside them.
+TABLES = {
+    "documents": f"{ARRIVING}, checksum string, status string, error_message string",
+    "chunks": CHUNKS,
+    "vectors": f"chunk_id string, document_id string, collection_id string, embedding array<double>, payload {PAYLOAD}",
+}
+NO_TEXT, NO_CHUNKS = "empty text", "No text chunks were extracted from this document."
+#: The state of a stream lies in files beside its checkpoint and not in the executors' heap.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def document_store(spark: SparkSession, path: str) -> Store:
+    """The store that ingest writes: documents, chunks and vectors of one version at a time."""
+    return Store(spark, path, TABLES)
+
+
+def with_checksum(docs: DataFrame) -> DataFrame:
+    """Documents with all columns of ``ARRIVING`` (null where they have none) and their checksum."""
+    names = [c.strip().split(" ") for c in ARRIVING.split(",")]
+    return docs.select(
+        *[(F.col(n) if n in docs.columns else F.lit(None)).cast(kind).alias(n) for n, kind in names], F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("checksum")
+    )
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, or an empty one before its first write."""
+def ingest_batch(
+    store: Store, batch: DataFrame, splitter: Splitter | None = None, embedder: Callable[[], Callable] | None = None,
+    writer: str | None = None, number: int | None = None, seen: bool = False,
+) -> int | None:
+    """Stores the new documents of a batch, their chunks and vectors, as one version.
+
+    A document that can't be read fails alone: without text, without chunks, or where chunking or
+    the model raises on it, it is stored as failed, with the message, and has neither chunks nor
+    vectors; the batch goes on.  Documents are new by (collection, checksum), where no collection
+    is one too; ``seen`` says that the caller has left out known ones.  A document that comes
+    again with another text loses all that the old one had.  Of several texts of one id in a
+    batch the one of the largest checksum stays.  ``writer`` and ``number`` name a stream's batch,
+    which is stored once.  ``splitter`` cuts texts, ``embedder`` is a factory of the model that
+    turns normalised chunks into vectors (by default sections, and hashed words).
+    """
+    if writer is not None and store.committed(writer, number):
+        batch.write.format("noop").mode("overwrite").save()  # the stream's state moves on only with its rows
+        return None
+    spark = store.spark
+    with scratch(spark) as stage:
+        rows = dedupe_exact(with_checksum(batch))
+        if not seen:
+            rows = new_documents(rows, store.read("documents"))
+        last = rows.groupBy("document_id").agg(F.max_by(F.struct(*rows.columns), "checksum").alias("d")).select("d.*")
+        docs = stage(last.withColumn("made", made(F.col("body"), splitter or by_sections(), captured=True)), "documents")
+        if docs.isEmpty():
+            return None
+        fields = ("collection_id", "title", "filename", "acl", "project", "meeting_date")
+        each = chunk_rows(docs.withColumn("chunks", F.col("made.chunks")), "chunks", *fields)
+        embedded = stage(hooks.embed(each, text="normalized_content", factory=embedder or hooks.hash_embedder(), error="problem"), "chunks")
+        failed = embedded.where("problem IS NOT NULL").groupBy("document_id").agg(F.min_by("problem", "ordinal").alias("problem"))
+        blank = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", "") == ""
+        error = F.coalesce(F.when(blank, NO_TEXT), F.col("made.error"), F.when(F.size("made.chunks") == 0, NO_CHUNKS), F.col("problem"))
+        told = docs.join(failed, "document_id", "left").withColumn("error_message", error).withColumn("status", F.when(F.col("error_message").isNull(), "ready").otherwise("failed"))
+        good = embedded.join(failed, "document_id", "left_anti")
+        payload = chunk_payload(*[F.col(c) for c in ("collection_id", "document_id", "chunk_id", "title", "filename", "acl", "project", "meeting_date", "title_path")])
+        return store.commit({"documents": told, "chunks": good, "vectors": good.withColumn("payload", payload)}, docs.select("document_id"), writer, number)
+
+
+def _started(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query with ``STATE``, which it keeps; the session's own settings come back."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def ingest_batch(spark: SparkSession, batch: DataFrame, out: str, most: int = 600, overlap: int = 100) -> None:
-    """Stores the new documents of a batch and their chunks; empty ones become failed rows.
+def stream_ingest(
+    spark: SparkSession, path: str, out: str, checkpoint: str, splitter: Splitter | None = None, embedder: Callable[[], Callable] | None = None, files: int = 1000
+) -> StreamingQuery:
+    """Takes Parquet files of documents as they arrive, ``files`` a batch, and stops when all there
+    is is done.
 
-    A batch that is run again changes nothing: documents are told by (collection, checksum), and
-    chunks are replaced by document before the documents themselves are recorded.
+    Which (collection, checksum) have come is kept by key in the stream's state, so a batch costs
+    what the batch has, however large the store is.  A batch that broke off is run again from the
+    checkpoint, and one that was stored before it could say so is passed over.
     """
-    stored = DOCUMENTS + ", checksum string, status string, error_message string"
-    rows = batch.withColumn("checksum", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256))
-    fresh = new_documents(dedupe_exact(rows), _table(spark, f"{out}/documents", stored))
-    empty = F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+", "") == ""
-    status, error = F.when(empty, "failed").otherwise("ready"), F.when(empty, "empty text")
-    known = cut(fresh.select("document_id", "collection_id", "title", "body", "checksum", status.alias("status"), error.alias("error_message")))
-    good = known.where("status = 'ready'")
-    if not known.isEmpty():
-        write_chunks(spark, chunk_documents(good, most, overlap), f"{out}/chunks")
-        known.write.mode("append").parquet(f"{out}/documents")
-
-
-def stream_ingest(spark: SparkSession, path: str, out: str, checkpoint: str, most: int = 600, overlap: int = 100) -> StreamingQuery:
-    """Takes Parquet files of documents as they arrive and stops when all there is is done."""
-    arriving = spark.readStream.schema(DOCUMENTS).parquet(path)
-    return (
-        arriving.writeStream.option("checkpointLocation", checkpoint)
+    arriving = with_checksum(spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", files).parquet(path))
+    first = arriving.dropDuplicates(["collection_id", "checksum"])
+    store = document_store(spark, out)
+    return _started(
+        spark,
+        lambda: first.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: ingest_batch(spark, batch, out, most, overlap))
-        .start()
+        .foreachBatch(lambda batch, number: ingest_batch(store, batch, splitter, embedder, checkpoint, number, seen=True))
+        .start(),
     )
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """(remote_id, status, error_message, ts): the newest event of each document."""
-    status, error = map_remote_status(F.col("run"), F.col("message"))
-    told = events.select("remote_id", "ts", status.alias("status"), error.alias("error_message"))
-    last = told.groupBy("remote_id").agg(F.max_by(F.struct("status", "error_message", "ts"), F.struct("ts", "status")).alias("s"))
-    return last.select("remote_id", "s.status", "s.error_message", "s.ts")
+# --- statuses ------------------------------------------------------------------------------
 
+STATUSES = "document_id string, status string, error_message string, progress double, ts long"
 
-def _each_batch(rows: DataFrame, out: str, checkpoint: str, reduced: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Writes what ``reduced`` makes of each batch under the batch's number; a batch that is run
-    again overwrites itself.  Nothing is kept on the driver or in state."""
-    return (
-        rows.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: reduced(batch).write.mode("overwrite").parquet(f"{out}/batch={number}"))
-        .start()
-    )
+
+def status_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"statuses": STATUSES}, group="document_id")
+
+
+def latest_status(events: DataFrame, *more: str) -> DataFrame:
+    """(remote_id, status, error_message, progress, ts): the newest event of each document; with
+    ``more`` these columns of that event too."""
+    status, error = map_remote_status(F.col("run"), F.col("message"))
+    progress = F.col("progress").cast("double") if "progress" in events.columns else F.lit(None).cast("double")
+    told = F.struct(status.alias("status"), error.alias("error_message"), progress.alias("progress"), "ts", *more)
+    last = events.groupBy("remote_id").agg(F.max_by(told, F.struct(F.col("ts"), status)).alias("s"), *[F.max(c).alias(f"last_{c}") for c in more])
+    return last.select("remote_id", "s.*", *[f"last_{c}" for c in more])
 
 
 def stream_status_sync(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest status per document in the table ``out`` (see :func:`read_statuses`)."""
-    return _each_batch(events, out, checkpoint, latest_status)
+    """Keeps the newest status per document in the store ``out`` (see :func:`read_statuses`).
+
+    The newest event of each document is the stream's state.  A document is written when an event
+    of the batch became its newest; late events change and write nothing.  Each version of the
+    store is what changed with a batch (see :func:`status_changes`).
+    """
+    spark = events.sparkSession
+    store = status_store(spark, out)
+    state = latest_status(events.withColumn("arrived", F.current_timestamp()), "arrived")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        with scratch(spark) as stage:
+            changed = stage(batch.where("arrived = last_arrived").withColumnRenamed("remote_id", "document_id").select(*[c.split(" ")[0] for c in STATUSES.split(", ")]), "changed")
+            if not changed.isEmpty():
+                store.commit({"statuses": changed}, changed.select("document_id"), checkpoint, number)
+
+    return _started(
+        spark, lambda: state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+    )
 
 
 def read_statuses(spark: SparkSession, out: str) -> DataFrame:
-    """(remote_id, status, error_message, ts): the newest over all batches."""
-    last = spark.read.parquet(out).groupBy("remote_id").agg(F.max_by(F.struct("status", "error_message", "ts"), F.struct("ts", "status")).alias("s"))
-    return last.select("remote_id", "s.status", "s.error_message", "s.ts")
+    """(remote_id, status, error_message, progress, ts): the newest, for ``ingest.with_statuses``."""
+    return status_store(spark, out).read("statuses").withColumnRenamed("document_id", "remote_id")
+
+
+def status_changes(spark: SparkSession, out: str, since: int = 0) -> DataFrame:
+    """(version, remote_id): which documents got a new status with each version after ``since``."""
+    return status_store(spark, out).manifest().where(F.col("version") > since).select("version", F.col("document_id").alias("remote_id"))
+
+
+# --- counts --------------------------------------------------------------------------------
 
 
 def stream_metrics(audit: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps counts per action of each batch in the table ``out`` (see :func:`read_metrics`)."""
-    return _each_batch(audit, out, checkpoint, lambda batch: batch.groupBy("action").agg(F.count("*").alias("n")))
+    """Keeps counts per action of each batch in the table ``out`` (see :func:`read_metrics`), under
+    the batch's number; a batch that is run again overwrites itself."""
+    return (
+        audit.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, number: batch.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}"))
+        .start()
+    )
 
 
 def read_metrics(spark: SparkSession, out: str) -> DataFrame:

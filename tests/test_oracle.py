@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corvane.plans import registry, retrieval_queries, table_queries  # noqa: F401
+from corvane.plans import registry, retrieval_queries, store_queries, table_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
