@@ -1,35 +1,5 @@
 """Tables that cut lineage, written to the folder that driver and executors share."""
 
-from __future__ import annotations
+from corvane.sources.shared import shared_dir, staged
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``.
-
-    Where none is set, a local session gets a folder of its own; a cluster, whose executors
-    would not see it, an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    Lost executors then cost the tasks of one step, not the whole lineage, and the sizes
-    of the files tell the planner which tables are small enough to broadcast.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "staged"]
