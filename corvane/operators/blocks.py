@@ -242,3 +242,56 @@ def keyword_pairs(q: DataFrame, c: DataFrame, key: str, k: int | None = None) ->
                     yield _rows("raw", np.round((m @ asks).T, 6), r.q_ids, r.c_ids[a : a + step], k, 0.0)
 
     return _best(_meeting(q, c, key).drop(key, "cell").mapInPandas(scored, _schema(q, c, "raw")), k, "raw")
+
+
+def packed_counts(df: DataFrame, id_: str, text: str, key: str, rows: int = TEXTS) -> DataFrame:
+    """(key, ids, terms, counts, sizes): blocks of texts with their terms, how often each occurs, and
+    how many terms there are."""
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for value, part in _by_key(pdf, key, rows):
+                told = [Counter(t) for t in part["t"]]
+                out.append((value, list(part[id_]), [list(c) for c in told], [list(c.values()) for c in told], [len(t) for t in part["t"]]))
+            yield pd.DataFrame(out, columns=[key, "ids", "terms", "counts", "sizes"])
+
+    kept = df.where(F.col(key).isNotNull()).select(key, id_, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, terms array<array<string>>, counts array<array<int>>, sizes array<int>")
+
+
+def overlap_pairs(q: DataFrame, c: DataFrame, key: str, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the terms that a text shares with a query, over the query's, to
+    six places and at most 1.
+
+    A term counts as often as both have it.  That is a sum over n = 1, 2, .. of the terms that
+    both have n times or more, so each n is one product of matrices of zeros and ones, and a
+    frequent term is a column and no hot key.
+    """
+
+    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                place: dict[str, int] = {}
+                for ts in r.q_terms:
+                    for t in ts:
+                        place.setdefault(t, len(place))
+                asks = np.zeros((len(r.q_ids), len(place)), np.int32)
+                for j, (ts, ns) in enumerate(zip(r.q_terms, r.q_counts, strict=True)):
+                    asks[j, [place[t] for t in ts]] = ns
+                size = np.maximum(np.asarray(r.q_sizes, float), 1.0)
+                step = max(1, CELLS // max(1, len(place)))
+                for a in range(0, len(r.c_ids), step):
+                    held = np.zeros((len(r.c_ids[a : a + step]), len(place)), np.int32)
+                    for i, (ts, ns) in enumerate(zip(r.c_terms[a : a + step], r.c_counts[a : a + step], strict=True)):
+                        known = [(place[t], n) for t, n in zip(ts, ns, strict=True) if t in place]
+                        if known:
+                            at, n = zip(*known, strict=True)
+                            held[i, list(at)] = n
+                    shared = np.zeros((len(asks), len(held)))
+                    for n in range(1, int(min(asks.max(initial=0), held.max(initial=0))) + 1):
+                        some = (asks >= n).any(0)
+                        shared += (asks[:, some] >= n).astype(np.float32) @ (held[:, some] >= n).astype(np.float32).T
+                    yield _rows("score", np.round(np.minimum(1.0, shared / size[:, None]), 6), r.q_ids, r.c_ids[a : a + step], k, 0.0)
+
+    return _best(_meeting(q, c, key).drop(key, "cell").mapInPandas(scored, _schema(q, c, "score")), k, "score")

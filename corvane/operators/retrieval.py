@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +39,15 @@ def chunks_with_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs, "document_id")
 
 
-def dense_pairs(queries: DataFrame, vectors: DataFrame, key: str = "collection_id") -> DataFrame:
-    """(query_id, chunk_id, score): cosine of each query with the vectors of its collection.
+def dense_pairs(queries: DataFrame, vectors: DataFrame, key: str = "collection_id", least: float | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): cosine of each query with the vectors of its collection; pairs
+    under ``least`` don't leave the task that scores them.
 
     ``queries`` has query_id, collection_id and q; ``vectors`` chunk_id, collection_id and v.
     Blocks of both meet (see ``blocks``); rows without a collection or vector take no part.
     """
     q, c = blocks.packed_vectors(queries, "query_id", "q", key), blocks.packed_vectors(vectors, "chunk_id", "v", key)
-    return blocks.dense_scores(q, c, key)
+    return blocks.dense_scores(q, c, key, above=-np.inf if least is None else np.nextafter(least, -np.inf))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "collection_id") -> DataFrame:
@@ -84,16 +86,10 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 30, key: str | No
     return max_normalized(keyword_scores(queries, docs, k, key)).select("query_id", "chunk_id", "raw", "score", "rank")
 
 
-def term_overlap(queries: DataFrame, docs: DataFrame, terms: Column | None = None) -> DataFrame:
-    """The variant: shared term counts over the query's, at most 1."""
-    count = lambda df, key, text: (
-        df.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
-    q = count(queries, "query_id", "question")
-    whole = q.groupBy("query_id").agg(F.sum("tf").alias("all"))
-    d = count(docs, "chunk_id", "content").withColumnRenamed("tf", "dtf")
-    shared = q.join(d, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.least("tf", "dtf")).alias("shared"))
-    return shared.join(whole, "query_id").select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("shared") / F.col("all")), 6).alias("score"))
+def term_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None, key: str | None = None) -> DataFrame:
+    """The variant: shared term counts over the query's, at most 1; with ``k`` each query's best."""
+    (q, by), (d, _) = _keyed(queries, key), _keyed(docs, key)
+    return blocks.overlap_pairs(blocks.packed_counts(q, "query_id", "question", by), blocks.packed_counts(d, "chunk_id", "content", by), by, k)
 
 
 def fuse_hits(dense: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
@@ -213,11 +209,15 @@ def prefer_answerable(hits: DataFrame, content: str = "content") -> DataFrame:
     return marked.withColumn("_kept", F.count_if(~F.col("_ref")).over(own)).where(~F.col("_ref") | (F.col("_kept") == 0)).drop("_ref", "_kept")
 
 
+def depth(page_size: int) -> int:
+    """How many candidates a page is cut from."""
+    return max(64, 8 * page_size)
+
+
 def overfetch(hits: DataFrame, page_size: int, final_k: int) -> DataFrame:
     """Two cuts: a deep candidate list first, then the page."""
-    depth, page = max(64, 8 * page_size), max(final_k, 6)
-    deep = top(hits, depth)
-    return top(deep.drop("rank"), page)
+    deep = top(hits.drop("rank"), depth(page_size))
+    return top(deep.drop("rank"), max(final_k, 6))
 
 
 def with_context(chunks: DataFrame, window: int = 1) -> DataFrame:

@@ -156,7 +156,7 @@ def hybrid_flat(t):
     f"WITH {DENSE} SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM dense) WHERE rank <= 8",
 )
 def overfetch(t):
-    return retrieval.overfetch(retrieval.dense_pairs(t.vector_queries(), t.vectors()), 8, 8)
+    return retrieval.overfetch(dense_hits(t, retrieval.depth(8)), 8, 8)
 
 
 @query("w1_rank_hits", f"WITH {DENSE} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM dense")
@@ -166,7 +166,7 @@ def rank_hits(t):
 
 @query("f5_similarity_floor", f"WITH {DENSE} SELECT query_id, chunk_id, score FROM dense WHERE score >= 0.2")
 def similarity_floor(t):
-    return retrieval.dense_pairs(t.vector_queries(), t.vectors()).where("score >= 0.2")
+    return retrieval.dense_pairs(t.vector_queries(), t.vectors(), least=0.2)
 
 
 @query(

@@ -95,3 +95,16 @@ def test_errors_are_captured(spark):
     got = {r["document_id"]: r["m"] for r in docs.select("document_id", chunking.made(F.col("body"), splitter, captured=True).alias("m")).collect()}
     assert got["bad"]["error"] == "RuntimeError: can't be read" and got["bad"]["chunks"] == []
     assert got["good"]["error"] is None and [c["content"] for c in got["good"]["chunks"]] == ["some text"]
+
+
+def test_many_paragraphs(spark):
+    """Paragraphs are told apart by sorting them, not each against all."""
+    rnd = random.Random(5)
+    parts = [f"paragraph  {rnd.randrange(15_000)} of many" for _ in range(20_000)]
+    seen, want = set(), []
+    for p in parts:
+        if (k := " ".join(p.split())) not in seen:
+            seen.add(k)
+            want.append(p)
+    df = spark.createDataFrame([("\n\n".join(parts),), ("a\n\nb\n\n a \n\nb  c\n\nb c",), ("",)], "t string")
+    assert [r[0] for r in df.select(text.drop_repeats(F.col("t"))).collect()] == ["\n\n".join(want), "a\n\nb\n\nb  c", ""]
