@@ -26,6 +26,8 @@ ROWS = 2048
 #: Texts whose keyword scores are one matrix, and cells of such a matrix at most.
 TEXTS, CELLS = 256, 1 << 23
 REMEMBERED = 200_000
+#: The key of rows that have none to be told apart by.
+WHOLE = "_all"
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -39,6 +41,14 @@ def _by_key(pdf: pd.DataFrame, key: str, rows: int) -> Iterator[tuple[object, pd
             yield value, part.iloc[a : a + rows]
 
 
+def _clustered(df: DataFrame, id_: str, key: str) -> DataFrame:
+    """Rows of a key side by side, so that blocks are full however many keys there are; a key with
+    many rows is many ranges.  One key for all needs no exchange."""
+    if key == WHOLE:
+        return df
+    return df.repartitionByRange(_cells(df), key, id_).sortWithinPartitions(key)
+
+
 def packed_vectors(df: DataFrame, id_: str, vector: str, key: str, rows: int = ROWS) -> DataFrame:
     """(key, ids, m): blocks of rows as matrices of doubles; null components are 0."""
 
@@ -54,7 +64,7 @@ def packed_vectors(df: DataFrame, id_: str, vector: str, key: str, rows: int = R
             yield pd.DataFrame(out, columns=[key, "ids", "m", "d"])
 
     kept = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, id_, vector)
-    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, m binary, d int")
+    return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, m binary, d int")
 
 
 def hash_vectors(df: DataFrame, id_: str, text: str, key: str, dim: int = 384, rows: int = ROWS) -> DataFrame:
@@ -85,7 +95,7 @@ def hash_vectors(df: DataFrame, id_: str, text: str, key: str, dim: int = 384, r
 
     terms = hash_terms(F.coalesce(F.col(text), F.lit("")))
     kept = df.where(F.col(key).isNotNull()).select(key, id_, terms.alias("terms"))
-    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, m binary, d int")
+    return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, m binary, d int")
 
 
 def _cells(df: DataFrame) -> int:
@@ -158,7 +168,7 @@ def packed_texts(df: DataFrame, id_: str, text: str, key: str, rows: int = TEXTS
             yield pd.DataFrame([(v, list(p[id_]), list(p["t"])) for v, p in _by_key(pdf, key, rows)], columns=[key, "ids", "texts"])
 
     kept = df.where(F.col(key).isNotNull()).select(key, id_, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, texts array<string>")
+    return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, texts array<string>")
 
 
 def packed_terms(df: DataFrame, id_: str, text: str, key: str, rows: int = TEXTS) -> DataFrame:
@@ -169,7 +179,7 @@ def packed_terms(df: DataFrame, id_: str, text: str, key: str, rows: int = TEXTS
             yield pd.DataFrame([(v, list(p[id_]), [list(t) for t in p["t"]]) for v, p in _by_key(pdf, key, rows)], columns=[key, "ids", "terms"])
 
     kept = df.where(F.col(key).isNotNull()).select(key, id_, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, terms array<array<string>>")
+    return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, terms array<array<string>>")
 
 
 class TermCounts:
@@ -257,7 +267,7 @@ def packed_counts(df: DataFrame, id_: str, text: str, key: str, rows: int = TEXT
             yield pd.DataFrame(out, columns=[key, "ids", "terms", "counts", "sizes"])
 
     kept = df.where(F.col(key).isNotNull()).select(key, id_, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return kept.mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, terms array<array<string>>, counts array<array<int>>, sizes array<int>")
+    return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, terms array<array<string>>, counts array<array<int>>, sizes array<int>")
 
 
 def overlap_pairs(q: DataFrame, c: DataFrame, key: str, k: int | None = None) -> DataFrame:

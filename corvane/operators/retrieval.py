@@ -58,7 +58,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, key: str = "
 
 
 def _keyed(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
-    return (df, key) if key else (df.withColumn("_all", F.lit(0)), "_all")
+    return (df, key) if key else (df.withColumn(blocks.WHOLE, F.lit(0)), blocks.WHOLE)
 
 
 def sparse_dense_topk(queries: DataFrame, docs: DataFrame, k: int = 30, dim: int = 384, key: str | None = None) -> DataFrame:

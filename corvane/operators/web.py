@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CJK, cell, collapse, escape_cell, trim_empty
+from corvane.functions.text import CJK, cell, collapse, escape_cell, let, trim_empty
 
 # The entities that are resolved.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -22,15 +22,14 @@ def html_title(html: Column) -> Column:
     """Text of ``<title>``, else of ``<h1>``, else null."""
     t = collapse(_plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     h = collapse(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)))
-    return F.when(t != "", t).when(h != "", h)
+    return let(t, lambda t: F.when(t != "", t).otherwise(let(h, lambda h: F.when(h != "", h))))
 
 
 def safe_filename(c: Column, plain: bool = False) -> Column:
     """Runs of other characters become ``-``; at most 120 characters; never empty."""
     keep = r"\p{IsHan}A-Za-z0-9._\-" if plain else rf"\p{{L}}\p{{N}}_{CJK}.\-"
     name = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{keep}]+", "-"), r"^[\-._]+|[\-._]+$", "")
-    name = F.substring(name, 1, 120)
-    return F.when(name != "", name).otherwise("web-document")
+    return let(F.substring(name, 1, 120), lambda n: F.when(n != "", n).otherwise("web-document"))
 
 
 def html_to_text(html: Column) -> Column:
@@ -53,11 +52,11 @@ def html_to_text(html: Column) -> Column:
 
 def web_pages(pages: DataFrame) -> DataFrame:
     """(page_id, filename, title, body, content_type, source_uri) of a page table."""
-    name = safe_filename(html_title(F.col("html")))
-    return pages.select(
+    # Named in a step of its own: Spark computes it once for both columns.
+    return pages.select("page_id", "html", "url", safe_filename(html_title(F.col("html"))).alias("title")).select(
         "page_id",
-        F.concat(name, F.lit(".html")).alias("filename"),
-        name.alias("title"),
+        F.concat("title", F.lit(".html")).alias("filename"),
+        "title",
         html_to_text(F.col("html")).alias("body"),
         F.lit("text/html").alias("content_type"),
         F.col("url").alias("source_uri"),
