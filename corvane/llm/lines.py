@@ -30,7 +30,9 @@ def lines_of(text: Column) -> Column:
 def marks(docs: DataFrame, text: str, least: int) -> DataFrame:
     """(id, k1, k2, pos, h1, h2): each line whose key has ``least`` code points, by two hashes of
     the key.  (k1, k2) are hashes of the row's id and text; equal rows share them and their fate."""
-    rows = docs.select(F.col("doc_id").alias("id"), *_row_key(docs, text), F.posexplode(lines_of(F.translate(F.col(text), UPPER, LOWER))).alias("pos", "line"))
+    # Rows are hashed in a step of their own: beside the explosion they would be hashed for each line.
+    keyed = docs.select(F.col("doc_id").alias("id"), *_row_key(docs, text), F.translate(F.col(text), UPPER, LOWER).alias("low"))
+    rows = keyed.select("id", "k1", "k2", F.posexplode(lines_of(F.col("low"))).alias("pos", "line"))
     key = F.btrim(F.col("line"), F.lit(BLANKS))
     long_enough = (F.length("line") >= least) & (F.length(key) >= least)
     return rows.where(long_enough).select("id", "k1", "k2", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(LINE_SALT), key).alias("h2"))
