@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._repeats import CROWDED, anchor_runs, keyed, merged, pack, repeats
+from corvane.llm._repeats import CROWDED, anchor_runs, by_row, keyed, merged, pack, repeats
 from corvane.llm._words import Words, grouped, mix, prefix_hash, span_hash
 
 GRAM = 8
@@ -141,8 +141,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35, crowde
         words = data.split()
         return [b" ".join(words[a : a + n + window - 1]) for a, n in runs]
 
-    base, short = keyed(docs, text, 2 * window - 1)
-    return base, short, repeats(base, find, cut, lambda groups: repeated_windows(groups, window), window, False, crowded)
+    base, short, texts = keyed(docs, text, 2 * window - 1)
+    return base, short, repeats(base, texts, find, cut, lambda groups: repeated_windows(groups, window), window, False, crowded)
 
 
 def dedup(docs: DataFrame, text: str = "text", window: int = 35, crowded: int = CROWDED) -> DataFrame:
@@ -160,9 +160,9 @@ def dedup(docs: DataFrame, text: str = "text", window: int = 35, crowded: int =
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
-            for seq, data, own in zip(pdf["seq"], pdf["data"], pdf["spans"], strict=True):
+            for data, own in zip(pdf["data"], pdf["spans"], strict=True):
                 words = data.split()
-                gone = merged(own, seq)
+                gone = merged(own)
                 kept, at = [], 0
                 for lo, hi in gone:
                     kept += words[at:lo]
@@ -172,9 +172,9 @@ def dedup(docs: DataFrame, text: str = "text", window: int = 35, crowded: int =
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "spans"])], axis=1)
 
     made = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<lo: long, hi: long>>"
-    none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
-    cols = ["doc_id", "seq", "data", "spans"]
-    out = base.join(spans, "kid", "left").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
+    none = short.withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
+    cols = ["doc_id", "data", "spans"]
+    out = by_row(base, spans, "left").select(*base.columns, "spans").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -1,10 +1,11 @@
 """Suffix-array dedup over bytes, built one bucket at a time with a difference cover.
 
-Runs of windows come together by anchor (see ``_repeats``) and are laid end to end, anchors at
-multiples of v.  Suffixes at the places of a difference cover modulo v are ranked first, by
-names of v bytes and doubling.  Then one bucket of suffixes is sorted at a time: by the few bytes
-up to the next cover place, ties by the rank there, however long they are.  So memory holds the
-cover's ranks and one bucket.  Neighbours in the order that share the window's length are equal.
+Runs of windows come together by anchor (see ``_repeats``) and are laid end to end.  Suffixes at
+the places of a difference cover modulo v are ranked first, by names of v bytes and doubling.
+Then one bucket of suffixes is sorted at a time: by v bytes, and ties, however long they are, by
+the cover.  Any two suffixes, whatever their residues, have a distance under v at which both are
+at cover places, and the ranks there decide.  So memory holds the cover's ranks and one bucket.
+Neighbours in the order that share the window's length are equal.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._repeats import CROWDED, anchor_runs, keyed, merged, pack, repeats
+from corvane.llm._repeats import CROWDED, anchor_runs, by_row, keyed, merged, pack, repeats
 from corvane.llm._words import grouped, mix, prefix_hash, span_hash
 
 GRAM = 24
@@ -27,7 +28,7 @@ BUCKET = 1 << 17
 
 
 class _CoverRanks:
-    """Ranks of the suffixes at cover places, as far as ``depth`` bytes."""
+    """Ranks of the suffixes at cover places; ``depth`` zeros follow the text."""
 
     def __init__(self, text: np.ndarray, depth: int):
         self.text = np.concatenate((text, np.zeros(4 * MODULUS + depth, np.uint8)))
@@ -37,36 +38,88 @@ class _CoverRanks:
         places = np.flatnonzero(np.tile(residues, n // MODULUS + 1)[:n])
         blocks = np.zeros((len(places), 32), np.uint8)
         np.take(np.lib.stride_tricks.sliding_window_view(self.text, MODULUS), places, axis=0, out=blocks[:, :MODULUS])
-        rank = self._ranked(list(blocks.view(">u8").astype(np.uint64).T))
-        # From a cover place, v bytes on is a cover place again, len(COVER) entries later.
-        reach, step = MODULUS, len(COVER)
-        while reach < depth:
-            ahead = np.concatenate((rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)))[: len(rank)]
-            rank = self._ranked([rank, ahead])
-            reach, step = reach * 2, step * 2
+        words = blocks.view(">u8").astype(np.uint64)
+        order = np.lexsort(words.T[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+        # A rank is the place of the first that is equal, so refined ranks stay among the others.
+        rank = np.empty(len(order), np.int64)
+        rank[order] = self._first(new)
+        tied = order[~(new & np.append(new[1:], True))]
+        # From a cover place, v bytes on is a cover place again, len(COVER) entries later.  Ranks
+        # go on until no two are equal, so that any two suffixes are told the same way by all.
+        step = len(COVER)
+        while len(tied):
+            # Past the end, shorter suffixes come first.
+            last = len(rank) - 1
+            ahead = np.where(tied + step <= last, rank[np.minimum(tied + step, last)], last - tied - step)
+            order = np.lexsort((ahead, rank[tied]))
+            tied, ahead = tied[order], ahead[order]
+            was = rank[tied]
+            old = np.ones(len(tied), bool)
+            old[1:] = was[1:] != was[:-1]
+            new = old.copy()
+            new[1:] |= ahead[1:] != ahead[:-1]
+            rank[tied] = was + self._first(new) - self._first(old)
+            tied = tied[~(new & np.append(new[1:], True))]
+            step *= 2
         self.rank = np.zeros(n, np.int64)
         self.rank[places] = rank
-        #: bytes from each residue to the next cover place
-        self.gap = np.array([next(d for d in range(MODULUS) if residues[(r + d) % MODULUS]) for r in range(MODULUS)])
+        #: for two residues, the least distance that takes both to cover places
+        ahead = np.array([[residues[(r + d) % MODULUS] for d in range(MODULUS)] for r in range(MODULUS)])
+        self.meet = (ahead[:, None, :] & ahead[None, :, :]).argmax(2)
 
     @staticmethod
-    def _ranked(keys: list[np.ndarray]) -> np.ndarray:
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new)
-        return out
+    def _first(new: np.ndarray) -> np.ndarray:
+        """For each entry the place of the last ``new`` one up to it."""
+        return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes ``a`` come before those of ``b`` that start with the same v bytes."""
+        d = self.meet[a % MODULUS, b % MODULUS]
+        return self.rank[a + d] < self.rank[b + d]
 
     def sorted(self, bucket: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        """Order of suffixes by bucket and then by bytes; a bucket's have one residue."""
-        gap = self.gap[suffix % MODULUS]
-        head = np.zeros((len(suffix), 16), np.uint8)
-        np.take(np.lib.stride_tricks.sliding_window_view(self.text, 16), suffix, axis=0, out=head)
-        head[np.arange(16)[None, :] >= gap[:, None]] = 0
+        """Order of suffixes by bucket and then by bytes."""
+        head = np.zeros((len(suffix), 32), np.uint8)
+        np.take(np.lib.stride_tricks.sliding_window_view(self.text, MODULUS), suffix, axis=0, out=head[:, :MODULUS])
         words = head.view(">u8").astype(np.uint64)
-        return np.lexsort((self.rank[suffix + gap], words[:, 1], words[:, 0], bucket))
+        keys = [*words.T[::-1], bucket]
+        order = np.lexsort(keys)
+        tied = np.ones(max(len(order) - 1, 0), bool)
+        for k in keys:
+            tied &= k[order[1:]] == k[order[:-1]]
+        group = np.cumsum(np.concatenate(([True], ~tied)))[: len(order)]
+        several = np.flatnonzero(np.concatenate(([False], tied)) | np.concatenate((tied, [False])))[: len(order)]
+        order[several] = self._merged(order[several], group[several], suffix)
+        return order
+
+    def _merged(self, order: np.ndarray, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Merge sort of all groups at once: each suffix finds its place among its sibling run's."""
+        if len(order) == 0:
+            return order
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(first, len(order)))
+        start, end = np.repeat(first, size), np.repeat(first + size, size)
+        place = np.arange(len(order)) - start
+        done, width = order.copy(), 1
+        while width < int(size.max()):
+            at = suffix[done]
+            left = (place // width) % 2 == 0
+            run = start + place // (2 * width) * (2 * width)
+            lo = np.where(left, np.minimum(run + width, end), run)
+            other, hi = lo.copy(), np.where(left, np.minimum(run + 2 * width, end), np.minimum(run + width, end))
+            open_ = np.flatnonzero(lo < hi)
+            while len(open_):
+                mid = (lo[open_] + hi[open_]) // 2
+                less = self.before(at[mid], at[open_])
+                lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
+                open_ = open_[lo[open_] < hi[open_]]
+            own = start + place - np.where(left, run, run + width)
+            out = np.empty_like(done)
+            out[run + own + lo - other] = done
+            done, width = out, width * 2
+        return done
 
     def equal_next(self, order: np.ndarray, bucket: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
         """Whether each suffix in order shares ``length`` bytes with the one before."""
@@ -81,8 +134,7 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes, int]]], length: in
     """For each run of each group, which of its windows start in a run of smaller order too."""
     runs = [(gi, *r) for gi, g in enumerate(groups) for r in g]
     at, size = [], 0
-    for _, off, _, content, _ in runs:
-        size += -(size + off) % MODULUS
+    for _, _, _, content, _ in runs:
         at.append(size)
         size += len(content) + 1
     text = np.zeros(size, np.uint8)
@@ -145,14 +197,14 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100, crowded: int =
     def cut(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
         return [bytes(data[a : a + n + length - 1]) for a, n in runs]
 
-    base, short = keyed(docs, text, length)
-    spans = repeats(base, find, cut, lambda groups: repeated_windows(groups, length), length, True, crowded)
+    base, short, texts = keyed(docs, text, length)
+    spans = repeats(base, texts, find, cut, lambda groups: repeated_windows(groups, length), length, True, crowded)
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
-            for seq, data, own in zip(pdf["seq"], pdf["data"], pdf["spans"], strict=True):
-                gone = merged(own, seq)
+            for data, own in zip(pdf["data"], pdf["spans"], strict=True):
+                gone = merged(own)
                 kept, at = [], 0
                 for lo, hi in gone:
                     kept.append(data[at:lo])
@@ -164,9 +216,9 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 100, crowded: int =
             )
 
     made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo: long, hi: long>>"
-    none = short.withColumns({"seq": F.lit(1), "spans": F.lit(None).cast("array<struct<seq: int, lo: long, hi: long>>")})
-    cols = ["doc_id", "seq", "data", "spans"]
-    return base.join(spans, "kid", "left").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
+    none = short.withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
+    cols = ["doc_id", "data", "spans"]
+    return by_row(base, spans, "left").select(*base.columns, "spans").mapInPandas(finish, made).unionByName(none.select(*cols).mapInPandas(finish, made))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -505,6 +505,52 @@ def test_cover_ranks_sort_suffixes():
         order = ranks.sorted(np.zeros(len(own), np.int64), own)
         heads = [bytes(text[s : s + 100]) for s in own[order]]
         assert heads == sorted(heads)
+    # Suffixes of all residues, in two buckets, with ties of every length.
+    own, bucket = rng.permutation(1800), np.arange(1800) % 2
+    order = ranks.sorted(bucket, own)
+    heads = [(b, bytes(text[s : s + 100])) for b, s in zip(bucket[order].tolist(), own[order])]
+    assert heads == sorted(heads) and len(set(heads)) < len(heads)
+    # Many suffixes with one beginning; and a text of one byte, whose shorter suffixes come first.
+    part = bytes(rng.integers(97, 123, 300).astype(np.uint8))
+    many = b"".join(part + bytes(rng.integers(97, 99, 5).astype(np.uint8)) + b"\0" for _ in range(60))
+    own = np.array([i * 306 + k for i in range(60) for k in (150, 200, 203)])
+    order = suffixes._CoverRanks(np.frombuffer(many, np.uint8), 100).sorted(np.zeros(len(own), np.int64), own)
+    assert [many[s:] for s in own[order]] == sorted(many[s:] for s in own)
+    order = suffixes._CoverRanks(np.full(700, 97, np.uint8), 100).sorted(np.zeros(500, np.int64), np.arange(500))
+    assert order.tolist() == list(range(499, -1, -1))
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows of one id cost what rows of their own ids cost, and equal rows are told apart."""
+    import time
+
+    rng = np.random.default_rng(21)
+    texts = [" ".join(rng.choice(["ab", "cd", "e", "fg", "hij"], 120)) for _ in range(1500)] + [words(60, 8)] * 40
+    took = {}
+    for name, key in (("own", lambda i: i), ("one", lambda i: 7), ("none", lambda i: None)):
+        rows = [(key(i), t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        got = Counter(tuple(r) for r in substrings.digest(df).collect())
+        took[name] = time.time() - began
+        assert got == brute_words(rows, 35)
+        assert Counter(tuple(r) for r in suffixes.digest(df.limit(1540)).collect()) == brute_bytes(rows, 100)
+    assert took["one"] < 3 * took["own"] + 5
+
+
+def test_frequent_anchors_are_salted(spark, monkeypatch):
+    """An anchor that a share of all runs has is dealt by run; results stay the same."""
+    from corvane.llm import _repeats
+
+    monkeypatch.setattr(_repeats, "COMBINED", 64)
+    passage = words(90, 41)
+    rows = [(i, f"{words(25, 150 + i)} {passage} {words(25, 290 + i)}") for i in range(60)] + [(100 + i, passage) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for crowded in (0, 3, 4096):
+        out = substrings.dedup(df, crowded=crowded).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out) == brute_words(rows, 35)
+        out = suffixes.dedup(df, crowded=crowded).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out) == brute_bytes(rows, 100)
 
 
 # --- 6 -------------------------------------------------------------------------------------
