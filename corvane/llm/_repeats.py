@@ -106,7 +106,10 @@ def keyed(docs: DataFrame, text: str, least: int) -> tuple[DataFrame, DataFrame,
     own, made from the MD5 of its text, so that many of them do not meet; these rows come before
     all others, in the order of that key.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    # The remark keeps the optimizer from taking this alias away in some uses only, which would
+    # then no longer share the others' exchange.
+    doc_id = F.col("doc_id").cast("long").alias("doc_id", metadata={"told": "by row"})
+    rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     # Never null, so that joins add no filter of their own and share the exchange.
     kid = F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.conv(F.substring(F.md5("data"), 1, 15), 16, 10).cast("long"), F.lit(NO_ID))
     long = rows.where(F.octet_length("data") >= least).select("doc_id", kid.alias("kid"), "data")
@@ -122,8 +125,10 @@ def by_row(base: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     The first row of each id is met by id, as the texts lie already.  Others are met by id and
     number, and travel once more for it, so that an id of many rows is spread over all tasks.
     """
-    first = base.where(~F.col("again")).join(other.where("seq = 1").drop("seq"), "kid", how)
-    return first.unionByName(base.where("again").join(other.where("seq > 1"), ["kid", "seq"], how))
+    # Both joins read all of ``other``, which is so made once; the first row of an id has the least number.
+    theirs = other.withColumnRenamed("seq", "_seq").withColumnRenamed("kid", "_kid")
+    first = base.where(~F.col("again")).join(theirs, (F.col("kid") == F.col("_kid")) & (F.col("_seq") <= F.col("seq")), how).drop("_kid", "_seq")
+    return first.unionByName(base.where("again").join(other, ["kid", "seq"], how).select(first.columns))
 
 
 Find = Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
