@@ -11,17 +11,17 @@ from corvane.functions.text import CJK, cell, collapse, escape_cell, let, trim_e
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def _plain(c: Column) -> Column:
+def _plain(c: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
     c = F.regexp_replace(c, r"<[^>]*>", "")
-    for name, char in ENTITIES:
+    for name, char in entities:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
-def html_title(html: Column) -> Column:
-    """Text of ``<title>``, else of ``<h1>``, else null."""
-    t = collapse(_plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    h = collapse(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)))
+def html_title(html: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    """Text of ``<title>``, else of ``<h1>``, else null; ``entities`` says what stands for what."""
+    t = collapse(_plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), entities))
+    h = collapse(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), entities))
     return let(t, lambda t: F.when(t != "", t).otherwise(let(h, lambda h: F.when(h != "", h))))
 
 
