@@ -120,6 +120,21 @@ def terms_of(low: str) -> dict[str, int]:
     return out
 
 
+def placed_terms(low: str) -> tuple[Counter, dict[str, int]]:
+    """:func:`terms_of`, and the first place of each in the order of ``text.tokens``."""
+    words = _TOKEN.findall(low)
+    every: list[str] = []
+    for t in words:
+        if len(t) > 1:
+            every.append(t)
+        if len(t) > 2 and _WIDE.match(t):
+            every += [t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+    first: dict[str, int] = {}
+    for i, t in enumerate(every):
+        first.setdefault(t, i)
+    return Counter(every), first
+
+
 def sparse_terms(s: str | None) -> dict[str, int]:
     """:func:`terms_of` a text as it is; null has none."""
     return dict(terms_of((s or "").lower()))

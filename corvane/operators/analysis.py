@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import plain
 from corvane.functions.text import (
     CJK,
     SIGNAL_KEYWORDS,
@@ -32,6 +38,32 @@ def top_terms(tf: DataFrame, k: int = 30, key: str = "document_id") -> DataFrame
     return tf.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def document_top_terms(docs: DataFrame, k: int = 30, key: str = "document_id", text: str = "body") -> DataFrame:
+    """(key, term, count, first_pos, rank): :func:`top_terms` of :func:`term_frequencies`.
+
+    Texts are brought together by key, in place of all their terms; rows of one key count as one.
+    Each text's terms are counted in its row, and only the most frequent leave it.
+    """
+
+    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            out = []
+            for lows in rows:
+                total, first = Counter(), {}
+                for low in lows:
+                    n, at = plain.placed_terms(low)
+                    total.update(n)
+                    for term, pos in at.items():
+                        first[term] = min(pos, first.get(term, pos))
+                best = heapq.nsmallest(k, total, key=lambda t: (-total[t], first[t]))
+                out.append([{"term": t, "count": total[t], "first_pos": first[t], "rank": i} for i, t in enumerate(best, 1)])
+            yield pd.Series(out, dtype=object)
+
+    lows = docs.groupBy(key).agg(F.collect_list(F.lower(F.col(text))).alias("_lows"))
+    told = F.pandas_udf(counted, "array<struct<term: string, count: bigint, first_pos: int, rank: int>>")(F.col("_lows"))
+    return lows.select(key, F.explode(told).alias("_t")).select(key, "_t.*")
+
+
 def numbered_lines(docs: DataFrame, text: str = "body") -> DataFrame:
     """(document_id, pos, line): stripped lines that are not empty."""
     return docs.select("document_id", F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
@@ -151,7 +183,7 @@ def full_analysis(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     numbers = document_analysis(docs, chunks)
     count = docs.select("document_id", F.size(sections(F.col("body"))).alias("section_count"))
     listed = lambda item: F.array_sort(F.collect_list(F.struct("rank", item)))
-    terms = top_terms(term_frequencies(docs)).groupBy("document_id").agg(listed(F.struct("term", "count").alias("t")).alias("t"))
+    terms = document_top_terms(docs).groupBy("document_id").agg(listed(F.struct("term", "count").alias("t")).alias("t"))
     lines_ = signal_buckets(docs).unionByName(key_points(docs).withColumn("bucket", F.lit("key_points")))
     per = lines_.groupBy("document_id", "bucket").agg(listed("line").alias("l"))
     maps = per.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.transform("l", lambda x: x["line"])))).alias("m"))
