@@ -23,20 +23,32 @@ DEFAULT_TITLE = "正文"
 #: Characters up to which patterns count faster than arrays.
 SHORT = 512
 
-_RULES = [(re.compile(p, re.ASCII), re.sub(r"\$(\d)", r"\\\1", by)) for p, by in (*REDACTIONS, *CLEANINGS)]
+#: What a text, lower-cased for redactions, must have for a rule to change it; any of them.
+_NEEDED = (("authorization",), ("key",), ("sk-",)), (None, ("\r",), ("\t", "\u00a0"), (" \n", "\n "), ("\n\n\n",), ("  ",))
+_REDACTIONS, _CLEANINGS = (
+    [(re.compile(p, re.ASCII), re.sub(r"\$(\d)", r"\\\1", by), n) for (p, by), n in zip(rules, needed, strict=True)] for rules, needed in zip((REDACTIONS, CLEANINGS), _NEEDED, strict=True)
+)
 _LINE = re.compile(LINE_ENDS)
 _TOKEN = re.compile(TOKEN)
 _WIDE = re.compile(f"[{CJK}]")
 _WORDS = re.compile("[A-Za-z0-9_]+")
 _MARK = regex.compile(rf"[^\p{{L}}\p{{N}}_{BLANK}\p{{Z}}{CJK}]")
 _WORD = re.compile("[A-Za-z0-9_]")
+#: Bytes of lower-cased UTF-8: those outside of words are blanks; those that begin no CJK character.
+_GAPS = bytes(i if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for i in range(256))
+_NOT_WIDE = bytes(i for i in range(256) if not 0xE4 <= i <= 0xE9)
 
 
 def normalize(s: str, compose: bool = True) -> str:
     if compose and not s.isascii():
         s = unicodedata.normalize("NFKC", s)
-    for pattern, by in _RULES:
-        s = pattern.sub(by, s)
+    low = s.lower()
+    for pattern, by, needed in _REDACTIONS:
+        if any(x in low for x in needed):
+            s = pattern.sub(by, s)
+    for pattern, by, needed in _CLEANINGS:
+        if any(x in s for x in needed) if needed else not s.isprintable():
+            s = pattern.sub(by, s)
     return s.strip(BLANK)
 
 
@@ -63,19 +75,19 @@ def counts(parts: list[str]) -> np.ndarray:
     """(CJK characters, words, marks) of each part, counted in one go, or each where all are short."""
     if sum(map(len, parts)) < SHORT:
         return np.array([(len(_WIDE.findall(p)), len(_WORDS.findall(p)), len(_MARK.findall(p))) for p in parts], np.int64).reshape(-1, 3)
-    codes = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _kinds()[np.minimum(codes, 0xFFFF)]
-    for i in np.flatnonzero(codes > 0xFFFF).tolist():
-        kinds[i] = _far(int(codes[i]))
+    text = "\n".join([*parts, ""])
+    if text.isascii():
+        kinds = _kinds()[np.frombuffer(text.encode(), np.uint8)]
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _kinds()[np.minimum(codes, 0xFFFF)]
+        for i in np.flatnonzero(codes > 0xFFFF).tolist():
+            kinds[i] = _far(int(codes[i]))
     word = kinds == WORD
     begins = word.copy()
     begins[1:] &= ~word[:-1]
-    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    out = np.zeros((len(parts), 3), np.int64)
-    for j, hit in enumerate((kinds == WIDE, begins, kinds == MARK)):
-        total = np.concatenate(([0], np.cumsum(hit)))
-        out[:, j] = np.diff(total[np.concatenate(([0], ends))]) if len(parts) else 0
-    return out
+    ends = np.cumsum([0, *[len(p) + 1 for p in parts]])
+    return np.stack([np.diff(np.searchsorted(np.flatnonzero(hit), ends)) for hit in (kinds == WIDE, begins, kinds == MARK)], 1)
 
 
 def tokens_of(cjk: int, words: int, marks: int) -> int:
@@ -109,6 +121,9 @@ def sections(s: str | None, default: str = DEFAULT_TITLE) -> list[tuple[str, str
 def terms_of(low: str) -> dict[str, int]:
     """How often each term of a lower-cased text occurs, by first place: words, and CJK runs with
     their 2-, 3- and 4-grams."""
+    coded = low.encode("utf-8", "surrogatepass")
+    if not coded.translate(None, _NOT_WIDE):
+        return {t.decode(): n for t, n in Counter(coded.translate(_GAPS).split()).items() if len(t) > 1}
     out: Counter = Counter()
     for t, n in Counter(_TOKEN.findall(low)).items():
         if len(t) > 1:

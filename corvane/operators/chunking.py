@@ -12,6 +12,8 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,10 @@ class Sizes:
                 self.joins.append((a, b))
 
     def joined(self, a: int, z: int) -> int:
-        cjk, words, marks = (y - x for x, y in zip(self.sums[a], self.sums[z], strict=True))
-        lost = sum(1 for i, j in self.joins[bisect_left(self.joins, (a, 0)) : bisect_left(self.joins, (z, 0))] if j < z)
-        return plain.tokens_of(cjk, words - lost, marks)
+        x, y, lost = self.sums[a], self.sums[z], 0
+        if self.joins:
+            lost = sum(1 for i, j in self.joins[bisect_left(self.joins, (a, 0)) : bisect_left(self.joins, (z, 0))] if j < z)
+        return plain.tokens_of(y[0] - x[0], y[1] - x[1] - lost, y[2] - x[2])
 
     def back(self, a: int, z: int, least: int) -> int:
         """Where the last parts of a..z-1 begin that reach ``least`` tokens; ``z`` if none are asked for."""
@@ -143,11 +146,16 @@ def sections(text: Column, default: str = plain.DEFAULT_TITLE) -> Column:
 def sparse_terms(text: Column) -> Column:
     """map<term, count> of each text; null has none."""
 
-    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series([plain.sparse_terms(s) for s in texts], dtype=object)
+            made = []
+            for a, z in byte_runs(texts):
+                told = [plain.sparse_terms(s) for s in texts.slice(a, z - a).to_pylist()]
+                ends = np.cumsum([0, *map(len, told)])
+                made.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array([t for m in told for t in m], pa.string()), pa.array([n for m in told for n in m.values()], pa.int32())))
+            yield pa.concat_arrays(made) if made else pa.array([], pa.map_(pa.string(), pa.int32()))
 
-    return F.pandas_udf(counted, "map<string, int>")(text)
+    return F.arrow_udf(counted, "map<string, int>")(text)
 
 
 #: Turns a document's text into (title, content) of its chunks.
@@ -164,30 +172,59 @@ def by_sections(most: int = 600, overlap: int = 100, joiner: str = "") -> Splitt
     return split
 
 
-def made(body: Column, splitter: Splitter, captured: bool = False) -> Column:
-    """struct<chunks, error>: all that chunking makes of a text, in one pass of an Arrow batch.
+#: Bytes of text whose chunks are Python objects at a time; a longer text comes alone.
+BYTES = 1 << 20
 
-    A null text has no chunks.  With ``captured`` what a text raises becomes its error, and other
-    texts of the batch are not touched by it; else it ends the job.
-    """
 
-    def one(s: str | None) -> dict:
+def byte_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts of up to ``BYTES`` together."""
+    begin, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > begin and held + size > BYTES:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
+def _cut(texts: list[str | None], splitter: Splitter, captured: bool) -> tuple[pa.Array, pa.Array]:
+    """Chunks and errors of some texts (see :func:`made`)."""
+    found: list[tuple[str, str, str, int]] = []
+    ends, errors = [0], []
+    for s in texts:
         try:
-            found = splitter(s) if s is not None else []
-            tokens = [plain.tokens_of(*c) for c in plain.counts([c for _, c in found]).tolist()]
-            chunks = [{"title": t, "content": c, "normalized_content": plain.normalize(c, False), "token_count": n} for (t, c), n in zip(found, tokens, strict=True)]
-            return {"chunks": chunks, "error": None}
+            cut = splitter(s) if s is not None else []
+            tokens = [plain.tokens_of(*c) for c in plain.counts([c for _, c in cut]).tolist()]
+            found += [(t, c, plain.normalize(c, False), n) for (t, c), n in zip(cut, tokens, strict=True)]
+            errors.append(None)
         except Exception as e:
             if not captured:
                 raise
-            return {"chunks": [], "error": f"{type(e).__name__}: {e}"}
+            errors.append(f"{type(e).__name__}: {e}")
+        ends.append(len(found))
+    titles, contents, normalized, tokens = zip(*found, strict=True) if found else ((), (), (), ())
+    rows = pa.StructArray.from_arrays(
+        [pa.array(titles, pa.string()), pa.array(contents, pa.string()), pa.array(normalized, pa.string()), pa.array(tokens, pa.int32())],
+        names=["title", "content", "normalized_content", "token_count"],
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.array(errors, pa.string())
+
+
+def made(body: Column, splitter: Splitter, captured: bool = False) -> Column:
+    """struct<chunks, error>: all that chunking makes of a text, in one pass of an Arrow batch.
+
+    A null text has no chunks.  With ``captured`` what a text raises becomes its error, and other
+    texts of the batch are not touched by it; else it ends the job.  Only a run of a batch's texts
+    is turned into Python objects at a time.
+    """
 
-    def all_(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def all_(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            rows = [one(s) for s in texts]
-            yield pd.DataFrame({"chunks": [r["chunks"] for r in rows], "error": pd.Series([r["error"] for r in rows], dtype=object)})
+            told = [_cut(texts.slice(a, z - a).to_pylist(), splitter, captured) for a, z in byte_runs(texts)] or [_cut([], splitter, captured)]
+            yield pa.StructArray.from_arrays([pa.concat_arrays([c for c, _ in told]), pa.concat_arrays([e for _, e in told])], names=["chunks", "error"])
 
-    return F.pandas_udf(all_, MADE)(body)
+    return F.arrow_udf(all_, MADE)(body)
 
 
 def chunk_id(document_id: Column, ordinal: Column) -> Column:
