@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text in one call of a model; a longer text comes alone.
 CALL_BYTES = 1 << 20
+#: Words whose places the default embedder keeps, the first that come.
+REMEMBERED = 1 << 17
 
 
 def slices(columns: list[list[str | None]], most: int) -> Iterator[tuple[int, int]]:
@@ -53,24 +56,35 @@ def _captured(model: Callable, columns: list[list], most: int) -> Iterator[list[
             yield from _captured(model, [[c[i]] for c in part], most)
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType, texts: list[str], factory: Callable[[], Callable], most: int, error: str | None = None) -> DataFrame:
+#: Results of models, as Spark and Arrow have them.
+VECTOR, SCORE, TEXT = (T.ArrayType(T.DoubleType()), pa.list_(pa.float64())), (T.DoubleType(), pa.float64()), (T.StringType(), pa.string())
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind):
+        values = [x if x is None or (isinstance(x, np.ndarray) and x.dtype == float) else list(x) for x in values]
+    return pa.array(values, kind)
+
+
+def _added(
+    df: DataFrame, name: str, kind: tuple[T.DataType, pa.DataType], texts: list[str], factory: Callable[[], Callable], most: int, error: str | None = None
+) -> DataFrame:
+    """Other columns stay in Arrow, and what a call of the model gave leaves before the next call."""
     kept = df.drop(name, *([error] if error else []))
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind), *([T.StructField(error, T.StringType())] if error else [])])
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind[0]), *([T.StructField(error, T.StringType())] if error else [])])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for pdf in parts:
-            if model is None and len(pdf):
+        for batch in batches:
+            if model is None and len(batch):
                 model = factory()
-            columns = [list(pdf[t]) for t in texts]
-            if error:
-                got = [x for part in _captured(model, columns, most) for x in part]
-                pdf = pdf.assign(**{name: pd.Series([x for x, _ in got], pdf.index, dtype=object), error: pd.Series([e for _, e in got], pdf.index, dtype=object)})
-            else:
-                pdf = pdf.assign(**{name: pd.Series([x for part in _called(model, columns, most) for x in part], pdf.index, dtype=object if not len(pdf) else None)})
-            yield pdf
+            columns, at = [batch.column(t).to_pylist() for t in texts], 0
+            for got in (_captured if error else _called)(model, columns, most):
+                told = [_array([x for x, _ in got], kind[1]), pa.array([e for _, e in got], pa.string())] if error else [_array(got, kind[1])]
+                part, at = batch.slice(at, len(got)), at + len(got)
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=schema.names)
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def _factory(fn: Callable | None, factory: Callable[[], Callable] | None) -> Callable[[], Callable]:
@@ -88,40 +102,44 @@ def embed(
     With ``error`` a text that the model fails on gets that column's message and no vector;
     without it the job fails.
     """
-    return _added(df, "embedding", T.ArrayType(T.DoubleType()), [text], _factory(fn, factory), call_bytes, error)
+    return _added(df, "embedding", VECTOR, [text], _factory(fn, factory), call_bytes, error)
 
 
 def rerank(df: DataFrame, fn: Callable[[list[str], list[str]], list[float]] | None = None, factory: Callable[[], Callable] | None = None, call_bytes: int = CALL_BYTES) -> DataFrame:
     """Adds ``rerank_score``: the model scores pairs of question and content."""
-    return _added(df, "rerank_score", T.DoubleType(), ["question", "content"], _factory(fn, factory), call_bytes)
+    return _added(df, "rerank_score", SCORE, ["question", "content"], _factory(fn, factory), call_bytes)
 
 
 def answer(df: DataFrame, fn: Callable[[list[str], list[str]], list[str]] | None = None, factory: Callable[[], Callable] | None = None, call_bytes: int = CALL_BYTES) -> DataFrame:
     """Adds ``answer``: the model answers questions from their contexts."""
-    return _added(df, "answer", T.StringType(), ["question", "context"], _factory(fn, factory), call_bytes)
+    return _added(df, "answer", TEXT, ["question", "context"], _factory(fn, factory), call_bytes)
 
 
-def hash_embedder(dim: int = 384) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+def hash_embedder(dim: int = 384) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """A factory of the default embedder: signed hashed words, as ``scores.hash_embedding`` has them."""
 
-    def factory() -> Callable[[list[str]], list[list[float]]]:
+    def factory() -> Callable[[list[str]], list[np.ndarray]]:
         import hashlib
-        import math
-        from functools import lru_cache
 
-        @lru_cache(1 << 16)
-        def slot(term: str) -> tuple[int, int]:
+        known: dict[str, int] = {}
+
+        def slot(term: str) -> int:
+            """Twice the dimension, and one more where the sign is minus."""
             h = hashlib.sha256(term.encode("utf-8", "surrogatepass")).digest()
-            return int.from_bytes(h[:4], "big") % dim, 1 - 2 * (h[4] % 2)
+            got = int.from_bytes(h[:4], "big") % dim * 2 + h[4] % 2
+            if len(known) < REMEMBERED:
+                known[term] = got
+            return got
 
-        def vector(text: str | None) -> list[float]:
+        def vector(text: str | None) -> np.ndarray:
             low = (text or "").lower()
-            out = [0.0] * dim
-            for term in low.split() or [low]:
-                at, sign = slot(term)
-                out[at] += sign
-            norm = math.sqrt(sum(x * x for x in out)) or 1.0
-            return [x / norm for x in out]
+            words = low.split() or [low]
+            at = list(map(known.get, words))
+            if None in at:
+                at = [slot(t) if x is None else x for t, x in zip(words, at, strict=True)]
+            both = np.bincount(at, minlength=2 * dim)
+            out = both[::2] - both[1::2]
+            return out / (np.sqrt(out @ out) or 1.0)
 
         return lambda texts: [vector(t) for t in texts]
 
