@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import plain
 from corvane.functions.text import (
     CJK,
     SIGNAL_KEYWORDS,
+    any_of,
     clean_signal_line,
     estimate_tokens,
     is_signal_candidate,
+    let,
     lines,
     looks_like_code,
     looks_like_report,
     owners,
-    strip,
+    strip_line,
     tokens,
 )
 from corvane.operators.chunking import sections
@@ -64,9 +66,45 @@ def document_top_terms(docs: DataFrame, k: int = 30, key: str = "document_id", t
     return lows.select(key, F.explode(told).alias("_t")).select(key, "_t.*")
 
 
+# Steps on lines are made on a row's array: a step is then evaluated once a line.  On exploded lines
+# Spark moves a filter below the step that it reads, and makes that step again for each use in it.
+
+
+def line_items(text: Column) -> Column:
+    """array<struct<pos, line>>: stripped lines that are not empty."""
+    return F.filter(F.transform(lines(text), lambda x, i: F.struct(i.alias("pos"), strip_line(x).alias("line"))), lambda s: s["line"] != "")
+
+
+def signal_items(text: Column) -> Column:
+    """array<struct<pos, long, line, code>>: cleaned lines, whether they had over 4 characters
+    before, and whether they look like code."""
+    cleaned = F.transform(line_items(text), lambda s: F.struct(s["pos"], (F.length(s["line"]) > 4).alias("long"), clean_signal_line(s["line"]).alias("line")))
+    return F.transform(cleaned, lambda s: F.struct(s["pos"], s["long"], s["line"], looks_like_code(s["line"]).alias("code")))
+
+
+def candidates(items: Column) -> Column:
+    """Those of :func:`signal_items` that may carry a signal."""
+    return F.filter(items, lambda s: is_signal_candidate(s["line"], s["code"]))
+
+
+def first_items(items: Column, most: int) -> Column:
+    """array<struct<pos, line>>: the first ``most`` distinct lines of items in order."""
+
+    def found(own: Column) -> Column:
+        every = F.transform(own, lambda s: s["line"])
+        return let(every, lambda ls: F.transform(F.slice(F.array_distinct(ls), 1, most), lambda x: F.struct(F.get(own, (F.array_position(ls, x) - 1).cast("int"))["pos"].alias("pos"), x.alias("line"))))
+
+    return let(items, found)
+
+
+def item_rows(docs: DataFrame, items: Column) -> DataFrame:
+    """(document_id, fields): one row an item; the outer form, for the reason in ``chunking.exploded``."""
+    return docs.select("document_id", F.explode_outer(items).alias("_i")).where("_i IS NOT NULL").select("document_id", "_i.*")
+
+
 def numbered_lines(docs: DataFrame, text: str = "body") -> DataFrame:
     """(document_id, pos, line): stripped lines that are not empty."""
-    return docs.select("document_id", F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    return item_rows(docs, line_items(F.col(text)))
 
 
 def duplicate_line_ratio(docs: DataFrame) -> DataFrame:
@@ -78,20 +116,23 @@ def duplicate_line_ratio(docs: DataFrame) -> DataFrame:
 
 def code_documents(docs: DataFrame) -> DataFrame:
     """(document_id, is_code): 8 lines or more over 4 characters, over a quarter of them code."""
-    rows = numbered_lines(docs).where(F.length("line") > 4)
-    return docs.select("document_id").join(
-        rows.groupBy("document_id").agg(
-            ((F.count("*") >= 8) & (F.count_if(looks_like_code(clean_signal_line(F.col("line")))) / F.count("*") > 0.25)).alias("c")
-        ),
-        "document_id",
-        "left",
-    ).select("document_id", F.coalesce("c", F.lit(False)).alias("is_code"))
+    told = docs.select("document_id", code_counts(signal_items(F.col("body"))).alias("_k")).groupBy("document_id").agg(is_code(F.sum("_k.n"), F.sum("_k.c")).alias("c"))
+    return docs.select("document_id").join(told, "document_id", "left").select("document_id", F.coalesce("c", F.lit(False)).alias("is_code"))
+
+
+def code_counts(items: Column) -> Column:
+    """struct<n, c>: how many of :func:`signal_items` were long, and how many of these are code."""
+    flags = F.transform(F.filter(items, lambda s: s["long"]), lambda s: s["code"])
+    return let(flags, lambda f: F.struct(F.size(f).alias("n"), F.size(F.filter(f, lambda x: x)).alias("c")))
+
+
+def is_code(n: Column, c: Column) -> Column:
+    return (n >= 8) & (c * 4 > n)
 
 
 def signal_lines(docs: DataFrame) -> DataFrame:
     """(document_id, pos, line): cleaned lines that may carry a signal."""
-    cleaned = numbered_lines(docs).select("document_id", "pos", clean_signal_line(F.col("line")).alias("line"))
-    return cleaned.where(is_signal_candidate(F.col("line")))
+    return item_rows(docs, candidates(signal_items(F.col("body")))).select("document_id", "pos", "line")
 
 
 def first_distinct(rows: DataFrame, keys: list[str], item: str, pos: str, most: int) -> DataFrame:
@@ -103,12 +144,28 @@ def first_distinct(rows: DataFrame, keys: list[str], item: str, pos: str, most:
 
 def signal_buckets(docs: DataFrame, keywords: dict[str, tuple[str, ...]] = SIGNAL_KEYWORDS, gate: bool = True) -> DataFrame:
     """(document_id, bucket, rank, line): lines of reports that name a bucket's keyword."""
-    rows = signal_lines(docs.where(looks_like_report(F.col("body"))) if gate else docs)
-    low = F.lower("line")
-    hit = lambda words: F.greatest(*[F.contains(low, F.lit(w.lower())) for w in words], F.lit(False))
-    buckets = F.filter(F.array(*[F.when(hit(words), name) for name, words in keywords.items()]), lambda b: b.isNotNull())
-    split = rows.select("document_id", "pos", F.substring("line", 1, 300).alias("line"), F.explode(buckets).alias("bucket"))
-    return first_distinct(split, ["document_id", "bucket"], "line", "pos", 12).select("document_id", "bucket", "rank", "line")
+    rows = docs.where(looks_like_report(F.col("body"))) if gate else docs
+    shown = F.transform(candidates(signal_items(F.col("body"))), lambda s: F.struct(s["pos"], F.substring(s["line"], 1, 300).alias("line"), F.lower(s["line"]).alias("low")))
+    hits = {name: names_one(tuple(w.lower() for w in words)) for name, words in keywords.items()}
+    return bucket_lines(rows, shown, hits)
+
+
+def names_one(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Whether an item's lower-cased line has one of some words."""
+    return lambda s: any_of(s["low"], words)
+
+
+def bucket_lines(docs: DataFrame, items: Column, hits: dict[str, Callable[[Column], Column]], most: int = 12) -> DataFrame:
+    """(document_id, bucket, rank, line): the first distinct lines of items that ``hits`` puts in a
+    bucket.  A row's first ones are told within it, and only they leave it."""
+
+    def told(own: Column) -> Column:
+        def named(name: str) -> Callable[[Column], Column]:
+            return lambda x: F.struct(F.lit(name).alias("bucket"), x["pos"].alias("pos"), x["line"].alias("line"))
+
+        return F.concat(*[F.transform(first_items(F.filter(own, hit), most), named(name)) for name, hit in hits.items()])
+
+    return first_distinct(item_rows(docs, let(items, told)), ["document_id", "bucket"], "line", "pos", most).select("document_id", "bucket", "rank", "line")
 
 
 # The variant's keywords, and how it tells a line that names an owner.
@@ -126,18 +183,28 @@ def signal_buckets_plain(docs: DataFrame, keywords: dict[str, tuple[str, ...]] =
 
     Neither reports nor likely lines are told apart; a line that names an owner is one whole.
     """
-    low = F.lower("line")
-    hit = lambda words: F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
-    buckets = F.array(F.when(low.rlike(owner), "owners"), *[F.when(hit(words), name) for name, words in keywords.items()])
-    split = numbered_lines(docs).select("document_id", "pos", "line", F.explode(F.filter(buckets, lambda b: b.isNotNull())).alias("bucket"))
-    return first_distinct(split, ["document_id", "bucket"], "line", "pos", 12).select("document_id", "bucket", "rank", "line")
+    items = F.transform(line_items(F.col("body")), lambda s: F.struct(s["pos"], s["line"], F.lower(s["line"]).alias("low")))
+    hits = {"owners": lambda s: s["low"].rlike(owner)} | {name: names_one(words) for name, words in keywords.items()}
+    return bucket_lines(docs, items, hits)
 
 
 def key_points(docs: DataFrame) -> DataFrame:
     """(document_id, rank, line): the first 12 distinct longer lines; none for code documents."""
-    prose = docs.join(code_documents(docs).where("NOT is_code").select("document_id"), "document_id", "left_semi")
-    rows = signal_lines(prose).where(F.length("line") > 16).withColumn("line", F.substring("line", 1, 220))
-    return first_distinct(rows, ["document_id"], "line", "pos", 12).select("document_id", "rank", "line")
+
+    def told(items: Column) -> Column:
+        """The points of a row, and before them an item without line that counts its code."""
+        longer = F.filter(candidates(items), lambda s: F.length(s["line"]) > 16)
+        points = first_items(F.transform(longer, lambda s: F.struct(s["pos"], F.substring(s["line"], 1, 220).alias("line"))), 12)
+        of = lambda pos, line, n, c: F.struct(pos.cast("int").alias("pos"), line.cast("string").alias("line"), n.alias("n"), c.alias("c"))
+        none, zero = F.lit(None), F.lit(0)
+        counted = let(code_counts(items), lambda k: F.array(of(none, none, k["n"], k["c"])))
+        return F.concat(counted, F.transform(points, lambda p: of(p["pos"], p["line"], zero, zero)))
+
+    rows = item_rows(docs.where("document_id IS NOT NULL"), let(signal_items(F.col("body")), told))
+    once = rows.groupBy("document_id", "line").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    own = Window.partitionBy("document_id")
+    marked = once.withColumn("rank", F.row_number().over(own.orderBy(F.asc_nulls_last("pos"), "line"))).withColumn("code", is_code(F.sum("n").over(own), F.sum("c").over(own)))
+    return marked.where("line IS NOT NULL AND rank <= 12 AND NOT code").select("document_id", "rank", "line")
 
 
 def document_owners(docs: DataFrame) -> DataFrame:
