@@ -135,6 +135,12 @@ def terms_of(low: str) -> dict[str, int]:
     return out
 
 
+def words_of(low: str) -> list[bytes]:
+    """Words and CJK runs of a lower-cased text in order, as UTF-8."""
+    coded = low.encode("utf-8", "surrogatepass")
+    return [t.encode() for t in _TOKEN.findall(low)] if coded.translate(None, _NOT_WIDE) else coded.translate(_GAPS).split()
+
+
 def placed_terms(low: str) -> tuple[Counter, dict[str, int]]:
     """:func:`terms_of`, and the first place of each in the order of ``text.tokens``."""
     words = _TOKEN.findall(low)

@@ -10,7 +10,6 @@ a batch is turned into Python objects at a time.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -24,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import plain
-from corvane.functions.text import TOKEN, tokens
+from corvane.functions.text import tokens
 
 ROWS = 2048
 #: Texts whose keyword scores are one matrix, and cells of such a matrix at most.
 TEXTS, CELLS = 256, 1 << 21
 #: Bytes of text in a block; a longer text comes alone.
 BYTES = 1 << 20
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 #: Blocks of queries whose automata a task keeps.
 ASKED = 4
 #: The key of rows that have none to be told apart by.
@@ -95,29 +94,37 @@ def packed_vectors(df: DataFrame, id_: str, vector: str, key: str, rows: int = R
     return _clustered(kept, id_, key).mapInPandas(packed, f"{key} {_kind(df, key)}, ids array<{_kind(df, id_)}>, m binary, d int")
 
 
+class Slots:
+    """Twice the dimension of hashed words, and one more where the sign is minus.  The first words that
+    come are remembered, which frequent ones are."""
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+
+    def of(self, words: list[bytes]) -> list[int]:
+        at = list(map(self.known.get, words))
+        return [self._slot(t) if x is None else x for t, x in zip(words, at, strict=True)] if None in at else at
+
+    def _slot(self, term: bytes) -> int:
+        h = hashlib.sha256(term).digest()
+        got = int.from_bytes(h[:4], "big") % self.dim * 2 + h[4] % 2
+        if len(self.known) < REMEMBERED:
+            self.known[term] = got
+        return got
+
+
 def hash_vectors(df: DataFrame, id_: str, text: str, key: str, dim: int = 384, rows: int = ROWS) -> DataFrame:
     """(key, ids, m): blocks of unit vectors of signed hashed words (see ``scores.hash_slots``)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-
-        def slot(term: bytes) -> int:
-            """Twice the dimension, and one more where the sign is minus."""
-            got = known.get(term)
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                h = hashlib.sha256(term).digest()
-                got = known[term] = int.from_bytes(h[:4], "big") % dim * 2 + h[4] % 2
-            return got
-
+        slots = Slots(dim)
         for batch in batches:
             for part in _runs(batch, key, rows):
                 m = np.zeros((len(part), dim))
                 for i, low in enumerate(part.column("low").cast(pa.binary())):
                     # Bytes are split at the blanks of ASCII, as ``scores.hash_terms`` does.
                     low = low.as_py()
-                    both = np.bincount([slot(t) for t in low.split() or [low]], minlength=2 * dim)
+                    both = np.bincount(slots.of(low.split() or [low]), minlength=2 * dim)
                     m[i] = both[::2] - both[1::2]
                 size = np.sqrt((m * m).sum(1, keepdims=True))
                 m = np.divide(m, size, out=m, where=size > 0)
@@ -224,14 +231,30 @@ class TermCounts:
     go, by one automaton over all terms.
     """
 
-    word = re.compile(TOKEN)
-
     def __init__(self, terms: list[str]):
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(terms):
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         self.n, self.lengths = len(terms), np.array([len(t) for t in terms], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.terms, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def remembered(self, tokens: list[str]) -> np.ndarray:
+        """Where what tokens hold begins in ``starts``; only tokens that no block before had are searched."""
+        new = [t for t in tokens if t not in self.place]
+        if new and len(self.place) + len(new) > REMEMBERED:
+            self._forget()
+            new = tokens
+        if new:
+            starts, terms, times = self.held(new)
+            self.place.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+            self.starts = np.concatenate((self.starts[:-1], starts + self.starts[-1]))
+            self.terms, self.times = np.concatenate((self.terms, terms)), np.concatenate((self.times, times))
+        return np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
 
     def held(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, terms, counts): token i holds ``terms[starts[i]:starts[i + 1]]`` so many times."""
@@ -255,21 +278,19 @@ class TermCounts:
 
     def spread(self, tokens: list[str], rows: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """(n, terms): occurrences in ``n`` rows, where row ``rows[i]`` has token ``at[i]`` so many times."""
-        starts, terms, counts = self.held(tokens)
-        size = np.diff(starts)[at]
-        to = np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(np.repeat(rows, size) * self.n + terms[to], np.repeat(times, size) * counts[to], n * self.n).reshape(n, self.n)
+        begin = self.remembered(tokens)[at]
+        size = self.starts[begin + 1] - self.starts[begin]
+        to = np.repeat(self.starts[begin] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(np.repeat(rows, size) * self.n + self.terms[to], np.repeat(times, size) * self.times[to], n * self.n).reshape(n, self.n)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """(texts, terms): how often each text has each term."""
-        place: dict[str, int] = {}
-        at, times, sizes = [], [], []
-        for t in texts:
-            own = Counter(self.word.findall(t))
-            at += [place.setdefault(token, len(place)) for token in own]
-            times += own.values()
-            sizes.append(len(own))
-        return self.spread(list(place), np.repeat(np.arange(len(texts)), sizes), np.array(at, np.int64), np.array(times, np.int64), len(texts))
+        told = [plain.words_of(t) for t in texts]
+        coded = pa.array([w for ws in told for w in ws], pa.binary()).dictionary_encode()
+        kinds = [w.decode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+        own = np.repeat(np.arange(len(texts)), [len(ws) for ws in told]) * max(1, len(kinds)) + coded.indices.to_numpy()
+        own, times = np.unique(own, return_counts=True)
+        return self.spread(kinds, own // max(1, len(kinds)), own % max(1, len(kinds)), times, len(texts))
 
 
 def term_scores(n: np.ndarray) -> np.ndarray:
