@@ -121,9 +121,12 @@ class Store:
         base, last = self._span(at)
         return self._read(f"{self.path}/manifest", MANIFEST).where(F.col("version").between(base, last))
 
-    def read(self, name: str, at: int | None = None, groups: list | None = None, among: DataFrame | None = None) -> DataFrame:
+    def read(self, name: str, at: int | None = None, groups: list | None = None, among: DataFrame | None = None, columns: list[Column] | None = None) -> DataFrame:
         """The rows of a table as of a version (the last one).
 
+        ``columns``, named expressions, come in place of the table's: made before rows meet the
+        manifest, so that what is wide doesn't move.
+
         ``groups`` (values) or ``among`` (a table with the group's column) keep these collections'
         rows: by value the folders are known when the query is planned, by table when it runs.
         Stored rows are not grouped: they meet the manifest rows of later commits, which are one
@@ -139,9 +142,10 @@ class Store:
             # Spark prunes by a join only where the other side is filtered; this filter says so.
             rows = rows.join(asked.where(F.col("bucket") < self.buckets), [self.group, "bucket"], "left_semi")
         # A document's first commit replaces nothing, but only the manifest of the base can tell.
+        shown = [F.col(f"`{c}`").alias(c) for c in self.tables[name].names] if columns is None else columns
+        rows = rows.select(F.col("document_id").cast("string").alias("_of"), F.col("version").alias("_version"), *shown)
         later = self.manifest(at).where(F.col("version") > base).select(F.col("document_id").alias("_id"), F.col("version").alias("_later"))
-        alive = rows.join(later, (F.col("document_id").cast("string") == F.col("_id")) & (F.col("version") < F.col("_later")), "left_anti")
-        return alive.select(*self.tables[name].names)
+        return rows.join(later, (F.col("_of") == F.col("_id")) & (F.col("_version") < F.col("_later")), "left_anti").drop("_of", "_version")
 
     # --- upkeep ----------------------------------------------------------------------------
 
